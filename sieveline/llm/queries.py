@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, quality_classifier, quality_rules, secret_scan
+from . import decontaminate, line_dedup, pii, quality_classifier, quality_rules, secret_scan
 from .packing import pack
 from .token_count import count_tokens
 
@@ -31,6 +31,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents"), key="corpus-surrogates-1")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
+    "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
