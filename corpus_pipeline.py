@@ -1,20 +1,63 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+1. Documents that the quality classifier rejects go.
+2. Later repeats of passages of 50 words or more are deleted line by line; a
+   document of which nothing is left goes.
+3. Of each group of documents linked by Jaccard similarity of word shingles,
+   the one with the least doc_id stays.
+4. Documents with a window of a benchmark item go.
+5. The rest is packed into sequences.
+
+Null and empty texts pass stages 1 to 4 unless the classifier rejects them;
+rows without a doc_id are never taken for copies. All columns of the input
+stay through stage 4, ``n_chars`` with the new length where a text changed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sieveline.llm.common import written
+from sieveline.llm.decontaminate import without_leaks
+from sieveline.llm.jaccard_join import one_of_each
+from sieveline.llm.line_dedup import dedup_lines
 from sieveline.llm.packing import pack
+from sieveline.llm.quality_classifier import keep_good
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(docs)
+    changed = F.size("removed") > 0
+    left = cleaned.where(~changed | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return left.select(*[F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
 
-#: Tokenisation, learned scores and sampled joins can't be put in SQL; tests compare with brute force.
+#: Learned scores, sampled paths and tokenisation can't be put in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

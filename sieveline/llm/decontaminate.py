@@ -26,6 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Bytes of UTF-8 to normal form: letters and digits stay, in lower case, as do bytes outside ASCII; others part words.
 NORMAL = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
@@ -179,6 +181,17 @@ def leak_report(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataF
     )
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item.
+
+    Documents with a hit are few and are found by doc_id, so texts are
+    scanned once and the rest passes on; rows of equal doc_id go together.
+    """
+    leaks = find_leaks(docs.where(F.col("doc_id").isNotNull()), items, window=window).where(F.size("spans") > 0)
+    gone = written(leaks.select(F.col("doc_id").alias("__doc")).distinct(), "leaks")
+    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
+
+
 #: The same report in DuckDB SQL over ``documents`` and ``benchmark``.
 REPORT_SQL = r"""
 WITH lower_case AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
