@@ -14,6 +14,7 @@ are packed each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import tokenizer_path
-from .token_count import ODD_SPACE
+from .token_count import ODD_SPACE, byte_symbols
 
 #: Documents encoded at once.
 GROUP = 200
+#: A Latin word with at most one mark behind it; in lower case it is the normal form's word, and the mark is a word of its own.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 
 
 class Encoder:
@@ -37,35 +40,65 @@ class Encoder:
     Texts with special strings or odd control characters go to the library whole.
     """
 
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.bound = bound
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield array("I", e.ids).tobytes()
+        self.symbols = byte_symbols()
+        self.merge = self.tokenizer.model.tokenize
+        self.points = {mark: self.whole(mark) for mark in ("", ".", ",")}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, word: str) -> bytes:
+        """Identifiers of a word in normal form, by the library's merges alone."""
+        piece = word if word.isascii() else "".join(self.symbols[b] for b in word.encode())
+        return array("I", [t.id for t in self.merge(piece)]).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Add chunks, encoded in one go with a special string between them."""
+        mark = self.marks[0]
+        ids = np.array(self.tokenizer.encode(mark.join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(mark)) * 4
+        raw = ids.tobytes()
+        starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
+        self.chunks.update(zip(words, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            cut.append(None if ODD_SPACE.search(t) or any(m in t for m in self.marks) else t.split())
-        new: set[str] = set()
-        for words in cut:
-            if words:
-                new.update(set(words).difference(self.chunks))
-        if len(self.chunks) + len(new) > self.bound:
+        if len(self.chunks) > self.bound:
             self.chunks.clear()
-            new = {w for words in cut if words for w in words}
+        get = self.chunks.get
+        cut: list[list[str]] = []
+        found: list[list[bytes | None]] = []
+        new: dict[str, None] = {}
+        for t in texts:
+            if not t or ODD_SPACE.search(t) or any(m in t for m in self.marks):
+                cut.append([])
+                found.append([self.whole(t)] if t else [])
+                continue
+            words = t.split()
+            ids = list(map(get, words))
+            if None in ids:
+                for w in [w for w, x in zip(words, ids, strict=True) if x is None]:
+                    simple = SIMPLE.fullmatch(w)
+                    if simple is None:
+                        new[w] = None
+                        continue
+                    core, mark = simple[1].lower(), simple[2]
+                    if core not in self.chunks:
+                        self.chunks[core] = self.merged(core)
+                    self.chunks[w] = self.chunks[core] + self.points[mark]
+            cut.append(words)
+            found.append(ids)
         if new:
-            ordered = list(new)
-            self.chunks.update(zip(ordered, self._ids(ordered), strict=True))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) if words is not None else next(self._ids([t])) for t, words in zip(texts, cut, strict=True)]
+            self.learn(list(new))
+        known = self.chunks.__getitem__
+        found = [list(map(known, words)) if None in ids else ids for words, ids in zip(cut, found, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 class Packer:
