@@ -49,6 +49,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """``value``, kept in a column of its own: a filter above is not pushed below it with a copy.
+
+    Copies would land inside lambdas and be computed for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def word_list(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, word_list
+from .common import let, once, word_list
 
 # Common short words of English, French, German and Spanish.
 STOP_WORDS = {
@@ -92,7 +92,7 @@ def measured(docs: DataFrame, window: int = 5) -> DataFrame:
     """doc_id and every measure that rules can name."""
     text = F.coalesce(F.col("text"), F.lit(""))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
-    base = docs.select("doc_id", text.alias("__text"), word_list(F.col("text")).alias("__words"), F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"))
+    base = docs.select("doc_id", text.alias("__text"), once(word_list(F.col("text"))).alias("__words"), F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"))
     words, lines = F.col("__words"), F.col("__lines")
     counted = base.select(
         "doc_id",
