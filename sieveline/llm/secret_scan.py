@@ -123,7 +123,7 @@ def likelihood_ratio(value: Column, table: list[float]) -> Column:
     return let(F.transform(F.split(value, ""), code), total)
 
 
-def scan_secrets(docs: DataFrame, *, table: list[float] | None, threshold: float = 0.8) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, table: list[float] | None, threshold: float = 0.1) -> DataFrame:
     """doc_id, base (spans of patterns) and spans (all) of every row of ``docs`` (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", text.alias("__text")).select("doc_id", "__text", *[placed(F.col("__text"), p, group, least, kind, k).alias(f"__{kind}") for k, (kind, (p, group, least)) in enumerate(BASE.items())])
@@ -145,7 +145,7 @@ def written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, *, threshold: float = 0.8, bound: int = 20_000) -> DataFrame:
+def secret_report(docs: DataFrame, *, threshold: float = 0.1, bound: int = 20_000) -> DataFrame:
     """Counts per base kind, their digest and all spans, per document."""
     table = pair_table(labelled_strings(docs.select("doc_id", "text"), bound=bound))
     found = scan_secrets(docs, table=table, threshold=threshold)
