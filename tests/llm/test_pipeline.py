@@ -1,0 +1,52 @@
+"""The pipeline's stages on a small corpus."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+
+
+def corpus():
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in ("lo", "mi", "ta", "re", "su", "na", "ke") for b in ("ran", "tel", "vos", "dim", "ler", "pon")] + "the of and to in".split()
+    sentence = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+    docs = [(i, "\n".join(sentence(25) for _ in range(4))) for i in range(120)]
+    passage, leak = sentence(70), sentence(30)
+    docs += [(200, docs[3][1]), (201, docs[4][1].replace(" ", "  ", 1)), (202, f"{sentence(40)}\n{passage}"), (203, f"{passage}\n{sentence(40)}"), (204, f"{sentence(60)} {leak} {sentence(20)}")]
+    near = docs[7][1].split(" ")
+    near[30] = "changed"
+    docs.append((205, " ".join(near).replace("\n", " ")))
+    docs += [(300 + i, " ".join(rng.choice(vocabulary) + "&&&" for _ in range(50))) for i in range(30)]
+    docs += [(400, None), (401, "")]
+    return docs, passage, leak
+
+
+def test_stages(spark, tmp_path):
+    docs, passage, leak = corpus()
+    d = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 300), 0) for i, _ in docs if i < 400], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    frame, seen = spark.read.parquet(f"{d}/documents.parquet"), {}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = frame.columns
+        stage(spark, frame, d).write.parquet(f"{d}/{n}")
+        frame = spark.read.parquet(f"{d}/{n}")
+        seen[name] = {r.doc_id: r.asDict() for r in frame.collect()}
+        assert name == "packing" or frame.columns == columns
+    assert not [i for i in seen["quality_classifier"] if 300 <= i < 400]
+    assert set(range(120)) <= set(seen["quality_classifier"])
+    lines = seen["line_dedup"]
+    assert 200 not in lines and passage in lines[202]["text"] and passage not in lines[203]["text"]
+    assert lines[203]["n_chars"] == len(lines[203]["text"]) and lines[5]["text"] == dict(docs)[5]
+    one = seen["ngram_jaccard_join"]
+    assert 205 not in one and 7 in one and set(range(120)) <= set(one)
+    clean = seen["benchmark_decontamination"]
+    assert 204 not in clean and set(one) - set(clean) == {204}
+    assert set(seen["packing"]) == set(clean)
+
+
+def test_run_gives_the_packed_pieces(spark):
+    pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert pieces.count() > 0 and "sequence_id" in pieces.columns
