@@ -64,16 +64,15 @@ def automaton(items: list[tuple], window: int):
     return built
 
 
-_BUILT: dict[tuple, object] = {}
+#: The items last seen in this worker process, held so that they are told from later ones, and their automaton.
+_BUILT: list[tuple] = []
 
 
 def built_once(items: Broadcast, window: int):
     """One automaton at a time for each worker process."""
-    key = (id(items.value), window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = automaton(items.value, window)
-    return _BUILT[key]
+    if not _BUILT or _BUILT[0][0] is not items.value or _BUILT[0][1] != window:
+        _BUILT[:] = [(items.value, window, automaton(items.value, window))]
+    return _BUILT[0][2]
 
 
 def scan(raw: bytes, machine) -> tuple[int, list[tuple[int, int]], list]:
