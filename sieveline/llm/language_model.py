@@ -225,7 +225,7 @@ def traverse(block: Block, totals: list[np.ndarray], begins: int, tokens: int, t
     return root, score, totals[0]
 
 
-def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0,), block_tokens: int = 4_000_000, owner_tokens: int = 1_500_000) -> DataFrame:
+def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0,), block_tokens: int = 2_000_000, owner_tokens: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
     ``weights`` holds K for bigrams, trigrams and so on; their number sets the
