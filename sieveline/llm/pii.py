@@ -9,7 +9,11 @@ the entity's form: letters stay letters of the same script and case, digits
 stay digits, card numbers keep their check-sum property, private addresses
 stay private, first names keep the gender that the title shows. Candidates
 that equal another candidate, an accepted surrogate or any entity found are
-rejected and drawn again, so distinct entities stay distinct.
+rejected and drawn again, so distinct entities stay distinct; mailboxes need
+to differ only within their domain. Later rounds lengthen what can be
+lengthened (mailboxes, domains, phone numbers, names) and take 192.168
+addresses to network 10. What the rounds leave gets the free values of its
+form by rank; it is an error only if a form has fewer free values than entities.
 
 Only built-in functions run. What is shuffled: one row per distinct entity
 and partition, and the pieces of those texts that have mentions. Mentions are salted when
@@ -22,7 +26,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, let
@@ -51,6 +55,10 @@ SYLLABLES = {"latin": "ba be da do ga ka ko la le li ma me mi na no ra re ri sa
 ENDINGS = {"latin": {"m": "n", "f": "na", "last": "rt"}, "cyrillic": {"m": "н", "f": "на", "last": "ров"}, "greek": {"m": "νος", "f": "να", "last": "κης"}}
 
 
+#: The attempts from which a form grows by a digit each, and from which 192.168 addresses go to network 10.
+LONGER, WIDER = 3, 6
+
+
 def may_have(text: Column) -> Column:
     """A cheap test that every text with a mention passes: each kind has a digit, an @ or a title."""
     some = F.contains(text, F.lit("@")) | text.rlike("[0-9]")
@@ -131,9 +139,20 @@ def luhn_sum(number_: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(number_, "")), weigh), F.lit(0), lambda a, b: a + b)
 
 
+def name_of_domain(entity: Column) -> Column:
+    """A domain without its last label and the dot before it."""
+    return F.regexp_replace(entity, "\\.[^.]*$", "")
+
+
+def lead_of(phone: Column) -> Column:
+    """What stays of a phone number: + and the digit after it."""
+    return F.when(F.startswith(phone, F.lit("+")), F.substring(phone, 1, 2)).otherwise(F.lit(""))
+
+
 def draw(key: str, attempt: Column) -> Column:
     """The candidate surrogate of (kind, entity) at an attempt."""
     kind, entity = F.col("kind"), F.col("entity")
+    more = F.repeat(F.lit("0"), F.greatest(attempt - LONGER + 1, F.lit(0)))
 
     def made(stream: Column) -> Column:
         rest = lambda keep: F.concat(F.substring(entity, 1, keep), poured(stream, F.substring(entity, keep + 1, 1000)))
@@ -143,9 +162,11 @@ def draw(key: str, attempt: Column) -> Column:
         card = F.concat(body, F.when(valid, check).otherwise(F.pmod(check + 1 + number(stream, F.lit(40), 9), F.lit(10))).cast("string"))
         octet = lambda i: (number(stream, F.lit(i), 254) + 1).cast("string")
         private = F.when(entity.rlike(r"^10\."), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(entity.rlike(r"^192\.168\."), F.concat_ws(".", F.lit("192.168"), octet(2), octet(3)))
-        ip = F.coalesce(private, F.concat_ws(".", (number(stream, F.lit(0), 89) + 11).cast("string"), octet(1), octet(2), octet(3)))
-        domain = F.concat(poured(stream, F.expr("substring(entity, 1, length(entity) - length(substring_index(entity, '.', -1)))")), F.substring_index(entity, ".", -1))
-        mailbox = poured(stream, F.substring_index(entity, "@", 1))
+        if_full = F.when((attempt >= WIDER) & entity.rlike(r"^192\.168\."), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3)))
+        ip = F.coalesce(if_full, private, F.concat_ws(".", (number(stream, F.lit(0), 89) + 11).cast("string"), octet(1), octet(2), octet(3)))
+        domain = F.concat(poured(stream, F.concat(name_of_domain(entity), more)), F.lit("."), F.substring_index(entity, ".", -1))
+        mailbox = poured(stream, F.concat(F.substring_index(entity, "@", 1), more))
+        phone = poured(stream, F.concat(F.when(F.startswith(entity, F.lit("+")), F.substring(entity, 3, 1000)).otherwise(entity), more))
         name = F.lit(None).cast("string")
         for script, syllables in SYLLABLES.items():
             listed = F.array(*[F.lit(s) for s in syllables.split()])
@@ -154,44 +175,131 @@ def draw(key: str, attempt: Column) -> Column:
             name = F.when(script_of(entity) == script, F.concat(body_of, end)).otherwise(name)
         return (
             F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "domain", domain).when(kind == "mailbox", mailbox)
-            .when(kind == "iban", rest(2)).when(kind == "phone", F.when(F.startswith(entity, F.lit("+")), rest(2)).otherwise(poured(stream, entity))).when(kind == "ssn", poured(stream, entity))
+            .when(kind == "iban", rest(2)).when(kind == "phone", F.concat(lead_of(entity), phone)).when(kind == "ssn", poured(stream, entity))
             .otherwise(name)
         )
 
     return let(hashed(key, kind, entity, attempt), made)
 
 
+def form_of(kind: Column, entity: Column) -> Column:
+    """The form that the surrogates by rank of an entity have: fixed lead, places for letters and digits, fixed tail, check digit (none, valid, invalid)."""
+    shape = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "0"), r"\p{IsCyrillic}", "а"), r"\p{IsGreek}", "α"), r"\p{Lu}(?<=[^\p{IsCyrillic}\p{IsGreek}])", "A"), r"[\p{L}&&[^Aаα]]", "a")
+    form = lambda lead, places, tail="", check="": F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in (("lead", lead), ("places", places), ("tail", tail), ("check", check))])
+    more = "0" * 12
+    named = F.when(kind == "first-f", "f").when(kind == "first-m", "m").otherwise("last")
+    return (
+        F.when(kind == "mailbox", form("", F.concat(shape(F.substring_index(entity, "@", 1)), F.lit(more))))
+        .when(kind == "domain", form("", F.concat(shape(name_of_domain(entity)), F.lit(more)), F.concat(F.lit("."), F.substring_index(entity, ".", -1))))
+        .when(kind == "phone", form(lead_of(entity), F.concat(shape(F.expr("substring(entity, length(CASE WHEN startswith(entity, '+') THEN '++' ELSE '' END) + 1)")), F.lit(more))))
+        .when(kind == "ip", form(F.when(entity.rlike(r"^(10|192\.168)\."), "10.").otherwise(""), F.when(entity.rlike(r"^(10|192\.168)\."), "...").otherwise("....")))
+        .when(kind == "iban", form(F.substring(entity, 1, 2), shape(F.substring(entity, 3, 1000))))
+        .when(kind == "card", form(F.substring(entity, 1, 1), shape(F.expr("substring(entity, 2, length(entity) - 2)")), "", F.when(F.pmod(luhn_sum(entity), F.lit(10)) == 0, "valid").otherwise("invalid")))
+        .when(kind == "ssn", form("", shape(entity)))
+        .otherwise(form(script_of(entity), "," * 16, named))
+    )
+
+
+def radix(place: Column, i: Column) -> Column:
+    """How many values a place of a form has; 1: none but its own."""
+    return F.when(place == "0", 10).when(place.isin("A", "a", "а", "α"), 24).when((place == ".") & F.col("kind").eqNullSafe("ip"), F.when((i == 0) & (F.col("form.lead") == ""), 89).otherwise(254)).when((place == ",") & F.col("kind").rlike("^(first|last)"), 20).otherwise(1).cast("bigint")
+
+
+def valued(n: Column) -> Column:
+    """The ``n``-th value of the column ``form`` of the column ``kind``: the number in mixed radix, the last place the lowest."""
+    form = F.col("form")
+    places = F.split(form["places"], "")
+    last = F.size(places) - 1
+
+    def step(acc: Column, at: Column) -> Column:
+        place, i = F.get(places, last - at), last - at
+        size = radix(place, i)
+        digit = F.pmod(acc["left"], size).cast("int")
+        letter = lambda script: F.substring(F.lit(LETTERS[script]), digit + 1, F.lit(1))
+        syllable = F.lit(None).cast("string")
+        for script, listed in SYLLABLES.items():
+            syllable = F.when(form["lead"] == script, F.get(F.array(*[F.lit(x) for x in listed.split()]), digit)).otherwise(syllable)
+        shown = (
+            F.when(size == 1, place).when(place == "0", digit.cast("string")).when(place == "A", F.upper(letter("latin"))).when(place == "a", letter("latin")).when(place == "а", letter("cyrillic")).when(place == "α", letter("greek"))
+            .when(place == ".", F.concat((digit + F.when(size == 89, 11).otherwise(1)).cast("string"), F.when(i < last, ".").otherwise(""))).otherwise(syllable)
+        )
+        return F.struct(F.floor(acc["left"] / size).cast("bigint").alias("left"), F.concat(shown, acc["out"]).alias("out"))
+
+    out = F.aggregate(F.sequence(F.lit(0), last), F.struct(n.cast("bigint").alias("left"), F.lit("").alias("out")), step)["out"]
+
+    def whole(body: Column) -> Column:
+        led = F.concat(form["lead"], body)
+        check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(led, F.lit("0"))), F.lit(10)), F.lit(10))
+        end = F.lit(None).cast("string")
+        for script, ends in ENDINGS.items():
+            for which, letters in ends.items():
+                end = F.when((form["lead"] == script) & (form["tail"] == which), letters).otherwise(end)
+        return (
+            F.when(F.col("kind") == "card", F.concat(led, F.pmod(check + F.when(form["check"] == "valid", 0).otherwise(1), F.lit(10)).cast("string")))
+            .when(F.col("kind").rlike("^(first|last)"), F.concat(body, end)).otherwise(F.concat(led, form["tail"]))
+        )
+
+    return let(out, whole)
+
+
+def by_rank(left: DataFrame, taken: DataFrame) -> DataFrame:
+    """(kind, entity, scope, surrogate) for ``left`` (kind, entity, scope): the k-th entity of a form gets its k-th value not in ``taken`` (kind, scope, surrogate).
+
+    As many values are listed as there are entities and taken values of the
+    kind and scope, so enough are free unless the form is exhausted.
+    """
+    group = ["kind", "scope", "form"]
+    w = Window.partitionBy(*group)
+    ranked = left.withColumn("form", form_of(F.col("kind"), F.col("entity"))).withColumn("k", F.row_number().over(w.orderBy("entity")))
+    used = taken.groupBy("kind", "scope").agg(F.count("*").alias("used"))
+    groups = ranked.groupBy(*group).agg(F.count("*").alias("n")).join(used, ["kind", "scope"], "left")
+    size = F.aggregate(F.split("form.places", ""), F.struct(F.lit(1.0).alias("of"), F.lit(0).alias("i")), lambda a, c: F.struct((a["of"] * radix(c, a["i"])).alias("of"), (a["i"] + 1).alias("i")))["of"]
+    listed = groups.withColumn("last", F.least(F.col("n") + F.coalesce("used", F.lit(0)), F.when(size < 1e18, size.cast("bigint")))).select(*group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") - 1)).alias("at"))
+    free = listed.select(*group, "at", valued(F.col("at")).alias("surrogate")).join(taken.select("kind", "scope", "surrogate"), ["kind", "scope", "surrogate"], "left_anti")
+    # Two forms of a kind may share a value (a lead or a padded length): the least form has it.
+    free = free.groupBy("kind", "scope", "surrogate").agg(F.min_by(F.struct("form", "at"), F.struct("form", "at")).alias("x")).select("kind", "scope", F.col("x.form").alias("form"), F.col("x.at").alias("at"), "surrogate")
+    return ranked.join(free.withColumn("k", F.row_number().over(w.orderBy("at"))), [*group, "k"]).select("kind", "entity", "scope", "surrogate")
+
+
 def surrogates(found: DataFrame, key: str, *, attempts: int = 12) -> DataFrame:
     """(kind, entity, surrogate) for the distinct entities of ``found`` (kind, entity).
 
     Each round draws for what is left; of equal candidates the least entity
-    wins, and candidates already taken or found as entities lose.
+    wins, and candidates already taken or found as entities lose. After the
+    rounds values are given by rank.
     """
-    left = checkpoint(found.select("kind", "entity").distinct())
-    originals = left.select("kind", F.col("entity").alias("surrogate"))
-    done = None
+    # A mailbox is told apart by its domain too; domains have surrogates of their own.
+    scope = F.when(F.col("kind") == "mailbox", F.substring_index("entity", "@", -1)).otherwise("").alias("scope")
+    left = checkpoint(found.select("kind", "entity", scope).distinct())
+    originals = left.select("kind", "scope", F.when(F.col("kind") == "mailbox", F.substring_index("entity", "@", 1)).otherwise(F.col("entity")).alias("surrogate")).distinct()
+    value = ["kind", "scope", "surrogate"]
+    done = left.select("kind", "entity", "scope", F.lit(None).cast("string").alias("surrogate")).limit(0)
     for attempt in range(attempts):
         drawn = left.withColumn("surrogate", draw(key, F.lit(attempt)))
-        free = drawn.join(originals, ["kind", "surrogate"], "left_anti")
-        if done is not None:
-            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate")
-        done = checkpoint(won if done is None else done.unionByName(won))
+        free = drawn.join(originals, value, "left_anti")
+        if attempt:
+            free = free.join(done.select(*value), value, "left_anti")
+        won = free.groupBy(*value).agg(F.min("entity").alias("entity")).select("kind", "entity", "scope", "surrogate")
+        done = checkpoint(done.unionByName(won) if attempt else won)
         left = checkpoint(left.join(done.select("kind", "entity"), ["kind", "entity"], "left_anti"))
         if left.isEmpty():
-            return done
-    raise RuntimeError(f"surrogates still collide after {attempts} rounds")
+            return done.drop("scope")
+    done = checkpoint(done.unionByName(by_rank(left, originals.unionByName(done.select(*value)))))
+    left = left.join(done.select("kind", "entity"), ["kind", "entity"], "left_anti")
+    if not left.isEmpty():
+        raise RuntimeError("a form has fewer free values than entities")
+    return done.drop("scope")
 
 
 def in_form(mention: Column, kind: Column, made: Column) -> Column:
     """A mention's replacement in the form of the mention. ``made``: surrogates in order."""
 
     def fill(values: Column) -> Column:
-        """The digits and letters of a value, one by one, in the places of the mention's."""
+        """The digits and letters of a value, one by one, in the places of the mention's; what is longer follows."""
         chars = F.split(mention, "")
         spot = r"[0-9A-Za-z]"
         index = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
-        return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(spot), F.substring(values, index(i), F.lit(1))).otherwise(c)), "")
+        return F.concat(F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(spot), F.substring(values, index(i), F.lit(1))).otherwise(c)), ""), F.substring(values, F.length(F.regexp_replace(mention, "[^0-9A-Za-z]", "")) + 1, F.lit(1000)))
 
     def cased(part: Column, value: Column) -> Column:
         return F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(value)).otherwise(F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1000)))

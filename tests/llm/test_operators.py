@@ -380,6 +380,31 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in few}) == 300 and not {r.surrogate for r in few} & {r.entity for r in few}
 
 
+def test_short_forms_get_distinct_surrogates(spark):
+    mails = [f"{c}@firm{i}.com" for c in "ab" for i in range(30)] + [f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"hr@{a}{b}.net" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    d = spark.createDataFrame([(i, f"write to {m} now") for i, m in enumerate(mails)], "doc_id long, text string")
+    shown = {r.doc_id: re.search(r"\S+@\S+", r.text)[0] for r in pii.replace_entities(d, key="k").collect()}
+    assert len(set(shown.values())) == len(mails) and not set(shown.values()) & set(mails)
+    numbers = [f"+1 22 {i:02d}" for i in range(100)] + [f"+1 33 {i:02d}" for i in range(100)]
+    d = spark.createDataFrame([(i, f"call {m}, now") for i, m in enumerate(numbers)], "doc_id long, text string")
+    assert len({re.search(r"\+1 [0-9 ]+", r.text)[0] for r in pii.replace_entities(d, key="k").collect()}) == 200
+
+
+def test_what_rounds_leave_is_given_by_rank(spark):
+    from pyspark.sql import functions as F
+
+    full = spark.range(40_000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), (F.col("id") % 254 + 1).cast("string"), F.floor(F.col("id") / 254 + 1).cast("string")).alias("entity"))
+    half = spark.range(500).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))
+    kinds = spark.createDataFrame([("mailbox", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("domain", f"{c}.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("last", f"{c}li") for c in "abcdef"] + [("first-f", "анна"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("phone", "+12233"), ("ip", "8.8.8.8"), ("ip", "10.1.1.1")], "kind string, entity string")
+    found = full.unionByName(half).unionByName(kinds)
+    for attempts in (0, 1):
+        got = pii.surrogates(found, "k", attempts=attempts).collect()
+        assert len(got) == 40_000 + 500 + kinds.count() and len({(r.kind, r.entity.split("@")[1:].__str__() if r.kind == "mailbox" else "", r.surrogate) for r in got}) == len(got)
+        old = {(r.kind, r.entity) for r in got}
+        assert not [r for r in got if (r.kind, r.surrogate) in old or r.surrogate is None]
+        assert all(r.surrogate.startswith(("10.", "192.168.")) for r in got if r.entity.startswith("192.168.")) and all(re.fullmatch("[0-9]{3}", r.surrogate) for r in got if r.kind == "ssn")
+
+
 def quality_docs():
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice("the of and river house walks slowly under bright mornings people learn many things".split()) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(20, 80)))
