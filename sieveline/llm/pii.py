@@ -1,7 +1,10 @@
 """Personal data: entities are replaced by keyed, type-consistent surrogates.
 
 Detected are e-mail addresses, phone numbers, IPv4 addresses, payment-card and
-account numbers, social-security numbers and names after a title. A mention is reduced to its
+account numbers, social-security numbers and names after a title; of these, all parts, and
+further mentions of the parts in the same document without a title. Persons
+who have no title anywhere in a document are not detected. A part of a name has
+one role (first name or last) in a document. A mention is reduced to its
 entity (an address in lower case, the digits of a number, each part of a
 name), and each distinct entity gets one surrogate everywhere, so coreference
 holds across documents. A surrogate is drawn from a keyed hash and poured into
@@ -29,11 +32,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let
+from .common import checkpoint, let, once
 
 # Titles that show a gender.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа", "Κυρία")
+#: Titles that show none.
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor")
+TITLES = sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)
+TITLED = rf"(?:(?:{'|'.join(TITLES)})\.? )"
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kinds in the order in which they are tried at a place.
@@ -44,7 +51,7 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}[\p{{L}}\p{{M}}'-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}'-]+)?",
+    "name": rf"(?<!\p{{L}}){TITLED}+\p{{Lu}}[\p{{L}}\p{{M}}'-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}'-]+)*",
 }
 ANY = f"({'|'.join(KINDS.values())})"
 
@@ -52,7 +59,7 @@ ANY = f"({'|'.join(KINDS.values())})"
 LETTERS = {"latin": "abcdefghijklmnoprstuvwyz", "cyrillic": "абвгдежзиклмнопрстуфхцчш", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 #: Syllables of names and their endings by gender, by script.
 SYLLABLES = {"latin": "ba be da do ga ka ko la le li ma me mi na no ra re ri sa ta to va ve zo", "cyrillic": "ба бе да до га ка ко ла ле ли ма ме ми на но ра ре ри са та то ва ве зо", "greek": "βα βε δα δο γα κα κο λα λε λι μα με μι να νο ρα ρε ρι σα τα το πα πε ζο"}
-ENDINGS = {"latin": {"m": "n", "f": "na", "last": "rt"}, "cyrillic": {"m": "н", "f": "на", "last": "ров"}, "greek": {"m": "νος", "f": "να", "last": "κης"}}
+ENDINGS = {"latin": {"m": "n", "f": "na", "u": "l", "last": "rt"}, "cyrillic": {"m": "н", "f": "на", "u": "л", "last": "ров"}, "greek": {"m": "νος", "f": "να", "u": "λι", "last": "κης"}}
 
 
 #: The attempts from which a form grows by a digit each, and from which 192.168 addresses go to network 10.
@@ -62,14 +69,14 @@ LONGER, WIDER = 3, 6
 def may_have(text: Column) -> Column:
     """A cheap test that every text with a mention passes: each kind has a digit, an @ or a title."""
     some = F.contains(text, F.lit("@")) | text.rlike("[0-9]")
-    for title in MALE + FEMALE:
+    for title in TITLES:
         some = some | F.contains(text, F.lit(f"{title} ")) | F.contains(text, F.lit(f"{title}. "))
     return some
 
 
 def kind_of(mention: Column) -> Column:
     """The first kind whose pattern matches the whole mention."""
-    out = F.lit("phone")
+    out = F.when(mention.rlike(r"^\p{L}"), "name").otherwise("phone")  # a part of a name that has no title
     for kind, pattern in reversed(KINDS.items()):
         out = F.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
@@ -83,14 +90,45 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def entities(mention: Column, kind: Column) -> Column:
-    """The entities of a mention: structs of kind and normal form."""
+def parts_of(mention: Column) -> Column:
+    """The parts of a name without its titles."""
+    return F.split(F.regexp_replace(mention, f"^{TITLED}+", ""), " ")
+
+
+def key_of(part: Column) -> Column:
+    """A part of a name in lower case, without a genitive."""
+    return F.regexp_replace(F.lower(part), "'s?$", "")
+
+
+def roles_of(mentions: Column) -> Column:
+    """The kind of each part of the names in a document's mentions, by its key; mentions of several parts tell first names from last."""
+    names = F.filter(mentions, lambda m: m.rlike(f"^{TITLED}"))
+
+    def of(m: Column) -> Column:
+        lead = F.regexp_extract(m, f"^{TITLED}+", 0)
+        has = lambda titles: lead.rlike(rf"(?<!\p{{L}})(?:{'|'.join(titles)})\.? ")
+        first = F.when(has(FEMALE), "first-f").when(has(MALE), "first-m").otherwise("first-u")
+        return let(parts_of(m), lambda p: F.transform(p, lambda x, i: F.struct(key_of(x).alias("part"), F.when(i < F.size(p) - 1, first).otherwise("last").alias("kind"))))
+
+    def first_of(all_: Column) -> Column:
+        keys = F.transform(all_, lambda x: x["part"])
+        return let(keys, lambda k: let(F.array_distinct(k), lambda d: F.map_from_arrays(d, F.transform(d, lambda x: F.get(all_, (F.array_position(k, x) - 1).cast("int"))["kind"]))))
+
+    each = F.transform(F.array_distinct(names), of)
+    return let(each, lambda e: let(F.flatten(F.concat(F.filter(e, lambda x: F.size(x) > 1), F.filter(e, lambda x: F.size(x) == 1))), first_of))
+
+
+def pattern_of(roles: Column) -> Column:
+    """ANY, and runs of the parts of a document's names, capitalised or all in capitals."""
+    shown = F.flatten(F.transform(F.array_sort(F.map_keys(roles), lambda a, b: F.length(b) - F.length(a)), lambda k: F.array(F.concat(F.upper(F.substring(k, 1, 1)), F.substring(k, 2, 1000)), F.initcap(k), F.regexp_replace(F.initcap(F.regexp_replace(k, "(['-])", "$1 ")), "(['-]) ", "$1"), F.upper(k))))
+    one = F.concat(F.lit("(?:"), F.array_join(F.array_distinct(shown), "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    return F.when(F.size(roles) == 0, F.lit(ANY)).otherwise(F.concat(F.lit(ANY[:-1] + r"|(?<![\p{L}\p{M}])"), one, F.lit("(?: "), one, F.lit(")*)")))
+
+
+def entities(mention: Column, kind: Column, roles: Column) -> Column:
+    """The entities of a mention: structs of kind and normal form. ``roles``: those of the document's names."""
     one = lambda k, v: F.struct(k.alias("kind"), v.alias("entity"))
-    parts = F.split(mention, " ")
-    title = F.regexp_replace(F.get(parts, 0), "\\.", "")
-    gender = F.when(title.isin(*FEMALE), "first-f").otherwise("first-m")
-    last = one(F.lit("last"), F.lower(F.element_at(parts, -1)))
-    named = F.when(F.size(parts) > 2, F.array(one(gender, F.lower(F.get(parts, 1))), last)).otherwise(F.array(last))
+    named = F.transform(F.transform(parts_of(mention), key_of), lambda k: one(F.coalesce(F.try_element_at(roles, k), F.lit("last")), k))
     address = F.lower(mention)
     lead = F.when(F.startswith(mention, F.lit("+")), F.lit("+")).otherwise(F.lit(""))
     return (
@@ -171,7 +209,7 @@ def draw(key: str, attempt: Column) -> Column:
         for script, syllables in SYLLABLES.items():
             listed = F.array(*[F.lit(s) for s in syllables.split()])
             body_of = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + attempt), lambda i: F.get(listed, number(stream, i, len(syllables.split())))), "")
-            end = F.when(kind == "first-f", ENDINGS[script]["f"]).when(kind == "first-m", ENDINGS[script]["m"]).otherwise(ENDINGS[script]["last"])
+            end = F.when(kind == "first-f", ENDINGS[script]["f"]).when(kind == "first-m", ENDINGS[script]["m"]).when(kind == "first-u", ENDINGS[script]["u"]).otherwise(ENDINGS[script]["last"])
             name = F.when(script_of(entity) == script, F.concat(body_of, end)).otherwise(name)
         return (
             F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "domain", domain).when(kind == "mailbox", mailbox)
@@ -187,7 +225,7 @@ def form_of(kind: Column, entity: Column) -> Column:
     shape = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "0"), r"\p{IsCyrillic}", "а"), r"\p{IsGreek}", "α"), r"\p{Lu}(?<=[^\p{IsCyrillic}\p{IsGreek}])", "A"), r"[\p{L}&&[^Aаα]]", "a")
     form = lambda lead, places, tail="", check="": F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in (("lead", lead), ("places", places), ("tail", tail), ("check", check))])
     more = "0" * 12
-    named = F.when(kind == "first-f", "f").when(kind == "first-m", "m").otherwise("last")
+    named = F.when(kind == "first-f", "f").when(kind == "first-m", "m").when(kind == "first-u", "u").otherwise("last")
     return (
         F.when(kind == "mailbox", form("", F.concat(shape(F.substring_index(entity, "@", 1)), F.lit(more))))
         .when(kind == "domain", form("", F.concat(shape(name_of_domain(entity)), F.lit(more)), F.concat(F.lit("."), F.substring_index(entity, ".", -1))))
@@ -304,8 +342,8 @@ def in_form(mention: Column, kind: Column, made: Column) -> Column:
     def cased(part: Column, value: Column) -> Column:
         return F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(value)).otherwise(F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1000)))
 
-    parts = F.split(mention, " ")
-    named = F.when(F.size(parts) > 2, F.concat_ws(" ", F.get(parts, 0), cased(F.get(parts, 1), F.get(made, 0)), cased(F.get(parts, 2), F.get(made, 1)))).otherwise(F.concat_ws(" ", F.get(parts, 0), cased(F.get(parts, 1), F.get(made, 0))))
+    shown = F.transform(parts_of(mention), lambda p, i: F.concat(cased(p, F.get(made, i)), F.regexp_extract(p, "'[sS]?$", 0)))
+    named = F.concat(F.regexp_extract(mention, f"^{TITLED}+", 0), F.array_join(shown, " "))
     mail = F.concat_ws("@", F.get(made, 0), F.get(made, 1))
     bare = F.regexp_replace(F.get(made, 0), "^\\+", "")
     return F.when(kind == "name", named).when(kind == "email", F.when(F.upper(mention) == mention, F.upper(mail)).otherwise(mail)).when(kind == "ip", F.get(made, 0)).otherwise(fill(bare))
@@ -315,15 +353,20 @@ def replace_entities(docs: DataFrame, *, key: str, salts: int = 16) -> DataFrame
     """doc_id, text with surrogates, n_entities and the count of each kind, of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     has = F.coalesce(may_have(F.col("text")) & F.col("text").rlike(ANY), F.lit(False))
-    hit = docs.where(has).select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(ANY), F.lit(1)).alias("m"), F.split("text", ANY, -1).alias("gaps"))
+    titled = docs.where(has).select("doc_id", "text", once(F.regexp_extract_all("text", F.lit(ANY), F.lit(1))).alias("m0"))
+    titled = titled.select("doc_id", "text", "m0", once(roles_of(F.col("m0"))).alias("roles"))
+    hit = titled.select("doc_id", "text", "m0", "roles", once(pattern_of(F.col("roles"))).alias("any"))
+    again = F.size("roles") > 0
+    hit = hit.select("doc_id", F.monotonically_increasing_id().alias("row"), "roles", F.when(again, F.regexp_extract_all("text", F.col("any"), F.lit(1))).otherwise(F.col("m0")).alias("m"), F.when(again, F.split("text", F.col("any"), -1)).otherwise(F.split("text", ANY, -1)).alias("gaps"))
     # One row for each piece: a gap and the mention that ends it; the last gap has none.
-    piece = hit.select("doc_id", "row", F.posexplode("gaps").alias("pos", "gap"), "m").select("doc_id", "row", "pos", "gap", F.get("m", F.col("pos")).alias("mention"))
+    piece = hit.select("doc_id", "row", F.posexplode("gaps").alias("pos", "gap"), "m", "roles").select("doc_id", "row", "pos", "gap", "roles", F.get("m", F.col("pos")).alias("mention"))
     piece = piece.withColumn("kind", F.when(F.col("mention").isNotNull(), kind_of(F.col("mention"))))
-    listed = docs.where(has).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(1)))).alias("mention"))
-    found = listed.select(F.explode(entities(F.col("mention"), kind_of(F.col("mention")))).alias("e")).select("e.kind", "e.entity")
+    # Further mentions of names bring no entities of their own.
+    listed = titled.select(F.explode(F.array_distinct("m0")).alias("mention"), "roles")
+    found = listed.select(F.explode(entities(F.col("mention"), kind_of(F.col("mention")), F.col("roles"))).alias("e")).select("e.kind", "e.entity")
     table = surrogates(found, key)
     salted = table.select(F.col("kind").alias("__kind"), F.col("entity").alias("__entity"), "surrogate").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    parts = piece.where(F.col("mention").isNotNull()).select("doc_id", "row", "pos", "gap", "mention", "kind", F.posexplode(entities(F.col("mention"), F.col("kind"))).alias("part", "e"))
+    parts = piece.where(F.col("mention").isNotNull()).select("doc_id", "row", "pos", "gap", "mention", "kind", F.posexplode(entities(F.col("mention"), F.col("kind"), F.col("roles"))).alias("part", "e"))
     parts = parts.select("doc_id", "row", "pos", F.when(F.col("part") == 0, F.col("gap")).alias("gap"), "mention", "kind", "part", F.col("e.kind").alias("__kind"), F.col("e.entity").alias("__entity"), F.pmod(F.xxhash64("row", "pos"), F.lit(salts)).cast("int").alias("__salt"))
     met = parts.join(salted, ["__kind", "__entity", "__salt"]).select("doc_id", "row", "pos", "gap", "mention", "kind", "part", "surrogate")
     tails = piece.where(F.col("mention").isNull()).select("doc_id", "row", "pos", "gap", "mention", "kind", F.lit(0).alias("part"), F.lit(None).cast("string").alias("surrogate"))

@@ -405,6 +405,18 @@ def test_what_rounds_leave_is_given_by_rank(spark):
         assert all(r.surrogate.startswith(("10.", "192.168.")) for r in got if r.entity.startswith("192.168.")) and all(re.fullmatch("[0-9]{3}", r.surrogate) for r in got if r.kind == "ssn")
 
 
+def test_names_are_replaced_wherever_they_are_in_a_document(spark):
+    texts = ["Mr John Paul Smith met Ms Anna Lee. John said, Smith left; JOHN PAUL SMITH's hat. Mr John's dog, Lee-Ann.", "Dr Rao and Prof. Dr. Ida Holm. Then Holm saw Rao and Ida.", "John and Smith, untitled, call +1 22 3344", "Frau Ida Holm"]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    one = re.fullmatch(r"Mr (\w+) (\w+) (\w+) met Ms (\w+) (\w+)\. (\w+) said, (\w+) left; (\w+) (\w+) (\w+)'s hat\. Mr (\w+)'s dog, (\w+)-Ann\.", got[0].text).groups()
+    john, paul, smith, anna, lee = one[:5]
+    assert one[5:] == (john, smith, john.upper(), paul.upper(), smith.upper(), john, lee) and len({*one[:5]}) == 5
+    assert not {x.lower() for x in one} & {"john", "paul", "smith", "anna", "lee"} and got[0].n_name == 7
+    rao, ida, holm = (two := re.fullmatch(r"Dr (\w+) and Prof\. Dr\. (\w+) (\w+)\. Then (\w+) saw (\w+) and (\w+)\.", got[1].text).groups())[:3]
+    assert two[3:] == (holm, rao, ida) and not {*two} & {"Rao", "Ida", "Holm"}
+    assert got[2].text.startswith("John and Smith, untitled, call +1 ") and got[3].text.endswith(f" {holm}")
+
+
 def quality_docs():
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice("the of and river house walks slowly under bright mornings people learn many things".split()) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(20, 80)))
