@@ -20,10 +20,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a local folder is set up.
+    A folder of this machine is set up where that is unset, if the master is
+    local too; elsewhere that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "sieveline-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -44,6 +47,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rowed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` but the text as one struct ``row``, so that none clashes with an operator's own."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
+
+
+def unrowed(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from ``row`` and ``text``."""
+    return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], *, salts: int = 16, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key; a key's rows of ``left`` are dealt over ``salts`` tasks by the hash of ``spread``."""
+    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return dealt.join(many, [*on, "__salt"], how).drop("__salt")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value computed once per row, even inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

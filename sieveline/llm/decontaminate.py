@@ -2,18 +2,21 @@
 
 Items are lower-cased (A-Z only) and cut into words; every window of
 ``window`` consecutive words (all words of a shorter item) is a pattern. A
-document is normalised the same way, byte by byte, and scanned once; match
-ends are mapped to word positions and, on request, to character offsets of the
-original text.
+document is normalised the same way, byte by byte, and scanned once; matches
+are mapped to word positions and, on request, to character offsets of the
+original text. The automaton reads words as codes of three letters, one of each
+of three alphabets, so a match can't begin or end inside a word, and its size
+depends on the number of windows and not on the length of words.
 
-The items are the small side. Their size is checked: above ``block_bytes``
-they are dealt into blocks, one automaton and one scan each, and the spans of
-the blocks are merged, so memory is bounded by a block.
+The items are the small side, but nothing relies on that: they are dealt into
+blocks by hash, so that a block has ``block_words`` words in expectation (about
+1.5 KB of automaton a word), with one automaton and one scan each; the spans of the blocks are
+merged row by row. Only a block at a time is sent from the driver.
 
 Results: null and empty texts have no words and no hits; items without words
 have no windows; equal windows of several items count for each; repeated
-rows are judged each; other columns are ignored; empty tables give no rows or
-no hits.
+rows are judged each; rows without a doc_id are judged like any other; other
+columns are ignored, whatever their names; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import rowed, unrowed
 
 #: Bytes of UTF-8 to normal form: letters and digits stay, in lower case, as do bytes outside ASCII; others part words.
 NORMAL = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -39,64 +42,78 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(NORMAL).split()
 
 
-def patterns(items: list[tuple], window: int) -> dict[str, tuple[int, list]]:
-    """Each window, between spaces, with its number of words and its items."""
-    found: dict[str, tuple[int, list]] = {}
+def patterns(items: list[tuple], window: int) -> dict[tuple[bytes, ...], list]:
+    """Each window with its items."""
+    found: dict[tuple[bytes, ...], list] = {}
     for item, text in items:
         words = words_of(text.encode()) if text else []
         n = min(window, len(words))
         for i in range(len(words) - n + 1 if n else 0):
-            key = f" {b' '.join(words[i : i + n]).decode('latin-1')} "
-            owners = found.setdefault(key, (n, []))[1]
+            owners = found.setdefault(tuple(words[i : i + n]), [])
             if item not in owners:
                 owners.append(item)
     return found
 
 
-def automaton(items: list[tuple], window: int):
-    import ahocorasick
+#: Letters in an alphabet; three of them make a code. A letter of the first alphabet alone is a word of no item.
+BASE = 128
+UNKNOWN = chr(0x0FF) * 3
 
-    built = ahocorasick.Automaton()
-    for key, value in patterns(items, window).items():
-        built.add_word(key, value)
-    if len(built):
-        built.make_automaton()
-    return built
+
+def code_of(number: int) -> str:
+    return chr(0x100 + number // (BASE * BASE)) + chr(0x200 + number // BASE % BASE) + chr(0x300 + number % BASE)
+
+
+class Machine:
+    """The automaton of some items."""
+
+    def __init__(self, items: list[tuple], window: int):
+        import ahocorasick
+
+        self.codes: dict[bytes, str] = {}
+        self.built = ahocorasick.Automaton()
+        for words, owners in patterns(items, window).items():
+            for word in words:
+                if word not in self.codes:
+                    self.codes[word] = code_of(len(self.codes))
+            self.built.add_word("".join(map(self.codes.__getitem__, words)), (len(words), owners))
+        if len(self.built):
+            self.built.make_automaton()
+
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, list]]:
+        """(first word, end, items) of each match, by end."""
+        if len(self.built) and words:
+            line = "".join([self.codes.get(word, UNKNOWN) for word in words])
+            for last, (n, items) in self.built.iter(line):
+                yield last // 3 + 1 - n, last // 3 + 1, items
 
 
 #: The items last seen in this worker process, held so that they are told from later ones, and their automaton.
 _BUILT: list[tuple] = []
 
 
-def built_once(items: Broadcast, window: int):
+def built_once(items: Broadcast, window: int) -> Machine:
     """One automaton at a time for each worker process."""
     if not _BUILT or _BUILT[0][0] is not items.value or _BUILT[0][1] != window:
-        _BUILT[:] = [(items.value, window, automaton(items.value, window))]
+        _BUILT.clear()
+        _BUILT.append((items.value, window, Machine(items.value, window)))
     return _BUILT[0][2]
 
 
-def scan(raw: bytes, machine) -> tuple[int, list[tuple[int, int]], list]:
+def scan(raw: bytes, machine: Machine) -> tuple[int, list[tuple[int, int]], list]:
     """Words of a text, merged word spans (end exclusive) inside windows, and items."""
     words = words_of(raw)
-    if not len(machine) or not words:
-        return len(words), [], []
-    line = b" %b " % b" ".join(words)
     spans: list[list[int]] = []
-    owners: list[list] = []
-    at = count = 0
-    for end, (n, items) in machine.iter(line.decode("latin-1")):
-        # Spaces up to the match's closing one: the words that have ended.
-        count += line.count(b" ", at, end + 1)
-        at = end + 1
-        last = count - 1
-        owners.append(items)
-        if spans and last - n <= spans[-1][1]:
-            while len(spans) > 1 and last - n <= spans[-2][1]:
+    owners: dict = {}
+    for start, end, items in machine.matches(words):
+        owners.update(dict.fromkeys(items))
+        if spans and start <= spans[-1][1]:
+            while len(spans) > 1 and start <= spans[-2][1]:
                 spans.pop()
-            spans[-1] = [min(spans[-1][0], last - n), last]
+            spans[-1] = [min(spans[-1][0], start), end]
         else:
-            spans.append([last - n, last])
-    return len(words), [(a, b) for a, b in spans], list(dict.fromkeys(i for group in owners for i in group))
+            spans.append([start, end])
+    return len(words), [(a, b) for a, b in spans], list(owners)
 
 
 def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,65 +122,76 @@ def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in spans]
 
 
-def merged_spans(spans: Column) -> Column:
-    """Overlapping and touching spans of an array made one."""
-    last = lambda done: F.element_at(done, -1)
-    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    fold = lambda done, s: F.when(
-        (F.size(done) > 0) & (s["start"] <= F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(-1))),
-        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(pair(last(done)["start"], F.greatest(last(done)["end"], s["end"])))),
-    ).otherwise(F.concat(done, F.array(pair(s["start"], s["end"]))))
-    return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"), fold)
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+TWO = "array<struct<start: long, end: long>>"
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def as_spans(rows: list) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in rows], SPAN)
+
 
+WORD_SQL = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: int = 32 << 20, with_offsets: bool = False) -> DataFrame:
+
+def item_blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
+    """The items with words, as (item_id, text) of each block."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").rlike(WORD_SQL))
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(WORD_SQL)))).first()[0] or 0
+    blocks = 1 + int(total) // block_words
+    return [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) for block in range(blocks)]
+
+
+def add_block(rows: DataFrame, shared: Broadcast, window: int, with_offsets: bool, keep_text: bool) -> DataFrame:
+    """``rows`` (row, text, n_words, spans, item_ids, places) with what one more block of items finds."""
+    out = rows.schema if keep_text else rows.drop("text").schema
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = built_once(shared, window)
+        for batch in parts:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            got = [scan(x or b"", machine) for x in texts]
+            spans, items = [g[1] for g in got], [g[2] for g in got]
+            for k, (spans_before, items_before) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)):
+                if items_before:
+                    spans[k] = merged([*spans[k], *((s["start"], s["end"]) for s in spans_before)])
+                    items[k] = list(dict.fromkeys([*items_before, *items[k]]))
+            places = [offsets(x.decode(), s) if with_offsets and s else [] for x, s in zip(texts, spans, strict=True)]
+            new = {"row": batch.column("row"), "text": batch.column("text"), "n_words": pa.array([g[0] for g in got], pa.int64()), "spans": as_spans(spans), "item_ids": pa.array(items, pa.list_(pa.string())), "places": as_spans(places)}
+            yield pa.RecordBatch.from_arrays([new[c] for c in out.names], names=out.names)
+
+    return rows.mapInArrow(batches, out)
+
+
+def scanned(docs: DataFrame, items: DataFrame, *, window: int, block_words: int, with_offsets: bool = False, keep_text: bool = False) -> DataFrame:
+    """n_words, spans, item_ids and places of each row, and the row itself: ``row`` has its columns but the text. No shuffle, one pass a block."""
+    found = docs.select(rowed(docs), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(TWO).alias("spans"), F.array().cast("array<string>").alias("item_ids"), F.array().cast(TWO).alias("places"))
+    blocks = item_blocks(items, block_words)
+    for k, block in enumerate(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])  # a block
+        found = add_block(found, shared, window, with_offsets, keep_text or k < len(blocks) - 1)
+    return found
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 100_000, with_offsets: bool = False) -> DataFrame:
     """doc_id, n_words, spans of hit words and item_ids for every row of ``docs`` (doc_id, text).
 
     ``items`` has (item_id, text), item_id a number or a string. With
     ``with_offsets``, ``places`` holds the spans as character offsets of the
     original text.
     """
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + int(total) // block_bytes
-    two = "array<struct<start: long, end: long>>"
-    schema = f"doc_id {kind}, __text long, n_words long, spans {two}, item_ids array<string>, places {two}"
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    docs = docs.select("doc_id", "text", (F.xxhash64("text") if blocks > 1 else F.lit(0).cast("long")).alias("__text"))
-
-    def scanned(block: int) -> DataFrame:
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])  # block_bytes at most
-
-        def as_spans(rows: list) -> pa.Array:
-            return pa.array([[{"start": a, "end": b} for a, b in s] for s in rows], span)
-
-        def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = built_once(shared, window)
-            for batch in rows:
-                raw = batch.column("text").cast(pa.binary()).to_pylist()
-                got = [scan(x or b"", machine) for x in raw]
-                places = [offsets(x.decode(), g[1]) if with_offsets and g[1] else [] for x, g in zip(raw, got, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("__text"), pa.array([g[0] for g in got], pa.int64()), as_spans([g[1] for g in got]), pa.array([g[2] for g in got], pa.list_(pa.string())), as_spans(places)],
-                    names=["doc_id", "__text", "n_words", "spans", "item_ids", "places"],
-                )
-
-        return docs.mapInArrow(batches, schema)
-
-    found = scanned(0)
-    if blocks > 1:
-        for b in range(1, blocks):
-            found = found.unionByName(scanned(b))
-        every = lambda c: F.flatten(F.collect_list(c))
-        found = found.groupBy("doc_id", "__text").agg(
-            F.first("n_words").alias("n_words"), merged_spans(every("spans")).alias("spans"), F.array_distinct(every("item_ids")).alias("item_ids"), merged_spans(every("places")).alias("places"),
-            (F.count("*") / blocks).cast("int").alias("__rows"),
-        )
-        found = found.withColumn("__rows", F.explode(F.array_repeat(F.lit(0), F.col("__rows"))))
-    return found.select("doc_id", "n_words", "spans", "item_ids", *(["places"] if with_offsets else []))
+    found = scanned(docs.select("doc_id", "text"), items, window=window, block_words=block_words, with_offsets=with_offsets)
+    return found.select("row.doc_id", "n_words", "spans", "item_ids", *(["places"] if with_offsets else []))
 
 
 def leak_report(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataFrame:
@@ -180,15 +208,10 @@ def leak_report(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataF
     )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of an item.
-
-    Documents with a hit are few and are found by doc_id, so texts are
-    scanned once and the rest passes on; rows of equal doc_id go together.
-    """
-    leaks = find_leaks(docs.where(F.col("doc_id").isNotNull()), items, window=window).where(F.size("spans") > 0)
-    gone = written(leaks.select(F.col("doc_id").alias("__doc")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 100_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item; each row is judged by its own text."""
+    found = scanned(docs, items, window=window, block_words=block_words, keep_text=True).where(F.size("item_ids") == 0)
+    return found.select(*unrowed(docs))
 
 
 #: The same report in DuckDB SQL over ``documents`` and ``benchmark``.

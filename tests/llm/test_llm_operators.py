@@ -149,11 +149,11 @@ def brute_leaks(items, window=10):
 ITEMS = [(1, " ".join(f"ALPHA{i}" for i in range(20, 45))), (2, "beta3 beta4, beta5"), (3, None), (4, ""), (5, "beta4 beta5 beta6"), (12, "one"), (7, "absent words here")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
+@pytest.mark.parametrize("block", [1 << 20, 12])
 def test_leaks_equal_brute_force(spark, docs, none, block):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = sorted(((i, *x) for (i, _), x in zip(TEXTS, brute_leaks(ITEMS), strict=True)), key=repr)
-    found = decontaminate.find_leaks(docs, items, block_bytes=block).collect()
+    found = decontaminate.find_leaks(docs, items, block_words=block).collect()
     got = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), len(r.item_ids), hashlib.sha256(",".join(sorted(r.item_ids)).encode()).hexdigest()) for r in found), key=repr)
     assert got == want
     assert decontaminate.leak_report(none, items).count() == 0
@@ -213,6 +213,41 @@ def test_line_dedup_equals_brute_force(docs, none):
     assert line_dedup.line_report(none).count() == 0
 
 
+def test_selected_positions_are_few_and_shared():
+    rng = random.Random(4)
+    lines = lambda n: [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(3, 9))) for _ in range(n)]
+    passage = lines(30)
+    one, two = "\n".join(lines(40) + passage + lines(20)), "\n".join(lines(7) + passage + lines(50))
+    prints = [dict(line_dedup.fingerprints(t, 50)) for t in (one, two)]
+    shared = set(prints[0]) & set(prints[1])
+    assert shared and len(prints[0]) < 90 / 2
+    # Every window of the passage is reached from a shared position, and no position but the windows' minima is.
+    runs = [{r["run"] for p in shared for r in found[p]} for found in prints]
+    sizes = [len(x.split()) for x in passage]
+    assert len(runs[0] & runs[1]) == len(line_dedup.windows_of(sizes, 50))
+
+
+def test_selection_is_what_joins(spark, monkeypatch):
+    """Without the minima nothing is found: the positions are the only way from text to text."""
+    d = spark.createDataFrame([(1, f"a b\n{P1}"), (2, f"{P1}\nc d")], "doc_id long, text string")
+    assert line_dedup.repeated_runs(d).count() == 1
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda text, least: iter(()))
+    assert line_dedup.repeated_runs(d).count() == 0
+
+
+def test_line_dedup_of_equal_ids_and_clashing_columns(spark):
+    schema = "doc_id long, text string, row string, removed string, spans int, copy string, key string, `a.b` int"
+    made = [(1, P1, "r", "x", 1, "c", "k", 5), (1, f"start\n{P1}\n{P2}", "r", "x", 2, "c", "k", 6), (1, f"{P2}\nother words", None, None, 3, None, None, None), (None, P1, "r", "x", 4, "c", "k", 8), (2, None, "r", "x", 5, "c", "k", 9), (3, P1, "r", "x", 6, "c", "k", 10)]
+    d = spark.createDataFrame(made, schema)
+    got = {r["a.b"]: r for r in line_dedup.dedup_lines(d, length="spans", drop_emptied=True).collect()}
+    assert line_dedup.dedup_lines(d).columns == d.columns and line_dedup.dedup_lines(d).count() == 6
+    texts = sorted(r.text or "" for r in got.values())
+    assert sum(P1 in t for t in texts) == 2 and sum(P2 in t for t in texts) == 1  # one is the row without an id
+    assert any("other words" in t for t in texts) and any("start" in t for t in texts) and got[8].text == P1 and got[8].key == "k" and got[8].spans == 4
+    assert all(r.spans == len(r.text) for r in got.values() if r.text in ("start", "other words"))
+    assert line_dedup.dedup_lines(d.limit(0)).count() == 0
+
+
 def test_windows_cover_every_run():
     rng = random.Random(1)
     for _ in range(200):
