@@ -16,7 +16,6 @@ stay through stage 4, ``n_chars`` with the new length where a text changed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sieveline.llm.common import written
 from sieveline.llm.decontaminate import without_leaks
@@ -31,10 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(docs)
-    changed = F.size("removed") > 0
-    left = cleaned.where(~changed | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return left.select(*[F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return dedup_lines(docs, length="n_chars", drop_emptied=True)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
