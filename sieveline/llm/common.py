@@ -64,6 +64,17 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     return dealt.join(many, [*on, "__salt"], how).drop("__salt")
 
 
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``weight`` the key's rows of ``left``, ``total`` in all.
+
+    A key with more than a thousandth of all rows would make one long task;
+    there are fewer than 1000 of those, and they are broadcast.
+    """
+    heavy = F.col(weight) > total / 1000
+    hot, cold = F.broadcast(right.where(heavy).drop(weight)), right.where(~heavy).drop(weight)
+    return left.join(hot, on).unionByName(left.join(F.broadcast(right.where(heavy).select(*on)), on, "left_anti").join(cold, on))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value computed once per row, even inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,23 +1,27 @@
 """N-gram Jaccard self-join by chosen paths.
 
 A document is its set of shingles (five words; all words of a shorter text).
-In each run a path starts empty and is extended level by level: of a set's
+In each run a path starts empty and is extended token by token: of a set's
 tokens those are chosen whose hash under the path is below 1 / (similarity x
 set size), the same for every set, so sets that share much follow the same
-paths. Sets at the end of a path are a bucket. A pair at the threshold shares
-a path of three levels in one run with probability 0.44; runs are repeated
-until the target recall.
-
-Equal sets are collapsed into classes first, so copies cost one row each.
-Overlapping buckets are joined, and each group is compared by brute force
-once; groups above ``chunk`` sets are dealt into chunks, and the pairs of
-chunks are compared in tasks of their own, so every pair is compared and none
-is emitted: tasks return counts of links and one edge per linked set.
+paths. Sets at the end of a path are a bucket, and buckets that share a set
+are a group. A group of ``bucket`` sets or fewer is compared by brute force; a larger
+one is split recursively by the paths one token longer, until ``levels``
+tokens are shared. Groups are disjoint, so a pair is compared once. Runs are
+repeated until a pair at the threshold shares a path of ``levels`` tokens with
+probability ``recall``, also where one set contains the other.
+
+What is still larger then is mostly one cluster of different near copies,
+where the links themselves are quadratic. Its sets are dealt into chunks, sets
+with the same least path together, and those pairs of chunks are compared, in tasks of
+their own, that share a path; no pair is emitted: tasks return counts of links and one edge
+per linked set. Equal sets are collapsed into classes first, so copies cost one row each.
 
 Results: one row per input row. Texts without words and rows without a doc_id
 link to nothing and are classes of their own; repeated rows and equal texts
-link to each other; other columns are ignored; an empty table gives no rows.
-Of rows with equal doc_id but different texts, each is a document.
+link to each other; other columns are ignored, whatever their names; an empty
+table gives no rows. Of rows with equal doc_id but different texts, each is a
+document.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import heavy_join, rowed, unrowed, written
 from .graph import components
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -72,11 +76,12 @@ def shingles(raw: bytes, hashes: WordHashes, size: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def chosen_paths(tokens: np.ndarray, runs: int, levels: int, similarity: float, seed: int = 1) -> np.ndarray:
-    """Ends of the paths of a set, over all runs."""
+def chosen_paths(tokens: np.ndarray, runs: int, levels: int, similarity: float, seed: int = 1) -> list[np.ndarray]:
+    """The paths of a set over all runs: those of one token, of two and so on."""
     limit = np.uint64(min(2**64 - 1, int(2.0**64 / (similarity * len(tokens)))))
     paths = mix((np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed << 20)) * STEP)
     block = max(1, (1 << 20) // len(tokens))
+    found = []
     for _ in range(levels):
         nexts = []
         for at in range(0, len(paths), block):
@@ -84,34 +89,42 @@ def chosen_paths(tokens: np.ndarray, runs: int, levels: int, similarity: float,
             rows, cols = np.nonzero(drawn < limit)
             nexts.append(mix(paths[at : at + block][rows] * STEP + tokens[cols]))
         paths = np.unique(np.concatenate(nexts)) if nexts else paths
-    return paths
+        found.append(paths)
+    return found
 
 
 def runs_for(recall: float, similarity: float, levels: int) -> int:
-    """Runs until a pair at the threshold is found with probability ``recall``."""
-    common = 2 / (1 + similarity)  # shared tokens per set size, over the similarity
+    """Runs until a pair at the threshold is found with probability ``recall``.
+
+    A pair of sizes a <= b shares at least similarity x b tokens where the
+    smaller is contained in the larger, the worst case, and the larger set's
+    limit counts: one shared chosen token a path is expected at least.
+    """
     found = 1.0
     for _ in range(levels):
-        found = 1 - math.exp(-common * found)
+        found = 1 - math.exp(-found)
     return math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
 def sketched(docs: DataFrame, size: int, similarity: float, runs: int, levels: int) -> DataFrame:
-    """doc_id, set (hash of the shingle set; null: none), n and paths."""
+    """doc_id, copy (hash of the text), set (hash of the shingle set; null: none), n and the paths by length, p1, p2 and so on."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [f"p{k + 1}" for k in range(levels)]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in rows:
-            keys, ns, paths = [], [], []
+            keys, ns = [], []
+            paths: list[list] = [[] for _ in names]
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingles(raw or b"", hashes, size)
                 keys.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
                 ns.append(len(s))
-                paths.append(chosen_paths(s, runs, levels, similarity).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "set", "n", "paths"])
+                for out, mine in zip(paths, chosen_paths(s, runs, levels, similarity) if len(s) else [np.empty(0, np.uint64)] * levels, strict=True):
+                    out.append(mine.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), *[pa.array(p, pa.list_(pa.int64())) for p in paths]], names=["doc_id", "copy", "set", "n", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, set long, n int, paths array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(batches, f"doc_id {kind}, copy long, set long, n int, " + ", ".join(f"{n} array<long>" for n in names))
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray | None, similarity: tuple[int, int]) -> np.ndarray:
@@ -193,64 +206,114 @@ def compare_groups(rows: DataFrame, size: int, similarity: tuple[int, int]) -> D
     return rows.mapInArrow(batches, "node long, links long, root long")
 
 
-def jaccard_classes(docs: DataFrame, *, size: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.9999, levels: int = 3, chunk: int = 400, chunk_tokens: int = 2_000_000) -> DataFrame:
-    """doc_id, set_id, class_id and n_links of every row of ``docs`` (doc_id, text).
+def bucket_groups(ends: DataFrame, total: int) -> DataFrame:
+    """(node, root): the groups of sets that buckets join, from ``ends`` (node, path), ``total`` rows."""
+    hubs = ends.groupBy("path").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("rows")).where("hub <> far").drop("far")
+    return components(heavy_join(ends, hubs, ["path"], "rows", total).select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
-    ``set_id`` is the least doc_id with the same shingles, ``class_id`` the
-    least doc_id that links lead to, ``n_links`` the number of other rows with
-    the similarity (a fraction) or more, copies included.
+
+def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
+    """node, doc_id, copy, weight, group, own (chunk) and pairs (of chunks) of each set that shares a bucket.
+
+    ``sketch`` and ``classes`` are written tables.
     """
+    whose = classes.select(F.col("set").alias("node"), "doc_id", "copy", "weight", "n")
+    mine = sketch.where(F.col("doc_id").isNotNull() & F.col("set").isNotNull())
+    one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    found = None
+    for level in range(1, levels + 1):
+        ends = mine.select(F.col("set").alias("node"), F.explode(f"p{level}").alias("path"))
+        total = mine.agg(F.coalesce(F.sum(F.size(f"p{level}")), F.lit(0))).first()[0]
+        groups = bucket_groups(ends, int(total)).join(whose, "node")
+        parts = F.ceil(F.greatest(F.count("*") / bucket, F.sum("n") / bucket_tokens)).cast("int")
+        sizes = groups.groupBy("root").agg(parts.alias("chunks"), F.count("*").alias("sets"))
+        dealt = written(heavy_join(groups, sizes.withColumn("rows", F.col("sets")), ["root"], "rows", int(total)), f"groups{level}")
+        small = dealt.where("chunks = 1").select("node", "doc_id", "copy", "weight", F.xxhash64(F.lit(level), "root").alias("group"), F.lit(0).alias("own"), one.alias("pairs"))
+        found = small if found is None else found.unionByName(small)
+        large = dealt.where("chunks > 1")
+        if large.isEmpty():
+            return found
+        # One row for each set goes on.
+        mine = mine.join(large.select("doc_id", "copy"), ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"])
+        mine = written(mine.select("doc_id", "copy", "set", *[f"p{k}" for k in range(min(level + 1, levels), levels + 1)]), f"sketch{level}")
+    leads = mine.select(F.col("set").alias("node"), F.array_min(f"p{levels}").alias("lead"))
+    led = large.join(leads, "node")
+    many = led.groupBy("root", "lead").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"), F.count("*").alias("rows"))
+    led = heavy_join(led, many, ["root", "lead"], "rows", int(total))
+    own = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))), F.col("chunks")).cast("int")
+    chunked = written(led.select("node", "doc_id", "copy", "weight", "root", own.alias("own")), "chunks")
+    # Pairs of chunks that share a path; a set's own chunk is compared with itself too.
+    meet = mine.select(F.col("set").alias("node"), F.explode(f"p{levels}").alias("path")).join(chunked.select("node", "root", "own"), "node").select("path", "root", "own").distinct()
+    chunks = meet.groupBy("root", "path").agg(F.collect_set("own").alias("c")).where(F.size("c") > 1).select("root", F.array_sort("c").alias("c")).distinct()
+    pairs = chunks.select("root", "c", F.explode("c").alias("a")).select("root", "a", F.explode("c").alias("b")).where("a < b").distinct()
+    sides = pairs.select("root", F.col("a").alias("own"), "a", "b").unionByName(pairs.select("root", F.col("b").alias("own"), "a", "b")).unionByName(chunked.select("root", "own", F.col("own").alias("a"), F.col("own").alias("b")).distinct())
+    listed = sides.groupBy("root", "own").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+    return found.unionByName(chunked.join(listed, ["root", "own"]).select("node", "doc_id", "copy", "weight", F.xxhash64(F.lit(0), "root").alias("group"), "own", "pairs"))
+
+
+def with_sets(rows: DataFrame, size: int) -> DataFrame:
+    """The shingle sets (tokens) of the texts of ``rows``."""
+    kept = ["node", "weight", "group", "own", "pairs"]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in parts:
+            blobs = [shingles(raw or b"", hashes, size).tobytes() for raw in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(blobs, pa.binary())], names=[*kept, "tokens"])
+
+    rows = rows.select("text", *kept)
+    return rows.mapInArrow(batches, rows.select(*kept, F.lit(b"").alias("tokens")).schema)
+
+
+def set_classes(docs: DataFrame, *, size: int, similarity: tuple[int, int], recall: float, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
+    """doc_id, copy, set_id, class_id, class_copy and n_links of every row of ``docs`` (doc_id, text)."""
     share = similarity[0] / similarity[1]
     # Without a doc_id or words nothing links.
     sketch = written(sketched(docs, size, share, runs_for(recall, share, levels), levels), "sketch")
     real = sketch.where(F.col("doc_id").isNotNull() & F.col("set").isNotNull())
-    classes = written(real.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("paths").alias("paths")), "classes")
+    by_set = real.groupBy("set").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
     # From here a class is its set hash.
-    ends = classes.select(F.col("set").alias("node"), F.explode("paths").alias("path"))
-    hubs = ends.groupBy("path").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("path", "hub")
-    groups = written(components(ends.join(hubs, "path").select(F.col("node").alias("u"), F.col("hub").alias("v"))), "groups")
-    sized = groups.join(classes.select(F.col("set").alias("node"), "rep", "weight", "n"), "node")
-    chunks = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / chunk_tokens)).cast("int").alias("chunks"))
-    dealt = sized.join(chunks, "root").select("node", F.col("rep").alias("__rep"), "weight", "root", "chunks")
-    hashed = docs.select("doc_id", "text").join(dealt.hint("shuffle_hash"), F.col("doc_id") == F.col("__rep"))
-    sets = with_sets(hashed, size).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = pairs.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "weight", "tokens")
-    rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
+    classes = written(by_set.select("set", "rep.doc_id", "rep.copy", "weight", "n"), "classes")
+    dealt = groups_to_compare(sketch, classes, levels=levels, bucket=bucket, bucket_tokens=bucket_tokens)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").join(dealt.hint("shuffle_hash"), ["doc_id", "copy"])
+    rows = with_sets(texts, size).select("group", F.explode("pairs").alias("pair"), "own", "node", "weight", "tokens").select("group", "pair.a", "pair.b", "own", "node", "weight", "tokens")
+    rows = rows.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "node")
     links = written(compare_groups(rows, size, similarity), "links")
     totals = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    # The least doc_id of a class of sets.
-    named = roots.join(classes.select(F.col("set").alias("node"), "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    found = named.join(least, "root").join(totals, "node").select("node", "class_id", "links")
-    labels = classes.select(F.col("set").alias("node"), "rep", "weight").join(found, "node", "left").select(F.col("node").alias("__set"), F.col("rep").alias("set_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    linked_rows = real.select("doc_id", "set").join(labels, F.col("set") == F.col("__set")).select("doc_id", "set_id", "class_id", "n_links")
-    alone = sketch.where(F.col("doc_id").isNull() | F.col("set").isNull()).select("doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = roots.join(classes.select(F.col("set").alias("node"), F.struct("doc_id", "copy").alias("rep")), "node")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("rows"))
+    n_sets = classes.count()
+    found = heavy_join(named, least, ["root"], "rows", n_sets).join(totals, "node").select(F.col("node").alias("set"), "least", "links")
+    own = F.struct("doc_id", "copy")
+    labels = classes.join(found, "set", "left").select("set", F.col("doc_id").alias("set_id"), F.coalesce("least", own).alias("least"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "weight")
+    rows = real.select("doc_id", "copy", "set")
+    linked_rows = heavy_join(rows, labels, ["set"], "weight", sketch.count()).select("doc_id", "copy", "set_id", F.col("least.doc_id").alias("class_id"), F.col("least.copy").alias("class_copy"), "n_links")
+    alone = sketch.where(F.col("doc_id").isNull() | F.col("set").isNull()).select("doc_id", "copy", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.col("copy").alias("class_copy"), F.lit(0).cast("long").alias("n_links"))
     return linked_rows.unionByName(alone)
 
 
-def with_sets(rows: DataFrame, size: int) -> DataFrame:
-    """The shingle sets (tokens) of representatives; a row of the same doc_id with another set is passed over."""
+OPTIONS = {"size": 5, "similarity": (4, 5), "recall": 0.9999, "levels": 3, "bucket": 256, "bucket_tokens": 1_000_000}
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in parts:
-            seen, keep, blobs = set(), [], []
-            for k, (raw, node) in enumerate(zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("node").to_pylist(), strict=True)):
-                s = shingles(raw or b"", hashes, size).tobytes()
-                if int(np.uint64(xxhash.xxh64_intdigest(s)).view(np.int64)) == node and node not in seen:
-                    seen.add(node)
-                    keep.append(k)
-                    blobs.append(s)
-            kept = part.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("node", "weight", "root", "chunks")], pa.array(blobs, pa.binary())], names=["node", "weight", "root", "chunks", "tokens"])
 
-    return rows.select("text", "node", "weight", "root", "chunks").mapInArrow(batches, "node long, weight long, root long, chunks int, tokens binary")
+def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, set_id, class_id and n_links of every row of ``docs`` (doc_id, text); ``options`` as in OPTIONS.
+
+    ``set_id`` is the least doc_id with the same shingles, ``class_id`` the
+    least doc_id that links lead to, ``n_links`` the number of other rows with
+    the similarity (a fraction) or more, copies included.
+    """
+    return set_classes(docs, **OPTIONS | options).drop("copy", "class_copy")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the least doc_id of their class (rows of equal doc_id count as one)."""
-    found = jaccard_classes(docs, **options)
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
+    """The rows of ``docs``, all columns, of one document of each class: that of the least doc_id, then text hash.
+
+    Rows of equal doc_id and text count as one document; a row with another
+    text is another document, whatever its doc_id.
+    """
+    found = set_classes(docs, **OPTIONS | options)
+    other = (F.col("doc_id") != F.col("class_id")) | (F.col("copy") != F.col("class_copy"))
+    gone = found.where(other).select(F.struct("doc_id", "copy").alias("key")).distinct()
+    keyed = docs.select(rowed(docs), "text", F.struct("doc_id", F.xxhash64("text").alias("copy")).alias("key"))
+    return keyed.join(gone, "key", "left_anti").select(*unrowed(docs))

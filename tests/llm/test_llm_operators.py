@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.llm import decontaminate, jaccard_join, language_model, line_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, token_count
 from sieveline.llm.common import tokenizer_path
@@ -288,7 +289,7 @@ def brute_links(pairs, limit=(4, 5)):
     return [(i, least[root(k)], links[k]) for k, (i, _) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("chunk", [400, 4])
+@pytest.mark.parametrize("chunk", [256, 12, 4])
 def test_jaccard_join_equals_brute_force(spark, docs, none, chunk):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 500)}" for _ in range(rng.randint(6, 150))] for _ in range(12)]
@@ -299,7 +300,7 @@ def test_jaccard_join_equals_brute_force(spark, docs, none, chunk):
             w[rng.randrange(len(w))] = f"w{rng.randint(0, 500)}"
         pairs.append((100 + i, " ".join(w)))
     d = spark.createDataFrame([(i, t, None, "clash", 1, None, None) for i, t in pairs], SCHEMA)
-    got = rows(jaccard_join.jaccard_classes(d, chunk=chunk), "doc_id", "class_id", "n_links")
+    got = rows(jaccard_join.jaccard_classes(d, bucket=chunk), "doc_id", "class_id", "n_links")
     assert got == sorted(brute_links(pairs), key=repr)
     assert jaccard_join.jaccard_classes(none).count() == 0
 
@@ -309,16 +310,27 @@ def test_one_of_each_class_stays(docs):
     assert {15}.issubset(kept) and 16 not in kept and kept.count(7) == 2 and None in kept
 
 
-def test_paths_meet_at_the_target_recall():
+@pytest.mark.parametrize("sizes", [(20, 20), (0, 40), (40, 0)])
+def test_paths_meet_at_the_target_recall(sizes):
     rng = np.random.default_rng(4)
     runs, met, n = jaccard_join.runs_for(0.99, 0.8, 3), 0, 300
     for _ in range(n):
         both = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
-        own = [np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) for _ in range(2)]
-        met += bool(len(np.intersect1d(*[jaccard_join.chosen_paths(s, runs, 3, 0.8) for s in own])))
+        own = [np.unique(np.concatenate([both, rng.integers(0, 1 << 63, more, dtype=np.uint64)])) for more in sizes]
+        met += bool(len(np.intersect1d(*[jaccard_join.chosen_paths(s, runs, 3, 0.8)[-1] for s in own])))
     assert met >= 0.97 * n
 
 
+def test_rows_of_equal_ids_are_told_apart_by_text(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(30))
+    made = [(1, words("a"), "x"), (2, words("a"), "x"), (2, words("b"), "y"), (2, words("c"), None), (3, words("b") + " more", "z"), (None, words("a"), "z"), (4, None, "z"), (4, "", "z")]
+    d = spark.createDataFrame(made, "doc_id long, text string, `key` string").withColumn("row", F.lit(1)).withColumn("copy", F.lit(2))
+    kept = jaccard_join.one_of_each(d)
+    assert kept.columns == d.columns
+    assert rows(kept, "doc_id", "text") == sorted([(1, words("a")), (2, words("b")), (2, words("c")), (None, words("a")), (4, None), (4, "")], key=repr)
+    assert jaccard_join.one_of_each(d.limit(0)).count() == 0
+
+
 def test_language_model_equals_brute_force(docs, none):
     low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
     tokens = [(i, (t or "").encode().translate(low).split() + [b"\n"]) for i, t in TEXTS]
@@ -406,8 +418,6 @@ def test_surrogates_are_consistent(docs, none):
 
 
 def test_surrogates_stay_distinct(spark):
-    from pyspark.sql import functions as F
-
     found = spark.range(1000).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))
     with pytest.raises(RuntimeError):  # all 1000 forms are entities already
         pii.surrogates(found, "k", attempts=2)
@@ -426,8 +436,6 @@ def test_short_forms_get_distinct_surrogates(spark):
 
 
 def test_what_rounds_leave_is_given_by_rank(spark):
-    from pyspark.sql import functions as F
-
     full = spark.range(40_000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), (F.col("id") % 254 + 1).cast("string"), F.floor(F.col("id") / 254 + 1).cast("string")).alias("entity"))
     half = spark.range(500).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))
     kinds = spark.createDataFrame([("mailbox", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("domain", f"{c}.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("last", f"{c}li") for c in "abcdef"] + [("first-f", "анна"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("phone", "+12233"), ("ip", "8.8.8.8"), ("ip", "10.1.1.1")], "kind string, entity string")
