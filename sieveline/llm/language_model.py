@@ -1,21 +1,29 @@
 """LM scoring with a weighted backoff automaton over the whole corpus.
 
-Every n-gram of the training documents is a state. An arc on a word leads
-from a state to the longest n-gram that the word ends; a state without that
-arc follows its failure arc, of weight K / (c + K), to the state without the
+Every n-gram of the training documents below the order is a state, and every
+n-gram an arc: from the state of the words before its last word to the longest
+state that the words end with. A state without an arc on a word
+has a failure arc, of weight K / (c + K), to the state without the
 first word. Smoothing is Dirichlet: an arc weighs (c(state, word) + K p) /
 (c(state) + K), with p the probability below; at the root p is (c + 1) / (N +
 V + 1), one share being kept for unknown words. Probabilities of every state
 add up to 1, whatever was seen. One left-to-right traversal of a text carries
-the state and adds log10 weights.
-
-The automaton is never gathered in one place. Documents are cut into blocks;
-a block sends the sorted 64-bit hashes of its n-grams, with its own training
-counts, to the owners of hash ranges, in one compressed message for each
-owner. An owner adds up and answers each block with what other blocks have
-counted. Messages grow with the corpus, owners with its tokens, and an n-gram
+the state, takes failure arcs until an arc fits and adds log10 weights.
+
+The automaton is never gathered in one place. Documents are cut into blocks,
+and a block needs only the states and arcs of its own n-grams, with the counts
+of the whole corpus. A block's n-grams are a sorted list of hashes of
+``KEY_BITS`` bits with its own training counts. A list is cut by the next
+``FAN_BITS`` bits of the hash into at most 256 pieces, whatever the size of
+the corpus; pieces of the same range of up to 256 lists meet in one task. With more
+lists than that, the pieces of each group of lists are merged, the merged
+lists, each of one range, go the same way again, and what comes back is handed
+down to the pieces. So messages are pieces of lists and grow with the corpus, times the
+number of levels (one up to 256 blocks, two up to 65,536, three up to 16
+million), and a task holds about as many keys as a list has. An n-gram
 sends one entry a block however often it occurs, so frequent words are no hot
-keys. A block's arcs are then at hand for the traversal of its texts.
+keys. Hashes of 52 bits take an unseen n-gram for a seen one with a chance of
+(number of n-grams) / 2^52.
 
 Results: a null or empty text is the end token alone; without training
 documents the root gives every token probability 1; rows with equal doc_id are
@@ -25,6 +33,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +49,8 @@ from .jaccard_join import STEP, WordHashes, mix
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
+#: Bits of the hash of an n-gram, and bits by which a list of them is cut.
+KEY_BITS, FAN_BITS = 52, 8
 #: Fold of doc_id that is not trained on.
 FOLDS, HELD_OUT = 7, 2
 
@@ -132,100 +143,205 @@ def blocks_of(docs: DataFrame, block_tokens: int) -> DataFrame:
 
 
 class Block:
-    """A block's n-grams: for each n the sorted keys, their place at each position, own training counts."""
+    """A block's n-grams: for each n the sorted keys, their place at each position, a position of each, own training counts."""
 
     def __init__(self, row: dict, order: int):
         self.lengths = unsqueezed(row["lengths"], np.uint32).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         words = sorted_unsqueezed(row["words"], np.uint64)[unsqueezed(row["places"], np.uint32)]
-        self.train = np.repeat(~np.array(row["held_out"], dtype=bool), self.lengths)
-        self.keys, self.at, self.own = [], [], []
+        train = np.repeat(~np.array(row["held_out"], dtype=bool), self.lengths)
+        self.keys, self.at, self.somewhere, self.own = [], [], [], []
         for keys in gram_keys(words, self.starts, order):
-            unique, at = np.unique(keys, return_inverse=True)
-            own = np.bincount(at[self.train], minlength=len(unique)).astype(np.uint32)
-            if len(unique) and unique[0] == 0:
+            unique, somewhere, at = np.unique(keys >> np.uint64(64 - KEY_BITS), return_index=True, return_inverse=True)
+            own = np.bincount(at[train], minlength=len(unique)).astype(np.uint32)
+            if len(unique) and unique[0] == 0:  # where there is no n-gram
                 own[0] = 0
             self.keys.append(unique)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
+            self.somewhere.append(somewhere.astype(np.int32))
             self.own.append(own)
 
-    def cuts(self, n: int, owners: int) -> np.ndarray:
-        """Where the keys of each owner begin and end."""
-        bounds = np.array([(k << 64) // owners for k in range(1, owners)], dtype=np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.keys[n], bounds), [len(self.keys[n])]])
 
+def cuts(keys: np.ndarray, level: int, part: int) -> np.ndarray:
+    """Where the pieces of a list of a level and part begin and end."""
+    low = KEY_BITS - FAN_BITS * level
+    bounds = np.array([(part << low) + (k << (low - FAN_BITS)) for k in range(1, 1 << FAN_BITS)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+
+
+LIST = "n int, part long, list long, keys binary, own binary"
+
+
+def lists_of(blocks: DataFrame, order: int) -> DataFrame:
+    """Each block's n-grams as lists, one for each n."""
 
-def messages(blocks: DataFrame, order: int, owners: int) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
                 block = Block(row, order)
-                for n in range(order):
-                    cuts = block.cuts(n, owners).tolist()
-                    keys = [sorted_squeezed(block.keys[n][a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                    own = [squeezed(block.own[n][a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                    size = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([n + 1] * size, pa.int32()), pa.array([row["block"]] * size, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], names=["owner", "n", "block", "keys", "own"])
-
-    return blocks.select("block", "held_out", "lengths", "places", "words").mapInArrow(batches, "owner int, n int, block long, keys binary, own binary")
-
-
-ANSWER = "owner int, n int, block long, places binary, counts binary, tokens long, types long"
-
-
-def answer(table: pa.Table) -> pa.Table:
-    """What other blocks have counted of each block's keys; one row more holds the owner's totals."""
-    owner, n = table.column("owner")[0].as_py(), table.column("n")[0].as_py()
-    order = np.argsort(table.column("block").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    names = table.column("block").to_pylist()
-    keys = [sorted_unsqueezed(x, np.uint64) for x in table.column("keys").to_pylist()]
-    own = [unsqueezed(x, np.uint32) for x in table.column("own").to_pylist()]
-    every, counts = np.concatenate(keys), np.concatenate(own).astype(np.int64)
-    rank = np.argsort(every, kind="stable")
-    ordered = every[rank]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
-    sums = np.add.reduceat(counts[rank], first) if len(first) else np.empty(0, np.int64)
-    others = np.empty_like(counts)
-    others[rank] = np.repeat(sums, np.diff(np.concatenate([first, [len(ordered)]])))
-    others -= counts
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(1, order + 1), pa.int32()), pa.array([0] * order, pa.int64()), pa.array([row["block"]] * order, pa.int64()), pa.array(map(sorted_squeezed, block.keys), pa.binary()), pa.array(map(squeezed, block.own), pa.binary())],
+                    names=["n", "part", "list", "keys", "own"],
+                )
+
+    return blocks.select("block", "held_out", "lengths", "places", "words").mapInArrow(batches, LIST)
+
+
+def pieces_of(lists: DataFrame, level: int) -> DataFrame:
+    """The pieces of lists that are not empty: part is that of the piece, whole that of its list."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for n, part, name, keys, own in zip(*[batch.column(c).to_pylist() for c in ("n", "part", "list", "keys", "own")], strict=True):
+                keys, own = sorted_unsqueezed(keys, np.uint64), unsqueezed(own, np.uint32)
+                at = cuts(keys, level, part).tolist()
+                held = [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+                size = len(held)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n] * size, pa.int32()), pa.array([(part << FAN_BITS) + k for k, _, _ in held], pa.int64()), pa.array([part] * size, pa.int64()), pa.array([name] * size, pa.int64()), pa.array([sorted_squeezed(keys[a:b]) for _, a, b in held], pa.binary()), pa.array([squeezed(own[a:b]) for _, a, b in held], pa.binary())],
+                    names=["n", "part", "whole", "list", "keys", "own"],
+                )
+
+    return lists.mapInArrow(batches, "n int, part long, whole long, list long, keys binary, own binary")
+
+
+class Pieces:
+    """Pieces of one part of several lists: all keys, their counts, and which distinct key each is."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.take(pa.array(np.argsort(table.column("list").to_numpy(), kind="stable")))
+        keys = [sorted_unsqueezed(x, np.uint64) for x in self.table.column("keys").to_pylist()]
+        self.lengths = [len(k) for k in keys]
+        counts = [unsqueezed(x, np.uint32) for x in self.table.column("own").to_pylist()]
+        self.counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
+        self.keys, self.which = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_inverse=True)
+        self.sums = np.zeros(len(self.keys), np.int64)
+        np.add.at(self.sums, self.which, self.counts)
+
+
+#: Counts may pass 32 bits only in sums over the corpus.
+ANSWER = "n int, part long, list long, piece long, places binary, counts binary, tokens long, types long"
+
+
+def answers(pieces: Pieces, more: np.ndarray, top: bool) -> pa.Table:
+    """For each piece what others have counted of its keys, where that isn't 0; at the top one row more holds the part's totals.
+
+    ``more``: what is counted of each distinct key outside these pieces.
+    """
+    others = (pieces.sums + more)[pieces.which] - pieces.counts
     places, found, at = [], [], 0
-    for k in keys:
-        mine = others[at : at + len(k)]
+    for n in pieces.lengths:
+        mine = others[at : at + n]
         hit = np.flatnonzero(mine)
         places.append(sorted_squeezed(hit.astype(np.uint32)))
-        found.append(squeezed(mine[hit].astype(np.uint32)))
-        at += len(k)
-    size = len(names) + 1
+        found.append(squeezed(mine[hit]))
+        at += n
+    table = pieces.table
+    size, last = len(places), [None] if top else []
+    n = table.column("n").to_pylist()
     return pa.table(
-        [pa.array([owner] * size, pa.int32()), pa.array([n] * size, pa.int32()), pa.array([*names, None], pa.int64()), pa.array([*places, None], pa.binary()), pa.array([*found, None], pa.binary()), pa.array([None] * (size - 1) + [int(sums.sum())], pa.int64()), pa.array([None] * (size - 1) + [int((sums > 0).sum())], pa.int64())],
-        names=["owner", "n", "block", "places", "counts", "tokens", "types"],
+        [pa.array(n + n[:1] * len(last), pa.int32()), pa.array(table.column("whole").to_pylist() + last, pa.int64()), pa.array(table.column("list").to_pylist() + last, pa.int64()), pa.array(table.column("part").to_pylist() + last, pa.int64()), pa.array(places + last, pa.binary()), pa.array(found + last, pa.binary()), pa.array([None] * size + [int(pieces.sums.sum())] * len(last), pa.int64()), pa.array([None] * size + [int((pieces.sums > 0).sum())] * len(last), pa.int64())],
+        names=["n", "part", "list", "piece", "places", "counts", "tokens", "types"],
     )
 
 
-def traverse(block: Block, totals: list[np.ndarray], begins: int, tokens: int, types: int, weights: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 weights at the root, log10 probabilities and root counts, at each position.
+def answer_top(table: pa.Table) -> pa.Table:
+    pieces = Pieces(table)
+    return answers(pieces, np.zeros(len(pieces.keys), np.int64), True)
+
+
+def merged_list(table: pa.Table) -> pa.Table:
+    """The list of a group of lists in one part."""
+    pieces = Pieces(table)
+    first = table.slice(0, 1).to_pylist()[0]
+    return pa.table([pa.array([first["n"]], pa.int32()), pa.array([first["part"]], pa.int64()), pa.array([first["group"]], pa.int64()), pa.array([sorted_squeezed(pieces.keys)], pa.binary()), pa.array([squeezed(pieces.sums.astype(np.uint32))], pa.binary())], names=["n", "part", "list", "keys", "own"])
+
+
+def added(keys: np.ndarray, level: int, part: int, found: list[dict]) -> np.ndarray:
+    """The counts that answers bring for the keys of a list."""
+    out, at = np.zeros(len(keys), np.int64), cuts(keys, level, part)
+    for r in found:
+        begin = at[r["piece"] - (part << FAN_BITS)]
+        out[begin + sorted_unsqueezed(r["places"], np.uint32).astype(np.int64)] += unsqueezed(r["counts"], np.int64)
+    return out
+
 
-    ``totals``: counts at each position for each n. Level by level the
-    arc of the longer state is taken where it is there, its failure arc before
-    the shorter state's arc where not.
+def exchanged(lists: DataFrame, count: int, level: int = 0, *, fan: int = 1 << FAN_BITS) -> DataFrame:
+    """ANSWER rows for ``count`` lists of a level: a row for each piece, and the totals of each part, without a list."""
+    pieces = pieces_of(lists, level)
+    if count <= fan:
+        return pieces.groupBy("n", "part").applyInArrow(answer_top, ANSWER)
+    groups = -(-count // fan)
+    pieces = written(pieces.withColumn("group", F.pmod(F.xxhash64("list"), F.lit(groups))), "pieces")
+    merged = written(pieces.groupBy("n", "part", "group").applyInArrow(merged_list, LIST), "merged")
+    above = exchanged(merged, groups, level + 1, fan=fan)
+
+    def hand_down(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # totals
+            return right.select(["n", "part", "list", "piece", "places", "counts", "tokens", "types"])
+        pieces = Pieces(left)
+        return answers(pieces, added(pieces.keys, level + 1, key[1].as_py(), right.to_pylist()), False)
+
+    return pieces.groupBy("n", "part", "group").cogroup(above.withColumn("group", F.col("list")).groupBy("n", "part", "group")).applyInArrow(hand_down, ANSWER)
+
+
+ROOT, BEGINNING = 0, 1
+
+
+class Automaton:
+    """The states and arcs of a block's n-grams.
+
+    State 0 is the root, state 1 the beginning of a text, then come the
+    n-grams of each n below the order. Arcs are numbered n by n likewise.
     """
-    root = np.log10(totals[0] + 1.0) - np.log10(tokens + types + 1.0)
-    score = root
-    for n, k in enumerate(weights, start=1):
-        state = np.empty(len(root))
-        state[1:] = totals[n - 1][:-1]
-        state[block.starts] = begins if n == 1 else -1
-        if n > 1:
-            state[block.keys[n][block.at[n]] == 0] = -1
-        arc = totals[n]
-        failure = np.log10(k / (np.maximum(state, 0) + k)) + score
-        taken = np.log10((arc + k * 10.0**score) / (np.maximum(state, 0) + k))
-        score = np.where(state < 0, score, np.where(arc > 0, taken, failure))
-    return root, score, totals[0]
-
-
-def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0,), block_tokens: int = 2_000_000, owner_tokens: int = 1_500_000) -> DataFrame:
+
+    def __init__(self, block: Block, sums: list[np.ndarray], begins: int, tokens: int, types: int, weights: tuple[float, ...]):
+        order, ks = len(weights) + 1, (*weights, 0.0)
+        sizes = [len(s) for s in sums]
+        arc_base = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        state_base = [2 + b for b in arc_base]
+        before = [np.concatenate([[-1], at[:-1]]) for at in block.at]  # the n-gram that ends one position earlier
+        first = np.zeros(len(block.at[0]), dtype=bool)
+        first[block.starts] = True
+        lower = np.log10(sums[0] + 1.0) - np.log10(tokens + types + 1.0)
+        self.root = lower
+        weight, target = [lower], [np.where(sums[0] > 0, state_base[0] + np.arange(sizes[0]), ROOT)]
+        fail, cost, depth = [[ROOT, ROOT]], [[0.0, np.log10(ks[0] / (begins + ks[0]))]], [[0, 1]]
+        for n in range(order):
+            if n:
+                at = block.somewhere[n]
+                suffix = block.at[n - 1][at]
+                context = np.where(first[at], begins, sums[n - 1][before[n - 1][at]]) if n == 1 else sums[n - 1][before[n - 1][at]]
+                lower = np.log10((sums[n] + ks[n - 1] * 10.0 ** lower[suffix]) / (context + ks[n - 1]))
+                weight.append(lower)
+                target.append(state_base[n] + np.arange(sizes[n]) if n < order - 1 else state_base[n - 1] + suffix)
+            if n < order - 1:
+                fail.append(state_base[n - 1] + suffix if n else np.zeros(sizes[0], np.int64))
+                cost.append(np.log10(ks[n] / (sums[n] + ks[n])))
+                depth.append(np.full(sizes[n], n + 1))
+        joined = lambda parts, kind: array(kind, np.concatenate(parts).astype({"d": np.float64, "i": np.int32}[kind]).tobytes())
+        self.weight, self.target = joined(weight, "d"), joined(target, "i")
+        self.fail, self.cost, self.depth = joined(fail, "i"), joined(cost, "d"), joined(depth, "i")
+        #: For each length of a state that may precede a position, the arc on the word there, or -1: arcs by state and word.
+        self.arcs = [np.where(sums[n][block.at[n]] > 0, arc_base[n] + block.at[n], -1) if n else block.at[0] for n in range(order)]
+
+    def traverse(self, begin: int, end: int) -> float:
+        """log10 probability of the text from one position to another."""
+        weight, target, fail, cost, depth = self.weight, self.target, self.fail, self.cost, self.depth
+        state, total = BEGINNING, 0.0
+        for at in range(begin, end, 65_536):
+            for found in zip(*[a[at : min(end, at + 65_536)].tolist() for a in self.arcs], strict=True):
+                arc = found[depth[state]]
+                while arc < 0:
+                    total += cost[state]
+                    state = fail[state]
+                    arc = found[depth[state]]
+                total += weight[arc]
+                state = target[arc]
+        return total
+
+
+def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0, 100.0), block_tokens: int = 1_000_000, fan: int = 1 << FAN_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
     ``weights`` holds K for bigrams, trigrams and so on; their number sets the
@@ -234,33 +350,28 @@ def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0,), bloc
     order = len(weights) + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = written(blocks_of(docs, block_tokens), "blocks")
-    size, begins = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    owners = max(4, -(-int(size) // owner_tokens))
-    answers = written(messages(blocks, order, owners).groupBy("owner", "n").applyInArrow(answer, ANSWER), "answers")
-    tokens, types = answers.where("n = 1 AND block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    count, begins = blocks.agg(F.count("*"), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    answered = written(exchanged(lists_of(blocks, order), int(count), fan=fan), "answers")
+    tokens, types = answered.where("n = 1 AND list IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("doc_id", left.schema.field("doc_ids").type.value_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         row = left.slice(0, 1).to_pylist()[0]
         block = Block(row, order)
-        sums = [own.astype(np.int64) for own in block.own]
-        cuts = [block.cuts(n, owners) for n in range(order)]
-        for r in right.to_pylist():
-            n = r["n"] - 1
-            sums[n][cuts[n][r["owner"]] + sorted_unsqueezed(r["places"], np.uint32)] += unsqueezed(r["counts"], np.uint32)
+        found = right.to_pylist()
+        sums = [own + added(keys, 0, 0, [r for r in found if r["n"] == n + 1]) for n, (keys, own) in enumerate(zip(block.keys, block.own, strict=True))]
         for n in range(1, order):  # where there is no n-gram
             if len(block.keys[n]) and block.keys[n][0] == 0:
                 sums[n][0] = 0
-        totals = [s[at].astype(np.float64) for s, at in zip(sums, block.at, strict=True)]
-        root, each, seen = traverse(block, totals, int(begins), int(tokens), int(types), weights)
-        per = lambda x: np.add.reduceat(x, block.starts)
+        machine = Automaton(block, sums, int(begins), int(tokens), int(types), weights)
+        ends = (block.starts + block.lengths).tolist()
+        scores = [machine.traverse(a, b) for a, b in zip(block.starts.tolist(), ends, strict=True)]
+        per = lambda x: np.add.reduceat(x[block.at[0]], block.starts)
         return pa.table(
-            [left.column("doc_ids").combine_chunks().flatten(), pa.array(row["held_out"], pa.bool_()), pa.array(block.lengths), pa.array(per((seen > 0).astype(np.int64))), pa.array(np.full(len(block.lengths), int(tokens))), pa.array(per(root)), pa.array(per(each))],
+            [left.column("doc_ids").combine_chunks().flatten(), pa.array(row["held_out"], pa.bool_()), pa.array(block.lengths), pa.array(per((sums[0] > 0).astype(np.int64))), pa.array(np.full(len(block.lengths), int(tokens))), pa.array(per(machine.root)), pa.array(scores, pa.float64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    mine = blocks.drop("n_tokens", "n_train").groupBy("block")
-    theirs = answers.where(F.col("block").isNotNull()).select("block", "owner", "n", "places", "counts").groupBy("block")
+    mine = blocks.drop("n_tokens", "n_train").withColumnRenamed("block", "list").groupBy("list")
+    theirs = answered.where(F.col("list").isNotNull()).select("list", "n", "piece", "places", "counts").groupBy("list")
     return mine.cogroup(theirs).applyInArrow(score, out)

@@ -332,8 +332,15 @@ def test_rows_of_equal_ids_are_told_apart_by_text(spark):
 
 
 def test_language_model_equals_brute_force(docs, none):
+    short = [(i, t) for i, t in TEXTS if (t is None or len(t) < 300) and i is not None]
+    for texts, size, fan in ((TEXTS, 1 << 20, 256), (TEXTS, 40, 256), (short, 30, 2)):
+        check_language_model(docs.where("doc_id NOT IN (5, 6, 7, 8, 9)") if texts is short else docs, texts, size, fan)
+    assert language_model.score_corpus(none).count() == 0
+
+
+def check_language_model(docs, texts, size, fan):
     low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-    tokens = [(i, (t or "").encode().translate(low).split() + [b"\n"]) for i, t in TEXTS]
+    tokens = [(i, (t or "").encode().translate(low).split() + [b"\n"]) for i, t in texts]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     uni, bi, tri, begins = Counter(), Counter(), Counter(), 0
     for i, w in tokens:
@@ -356,12 +363,21 @@ def test_language_model_equals_brute_force(docs, none):
                 p = (tri[g, h, x] + 5 * p) / (bi[g, h] + 5)
             score += math.log10(p)
         want.append((i, held(i), len(w), sum(uni[x] > 0 for x in w), n, base, score))
-    for size in (1 << 20, 40):
-        got = language_model.score_corpus(docs, weights=(30.0, 5.0), block_tokens=size, owner_tokens=size)
-        got = rows(got, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-        for g, x in zip(got, sorted(want, key=repr), strict=True):
-            assert g[:5] == x[:5] and g[5:] == pytest.approx(x[5:], rel=1e-9)
-    assert language_model.score_corpus(none).count() == 0
+    got = language_model.score_corpus(docs, weights=(30.0, 5.0), block_tokens=size, fan=fan)
+    got = rows(got, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for g, x in zip(got, sorted(want, key=repr), strict=True):
+        assert g[:5] == x[:5] and g[5:] == pytest.approx(x[5:], rel=1e-9)
+
+
+def test_messages_grow_with_the_corpus(spark):
+    """Pieces of lists a block are bounded, whatever the number of blocks."""
+    text = lambda i: " ".join(f"w{(i * 7919 + k * k) % 5000}" for k in range(600))
+    n = []
+    for size in (20, 80):
+        d = spark.createDataFrame([(i, text(i)) for i in range(size)], "doc_id long, text string").coalesce(1)
+        blocks = language_model.blocks_of(d, 1200)
+        n.append((blocks.count(), language_model.pieces_of(language_model.lists_of(blocks, 3), 0).count()))
+    assert n[1][0] == 4 * n[0][0] and n[1][1] <= 4.2 * n[0][1] and n[1][1] <= n[1][0] * 3 * 256
 
 
 def test_secrets_equal_brute_force(docs, none):
