@@ -333,7 +333,7 @@ def test_rows_of_equal_ids_are_told_apart_by_text(spark):
 
 def test_language_model_equals_brute_force(docs, none):
     short = [(i, t) for i, t in TEXTS if (t is None or len(t) < 300) and i is not None]
-    for texts, size, fan in ((TEXTS, 1 << 20, 256), (TEXTS, 40, 256), (short, 30, 2)):
+    for texts, size, fan in ((TEXTS, 1 << 20, 1024), (TEXTS, 40, 1024), (short, 30, 2)):
         check_language_model(docs.where("doc_id NOT IN (5, 6, 7, 8, 9)") if texts is short else docs, texts, size, fan)
     assert language_model.score_corpus(none).count() == 0
 
@@ -376,8 +376,8 @@ def test_messages_grow_with_the_corpus(spark):
     for size in (20, 80):
         d = spark.createDataFrame([(i, text(i)) for i in range(size)], "doc_id long, text string").coalesce(1)
         blocks = language_model.blocks_of(d, 1200)
-        n.append((blocks.count(), language_model.pieces_of(language_model.lists_of(blocks, 3), 0).count()))
-    assert n[1][0] == 4 * n[0][0] and n[1][1] <= 4.2 * n[0][1] and n[1][1] <= n[1][0] * 3 * 256
+        n.append((blocks.count(), language_model.pieces_of_blocks(blocks, 3).count()))
+    assert n[1][0] == 4 * n[0][0] and n[1][1] <= 4.2 * n[0][1] and n[1][1] <= n[1][0] * 3 * 1024
 
 
 def test_secrets_equal_brute_force(docs, none):
@@ -397,16 +397,34 @@ def test_secrets_equal_brute_force(docs, none):
 def test_markov_models_tell_keys_from_names(spark):
     words = "parse config value user name request handler index buffer stream writer total count limit offset table column query result error message".split()
     rng = random.Random(6)
-    text = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(300)]
+    text = [(i, " ".join(rng.choice(words) for _ in range(60)) + (f" token={rng.getrandbits(160):040x}" if i % 20 == 0 else "")) for i in range(300)]
     d = spark.createDataFrame(text, "doc_id long, text string")
-    table = secret_scan.pair_table(secret_scan.labelled_strings(d, bound=4000))
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(rng.choice(alphabet) for _ in range(36)) for _ in range(100)]
+    model = secret_scan.train(d, bound=4000)
+    assert model == secret_scan.train(d.orderBy(F.desc("doc_id")).repartition(5), bound=4000)  # whatever the layout
+    figures = secret_scan.measured(d, model, bound=4000)
+    assert figures["precision"] >= 0.95 and figures["recall"] >= 0.9, figures
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEF"]
+    keys = ["".join(rng.choice(alphabets[i % 4]) for _ in range(24 + i % 13)) for i in range(200)]
+    uuids = [f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}" for h in (f"{rng.getrandbits(128):032x}" for _ in range(100))]
     names = ["".join(w.title() for w in rng.sample(words, 5)) + "2X" for _ in range(50)] + ["_".join(rng.sample(words, 5)) + "_v2" for _ in range(50)]
-    shown = spark.createDataFrame([(i, f"use {k} here") for i, k in enumerate(keys + names)], "doc_id long, text string")
-    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(shown, table=table).collect()}
-    assert sum(any(s.kind == "markov" for s in found[i]) for i in range(100)) >= 95
-    assert sum(any(s.kind == "markov" for s in found[i]) for i in range(100, 200)) <= 2
+    shown = spark.createDataFrame([(i, f"use {k} here") for i, k in enumerate(keys + uuids + names)], "doc_id long, text string")
+    found = {r.doc_id: [s for s in r.spans if s.kind == "markov"] for r in secret_scan.scan_secrets(shown, model).collect()}
+    assert sum(bool(found[i]) for i in range(200)) >= 190
+    assert all((s.start, s.end) == (4, 4 + len(keys[i])) for i in range(200) for s in found[i])
+    assert sum(bool(found[i]) for i in range(200, 300)) <= 3 and sum(bool(found[i]) for i in range(300, 400)) <= 2
+
+
+def test_markov_spans_of_awkward_texts(spark):
+    key = "kJ8vQz2LxW9pRt5YbN3mXc7DfG4hZq"
+    texts = [None, "", f"token={key}", f"{key[:8]}/{'03f7a19c5b2e8d46' * 2}/{key}", f"{key} " * 3000, f"{key}==", f"é😀 {key}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secret_scan.train(d, bound=4000)
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(d, model).collect()}
+    kinds = {i: [(s.kind, s.start, s.end) for s in r.spans] for i, r in got.items()}
+    assert kinds[0] == kinds[1] == [] and [k for k, _, _ in kinds[2]] == ["assign"]
+    whole = ("markov", 0, len(texts[3]))
+    assert whole in kinds[3] and ("hex", 9, 41) in kinds[3] and len(kinds[4]) == 3000  # a longer key around a base match is added
+    assert kinds[5] == [("markov", 0, len(key) + 2)] and kinds[6] == [("markov", 3, 3 + len(key))]
 
 
 def test_surrogates_are_consistent(docs, none):
