@@ -14,13 +14,13 @@ The automaton is never gathered in one place. Documents are cut into blocks,
 and a block needs only the states and arcs of its own n-grams, with the counts
 of the whole corpus. A block's n-grams are a sorted list of hashes of
 ``KEY_BITS`` bits with its own training counts. A list is cut by the next
-``FAN_BITS`` bits of the hash into at most 256 pieces, whatever the size of
-the corpus; pieces of the same range of up to 256 lists meet in one task. With more
+``FAN_BITS`` bits of the hash into at most 1024 pieces, whatever the size of
+the corpus; pieces of the same range of up to 1024 lists meet in one task. With more
 lists than that, the pieces of each group of lists are merged, the merged
 lists, each of one range, go the same way again, and what comes back is handed
 down to the pieces. So messages are pieces of lists and grow with the corpus, times the
-number of levels (one up to 256 blocks, two up to 65,536, three up to 16
-million), and a task holds about as many keys as a list has. An n-gram
+number of levels (one up to 1024 blocks, a billion tokens, two up to a
+million blocks), and a task holds about as many keys as a list has. An n-gram
 sends one entry a block however often it occurs, so frequent words are no hot
 keys. Hashes of 52 bits take an unseen n-gram for a seen one with a chance of
 (number of n-grams) / 2^52.
@@ -50,7 +50,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
 #: Bits of the hash of an n-gram, and bits by which a list of them is cut.
-KEY_BITS, FAN_BITS = 52, 8
+KEY_BITS, FAN_BITS = 52, 10
 #: Fold of doc_id that is not trained on.
 FOLDS, HELD_OUT = 7, 2
 
@@ -142,24 +142,43 @@ def blocks_of(docs: DataFrame, block_tokens: int) -> DataFrame:
     return docs.select("doc_id", flag.alias("held_out"), "text").mapInArrow(batches, schema)
 
 
+def token_words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes, lengths and starts of a block's texts."""
+    lengths = unsqueezed(row["lengths"], np.uint32).astype(np.int64)
+    words = sorted_unsqueezed(row["words"], np.uint64)[unsqueezed(row["places"], np.uint32)]
+    return words, lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+
+def own_counts(row: dict, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n the sorted keys of a block's n-grams and its own training counts."""
+    words, lengths, starts = token_words(row)
+    train = np.repeat(~np.array(row["held_out"], dtype=bool), lengths).astype(np.uint64)
+    for keys in gram_keys(words, starts, order):
+        flagged = np.sort((keys >> np.uint64(64 - KEY_BITS)) << np.uint64(1) | train)
+        every = flagged >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        unique, own = every[first], np.add.reduceat(flagged & np.uint64(1), first).astype(np.uint32)
+        if unique[0] == 0:  # where there is no n-gram
+            own[0] = 0
+        yield unique, own
+
+
 class Block:
-    """A block's n-grams: for each n the sorted keys, their place at each position, a position of each, own training counts."""
+    """A block's n-grams: for each n the sorted keys, their place at each position and a position of each."""
 
     def __init__(self, row: dict, order: int):
-        self.lengths = unsqueezed(row["lengths"], np.uint32).astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        words = sorted_unsqueezed(row["words"], np.uint64)[unsqueezed(row["places"], np.uint32)]
-        train = np.repeat(~np.array(row["held_out"], dtype=bool), self.lengths)
-        self.keys, self.at, self.somewhere, self.own = [], [], [], []
+        words, self.lengths, self.starts = token_words(row)
+        self.keys, self.at, self.somewhere = [], [], []
         for keys in gram_keys(words, self.starts, order):
-            unique, somewhere, at = np.unique(keys >> np.uint64(64 - KEY_BITS), return_index=True, return_inverse=True)
-            own = np.bincount(at[train], minlength=len(unique)).astype(np.uint32)
-            if len(unique) and unique[0] == 0:  # where there is no n-gram
-                own[0] = 0
-            self.keys.append(unique)
-            self.at.append(at.astype(np.int32))
-            self.somewhere.append(somewhere.astype(np.int32))
-            self.own.append(own)
+            keys >>= np.uint64(64 - KEY_BITS)
+            ranked = np.argsort(keys)
+            keys = keys[ranked]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            at = np.empty(len(keys), np.int32)
+            at[ranked] = np.cumsum(new, dtype=np.int32) - 1
+            self.keys.append(keys[new])
+            self.at.append(at)
+            self.somewhere.append(ranked[new].astype(np.int32))
 
 
 def cuts(keys: np.ndarray, level: int, part: int) -> np.ndarray:
@@ -170,39 +189,40 @@ def cuts(keys: np.ndarray, level: int, part: int) -> np.ndarray:
 
 
 LIST = "n int, part long, list long, keys binary, own binary"
+PIECE = "n int, part long, whole long, list long, keys binary, own binary"
 
 
-def lists_of(blocks: DataFrame, order: int) -> DataFrame:
-    """Each block's n-grams as lists, one for each n."""
+def cut_up(n: int, part: int, name: int, level: int, keys: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """The pieces of a list that are not empty: part is that of the piece, whole that of its list."""
+    at = cuts(keys, level, part).tolist()
+    held = [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+    size = len(held)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([n] * size, pa.int32()), pa.array([(part << FAN_BITS) + k for k, _, _ in held], pa.int64()), pa.array([part] * size, pa.int64()), pa.array([name] * size, pa.int64()), pa.array([sorted_squeezed(keys[a:b]) for _, a, b in held], pa.binary()), pa.array([squeezed(own[a:b]) for _, a, b in held], pa.binary())],
+        names=["n", "part", "whole", "list", "keys", "own"],
+    )
+
+
+def pieces_of_blocks(blocks: DataFrame, order: int) -> DataFrame:
+    """Each block's n-grams as lists, one for each n, cut up."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
-                block = Block(row, order)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(1, order + 1), pa.int32()), pa.array([0] * order, pa.int64()), pa.array([row["block"]] * order, pa.int64()), pa.array(map(sorted_squeezed, block.keys), pa.binary()), pa.array(map(squeezed, block.own), pa.binary())],
-                    names=["n", "part", "list", "keys", "own"],
-                )
-
-    return blocks.select("block", "held_out", "lengths", "places", "words").mapInArrow(batches, LIST)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                for n, (keys, own) in enumerate(own_counts(row, order), start=1):
+                    yield cut_up(n, 0, row["block"], 0, keys, own)
 
+    return blocks.select("block", "held_out", "lengths", "places", "words").mapInArrow(batches, PIECE)
 
-def pieces_of(lists: DataFrame, level: int) -> DataFrame:
-    """The pieces of lists that are not empty: part is that of the piece, whole that of its list."""
 
+def pieces_of_lists(lists: DataFrame, level: int) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for n, part, name, keys, own in zip(*[batch.column(c).to_pylist() for c in ("n", "part", "list", "keys", "own")], strict=True):
-                keys, own = sorted_unsqueezed(keys, np.uint64), unsqueezed(own, np.uint32)
-                at = cuts(keys, level, part).tolist()
-                held = [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
-                size = len(held)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n] * size, pa.int32()), pa.array([(part << FAN_BITS) + k for k, _, _ in held], pa.int64()), pa.array([part] * size, pa.int64()), pa.array([name] * size, pa.int64()), pa.array([sorted_squeezed(keys[a:b]) for _, a, b in held], pa.binary()), pa.array([squeezed(own[a:b]) for _, a, b in held], pa.binary())],
-                    names=["n", "part", "whole", "list", "keys", "own"],
-                )
+                yield cut_up(n, part, name, level, sorted_unsqueezed(keys, np.uint64), unsqueezed(own, np.uint32))
 
-    return lists.mapInArrow(batches, "n int, part long, whole long, list long, keys binary, own binary")
+    return lists.mapInArrow(batches, PIECE)
 
 
 class Pieces:
@@ -212,11 +232,14 @@ class Pieces:
         self.table = table.take(pa.array(np.argsort(table.column("list").to_numpy(), kind="stable")))
         keys = [sorted_unsqueezed(x, np.uint64) for x in self.table.column("keys").to_pylist()]
         self.lengths = [len(k) for k in keys]
-        counts = [unsqueezed(x, np.uint32) for x in self.table.column("own").to_pylist()]
-        self.counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
-        self.keys, self.which = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_inverse=True)
-        self.sums = np.zeros(len(self.keys), np.int64)
-        np.add.at(self.sums, self.which, self.counts)
+        self.counts = np.concatenate([unsqueezed(x, np.uint32) for x in self.table.column("own").to_pylist()]).astype(np.int64)
+        every = np.concatenate(keys)
+        ranked = np.argsort(every)
+        every = every[ranked]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.keys, self.sums = every[first], np.add.reduceat(self.counts[ranked], first)
+        self.which = np.empty(len(every), np.int64)
+        self.which[ranked] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(every))))
 
 
 #: Counts may pass 32 bits only in sums over the corpus.
@@ -266,15 +289,16 @@ def added(keys: np.ndarray, level: int, part: int, found: list[dict]) -> np.ndar
     return out
 
 
-def exchanged(lists: DataFrame, count: int, level: int = 0, *, fan: int = 1 << FAN_BITS) -> DataFrame:
-    """ANSWER rows for ``count`` lists of a level: a row for each piece, and the totals of each part, without a list."""
-    pieces = pieces_of(lists, level)
+def exchanged(pieces: DataFrame, count: int, level: int = 0, *, fan: int = 1 << FAN_BITS) -> DataFrame:
+    """ANSWER rows for the pieces of ``count`` lists of a level: a row for each piece, and the totals of each part, without a list."""
     if count <= fan:
-        return pieces.groupBy("n", "part").applyInArrow(answer_top, ANSWER)
+        # With few lists a task takes several ranges, so that it has about the keys of one list.
+        wide = max(0, FAN_BITS - max(4, count.bit_length()))
+        return pieces.groupBy("n", F.shiftright("part", wide)).applyInArrow(answer_top, ANSWER)
     groups = -(-count // fan)
     pieces = written(pieces.withColumn("group", F.pmod(F.xxhash64("list"), F.lit(groups))), "pieces")
     merged = written(pieces.groupBy("n", "part", "group").applyInArrow(merged_list, LIST), "merged")
-    above = exchanged(merged, groups, level + 1, fan=fan)
+    above = exchanged(pieces_of_lists(merged, level + 1), groups, level + 1, fan=fan)
 
     def hand_down(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:  # totals
@@ -351,7 +375,7 @@ def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0, 100.0)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = written(blocks_of(docs, block_tokens), "blocks")
     count, begins = blocks.agg(F.count("*"), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    answered = written(exchanged(lists_of(blocks, order), int(count), fan=fan), "answers")
+    answered = written(exchanged(pieces_of_blocks(blocks, order), int(count), fan=fan), "answers")
     tokens, types = answered.where("n = 1 AND list IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -359,7 +383,8 @@ def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0, 100.0)
         row = left.slice(0, 1).to_pylist()[0]
         block = Block(row, order)
         found = right.to_pylist()
-        sums = [own + added(keys, 0, 0, [r for r in found if r["n"] == n + 1]) for n, (keys, own) in enumerate(zip(block.keys, block.own, strict=True))]
+        sums = [own.astype(np.int64) + added(keys, 0, 0, [r for r in found if r["n"] == n]) for n, (keys, own) in enumerate(own_counts(row, order), start=1)]
+        del found
         for n in range(1, order):  # where there is no n-gram
             if len(block.keys[n]) and block.keys[n][0] == 0:
                 sums[n][0] = 0
