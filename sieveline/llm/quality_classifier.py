@@ -3,32 +3,36 @@
 A document of label 1 is preferred to one of label 0. Scores are linear in
 text features; the chance that one document beats another is the logistic
 function of the difference of their scores, so weights are learned by logistic
-loss on feature differences. The threshold is the quantile of the scores at
-the share of label 0, and the reported score maps it to ``cut``.
+loss on feature differences. The threshold is the quantile of the scores of
+all labelled documents that may be learned from, at the share of label 0; the
+reported score maps it to ``cut``.
 
-Labels are learned from a bounded sample: ``max_labelled`` rows of each label,
-chosen by hash. Features are built-in expressions over whole texts, and the
-learned weights are literals of one projection, so scoring needs no shuffle.
+Weights are learned from a bounded sample: the ``max_labelled`` rows of each
+label with the least hashes. The quantile is that of a mergeable sketch, the
+midpoint of those ``MARGIN`` of the ranks below and above, over all labelled
+rows. Features are built-in expressions over whole texts, computed once for
+each document; only labels and scores are shuffled.
 
 Results: null and empty texts have features 0 and are scored like any other;
 without labels of both kinds every score is ``cut`` and nothing is rejected;
-repeated rows get equal scores; other columns are ignored; labels of unknown
-documents, null labels and labels other than 0 and 1 are ignored, and of
-several labels of a document the least counts.
+repeated rows get equal scores; other columns are ignored or pass through, whatever their names;
+labels of unknown documents, null labels and labels other than 0 and 1 are ignored, and of
+several labels of a document the least counts. Of several texts of a labelled
+doc_id the weights are learned from one, the threshold from all.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, let, once, word_list
+from .common import checkpoint, fold_of, let, once, rowed, unrowed, word_list, written
 
 #: Fold of doc_id that labels are never learned from.
 FOLDS, HELD_OUT = 4, 2
+#: The threshold lies between the quantiles this far below and above its rank; the sketch's error is a tenth of it.
+MARGIN = 0.001
 
 
 def features(text: Column, words: Column) -> dict[str, Column]:
@@ -57,18 +61,17 @@ def featured(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", *[c.cast("double").alias(f"f{i}") for i, c in enumerate(features(F.col("__text"), F.col("__words")).values())])
 
 
-@dataclass(frozen=True)
-class Model:
-    weights: tuple[float, ...]
-    threshold: float
-    cut: float
+def linear(values: list[Column], weights: tuple[float, ...]) -> Column:
+    total = F.lit(0.0)
+    for w, value in zip(weights, values, strict=True):
+        total = total + F.lit(w) * value
+    return total
+
 
-    def score(self, values: list[Column]) -> Column:
-        """The score of features, 0 to 1, ``cut`` at the threshold."""
-        total = F.lit(float(np.log(self.cut / (1 - self.cut)) - self.threshold))
-        for w, value in zip(self.weights, values, strict=True):
-            total = total + F.lit(w) * value
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0))))
+def as_score(raw: Column, threshold: float, cut: float) -> Column:
+    """The score of a raw sum, 0 to 1, ``cut`` at the threshold."""
+    total = raw + F.lit(float(np.log(cut / (1 - cut)) - threshold))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0))))
 
 
 def bradley_terry(better: np.ndarray, worse: np.ndarray, *, pairs_each: int, ridge: float, seed: int) -> np.ndarray:
@@ -90,57 +93,76 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, *, pairs_each: int, rid
     return w
 
 
-def weighted_quantile(values: np.ndarray, weights: np.ndarray, q: float) -> float:
-    """Midpoint of the neighbours at the share ``q`` of the weights."""
-    order = np.argsort(values, kind="stable")
-    v, share = values[order], np.cumsum(weights[order]) / weights.sum()
-    k = int(np.searchsorted(share, q - 1e-12, side="left"))
-    return float((v[k] + v[min(k + 1, len(v) - 1)]) / 2)
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels that may be learned from, one for each document."""
+    kept = F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
+    return labels.select("doc_id", "quality").where(kept).groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 10_000, pairs_each: int = 4, ridge: float = 1e-3, cut: float = 0.7, seed: int = 7) -> Model:
-    """Learn from ``labels`` (doc_id, quality) of documents that are not held out.
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 10_000, pairs_each: int = 4, ridge: float = 1e-3, seed: int = 7) -> tuple[float, ...] | None:
+    """Weights learned from ``labels`` (doc_id, quality) of documents that are not held out; None without both labels.
 
-    At most ``max_labelled`` rows of each label are used, those with the least
-    hashes in expectation; that is all that reaches the driver.
+    The features of at most ``max_labelled`` rows of each label reach the driver.
     """
     width = len(features(F.lit(""), F.array(F.lit(""))))
-    nothing = Model((0.0,) * width, 0.0, cut)
-    labelled = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = usable(labels)
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     counts = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return nothing
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    parts = [labelled.where((F.col("quality") == q) & (hashed < min(1 << 30, int(1.05 * max_labelled / n * (1 << 30))))).limit(max_labelled) for q, n in counts.items()]
-    sample = parts[0].unionByName(parts[1])
+        return None
+    # A cut by hash that more than enough rows pass, then exactly the least.
+    share = {q: min(1.0, (max_labelled + 6 * max_labelled**0.5 + 50) / n) for q, n in counts.items()}
+    near = lambda q: labelled.where((F.col("quality") == q) & (hashed < int(share[q] * (1 << 30))))
+    sample = checkpoint(near(0).orderBy(hashed, "doc_id").limit(max_labelled).unionByName(near(1).orderBy(hashed, "doc_id").limit(max_labelled)))
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    found = featured(chosen.dropDuplicates(["doc_id"])).join(F.broadcast(sample), "doc_id").drop("doc_id").toArrow()
+    names = [f"f{i}" for i in range(width)]
+    one = featured(chosen).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("f"))
+    found = one.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("quality", "f.*").toArrow()
     y = found.column("quality").to_numpy()
-    x = np.column_stack([found.column(f"f{i}").to_numpy() for i in range(width)]) if len(y) else np.zeros((0, width))
+    x = np.column_stack([found.column(c).to_numpy() for c in names]) if len(y) else np.zeros((0, width))
     if not (y == 0).any() or not (y == 1).any():
-        return nothing
+        return None
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread < 1e-9] = 1.0
     z = (x - mean) / spread
     w = bradley_terry(z[y == 1], z[y == 0], pairs_each=pairs_each, ridge=ridge, seed=seed)
-    total = counts[0] + counts[1]
-    each = np.where(y == 0, counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum())
-    threshold = weighted_quantile(z @ w, each, counts[0] / total)
-    plain = w / spread
-    return Model(tuple(float(v) for v in plain), threshold + float(mean @ plain), cut)
+    return tuple(float(v) for v in w / spread)
+
+
+def threshold_of(scored: DataFrame, labels: DataFrame) -> float:
+    """The score quantile at the share of label 0, over the labelled rows of ``scored`` (doc_id, raw)."""
+    met = scored.join(usable(labels), "doc_id")
+    bad = met.agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0]
+    if bad is None:
+        return 0.0
+    ranks = [max(0.0, bad - MARGIN), min(1.0, bad + MARGIN)]
+    low, high = met.agg(F.percentile_approx("raw", ranks, int(10 / MARGIN))).first()[0]
+    return (low + high) / 2
+
+
+def raw_score(text: Column, weights: tuple[float, ...]) -> Column:
+    """The raw score of a text as one expression, its words bound once."""
+    shown = F.coalesce(text, F.lit(""))
+    return let(word_list(text), lambda words: linear([c.cast("double") for c in features(shown, words).values()], weights))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, model: Model | None = None, cut: float = 0.7) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, *, cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text)."""
-    model = model or train(docs, labels, cut=cut)
-    scored = featured(docs).select("doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), model.score([F.col(f"f{i}") for i in range(len(model.weights))]).alias("score"))
-    return scored.select("*", (F.col("score") >= model.cut).cast("int").alias("predicted"))
+    held_out = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
+    weights = train(docs, labels)
+    if weights is None:
+        return docs.select("doc_id", held_out, F.lit(cut).alias("score"), F.lit(1).alias("predicted"))
+    scored = written(featured(docs).select("doc_id", linear([F.col(f"f{i}") for i in range(len(weights))], weights).alias("raw")), "scores")
+    threshold = threshold_of(scored, labels)
+    score = as_score(F.col("raw"), threshold, cut)
+    return scored.select("doc_id", held_out, score.alias("score"), (score >= cut).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier doesn't reject."""
-    model = train(docs, labels, cut=cut)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # One expression with the words bound once: a filter is pushed down whole, and words in a column of their own would be split again for each use.
-    score = let(word_list(F.col("text")), lambda words: model.score([c.cast("double") for c in features(text, words).values()]))
-    return docs.where(score >= model.cut)
+    weights = train(docs, labels)
+    if weights is None:
+        return docs
+    scored = written(docs.select(rowed(docs), "text", raw_score(F.col("text"), weights).alias("raw")), "scored")
+    threshold = threshold_of(scored.select("row.doc_id", "raw"), labels)
+    return scored.where(as_score(F.col("raw"), threshold, cut) >= cut).select(*unrowed(docs))

@@ -515,6 +515,18 @@ def test_classifier_on_held_out_labels(spark, none):
     assert quality_classifier.score_documents(none, labels).count() == 0
 
 
+def test_classifier_of_awkward_rows(spark):
+    """Empty, very long and repeated texts, null ids, equal ids and clashing columns; the same scores for any layout."""
+    made = [(i, t, q, None, "r") for i, t, q in quality_docs()] + [(None, "some words", 0, 1.0, "r"), (500, None, 0, 2.0, "r"), (500, "", 0, 2.0, "r"), (501, LONG, 1, 3.0, "r"), (501, LONG, 1, 3.0, "r")]
+    d = spark.createDataFrame(made, "doc_id long, text string, quality int, raw double, row string")
+    labels = d.select("doc_id", "quality").union(spark.createDataFrame([(None, 1), (3, None), (4, 7)], "doc_id long, quality int"))
+    one = rows(quality_classifier.score_documents(d, labels), "doc_id", "score")
+    assert one == rows(quality_classifier.score_documents(d.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(5)), "doc_id", "score")
+    assert len(one) == len(made) and len({s for i, s in one if i == 501}) == 1 and len({s for i, s in one if i == 500}) == 1
+    kept = quality_classifier.keep_good(d, labels)
+    assert kept.columns == d.columns and {r.raw for r in kept.collect()} <= {None, 1.0, 2.0, 3.0}
+
+
 def test_classifier_without_labels_rejects_nothing(docs, spark):
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, quality int")
     assert quality_classifier.score_documents(docs, labels).where("predicted = 0").count() == 0
