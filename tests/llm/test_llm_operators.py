@@ -129,11 +129,11 @@ def test_packing_holds_all_limits():
     assert all(len(parts) <= 5 and sum(n for _, n in parts) <= 64 for parts in sequences.values())
 
 
-def brute_leaks(items, window=10):
+def brute_leaks(items, window=10, texts=TEXTS):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     found = []
-    for _, t in TEXTS:
+    for _, t in texts:
         w, hit, owners = cut(t), set(), set()
         for item, x in items:
             p = cut(x)
@@ -187,26 +187,28 @@ def test_quality_rules_equal_brute_force(docs, none):
     assert quality_rules.apply_rules(none).count() == 0
 
 
-def test_line_dedup_equals_brute_force(docs, none):
-    known = {}
-    for i, t in TEXTS:
-        if i is not None:
-            known[i] = t
+def brute_lines(known, least=50):
+    """Cleaned texts of {key: text}, in the order of keys."""
     cut = {i: [(k, " ".join(x.split())) for k, x in enumerate((t or "").split("\n")) if x.split()] for i, t in known.items()}
     order = sorted(cut)
     want = {}
-    for i in order:
+    for n_before, i in enumerate(order):
         gone = set()
         for p in range(len(cut[i])):
-            for j in order:
+            for j in order[: n_before + 1]:
                 for q in range(len(cut[j])):
                     n = words = 0
                     while (j, q) < (i, p) and p + n < len(cut[i]) and q + n < len(cut[j]) and cut[i][p + n][1] == cut[j][q + n][1]:
                         words += len(cut[i][p + n][1].split())
                         n += 1
-                    if words >= 50:
+                    if words >= least:
                         gone.update(range(cut[i][p][0], cut[i][p + n - 1][0] + 1))
         want[i] = None if known[i] is None else "\n".join(x for k, x in enumerate(known[i].split("\n")) if k not in gone)
+    return want
+
+
+def test_line_dedup_equals_brute_force(docs, none):
+    want = brute_lines({i: t for i, t in TEXTS if i is not None})
     got = line_dedup.line_report(docs)
     assert set(rows(got.where("doc_id IS NOT NULL"), "doc_id", "text")) == set(want.items())
     assert got.where("doc_id IS NULL").first().text == P1
