@@ -8,9 +8,13 @@
 4. Documents with a window of a benchmark item go.
 5. The rest is packed into sequences.
 
-Null and empty texts pass stages 1 to 4 unless the classifier rejects them;
-rows without a doc_id are never taken for copies. All columns of the input
-stay through stage 4, ``n_chars`` with the new length where a text changed.
+Null and empty texts pass stages 2 to 4 and go only where the classifier rejects
+them. Rows without a doc_id are never taken for copies, but stages 1 and 4 judge
+them by their text like any other. Rows of equal doc_id are told apart by their texts; rows of
+equal doc_id and text are one document and go or stay together. All columns of the input
+stay through stage 4, whatever their names, ``n_chars`` with the new length where a text changed.
+Empty tables pass through; without labels nothing is rejected, without
+benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
