@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, heavy_join
+from .common import checkpoint, salted_join
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     Each round joins every larger neighbour to the least one (large star),
     then every smaller neighbour (small star). Minima are combined before
     they are shuffled, the number of edges doesn't grow, and the edges of a
-    node with very many neighbours stay where they are.
+    node with very many neighbours meet their minimum in several tasks.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _mark(edges)
@@ -26,11 +26,11 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = heavy_join(both, least, ["u"], "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpoint(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = heavy_join(large, least, ["u"], "n", before[0])
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = salted_join(both, least, ["u"], ["v"], salts=8).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Here u is the larger end: it has few neighbours after the large star.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        met = large.join(least, "u")
         small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))).distinct()
         edges = checkpoint(small)
         after = _mark(edges)
