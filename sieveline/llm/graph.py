@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint, salted_join
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) leads from a node with no other edge to a root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    per = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return per.where("out > 1 OR (out > 0 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
@@ -21,9 +24,8 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     node with very many neighbours meet their minimum in several tasks.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _mark(edges)
     for _ in range(rounds):
-        if not before[0]:
+        if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -33,10 +35,6 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         met = large.join(least, "u")
         small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))).distinct()
         edges = checkpoint(small)
-        after = _mark(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components unsettled after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

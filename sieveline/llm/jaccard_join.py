@@ -4,7 +4,7 @@ A document is its set of shingles (five words; all words of a shorter text).
 In each run a path starts empty and is extended token by token: of a set's
 tokens those are chosen whose hash under the path is below 1 / (similarity x
 set size), the same for every set, so sets that share much follow the same
-paths. Sets at the end of a path are a bucket, and buckets that share a set
+paths. Sets at the end of a path of ``first`` tokens are a bucket, and buckets that share a set
 are a group. A group of ``bucket`` sets or fewer is compared by brute force; a larger
 one is split recursively by the paths one token longer, until ``levels``
 tokens are shared. Groups are disjoint, so a pair is compared once. Runs are
@@ -85,7 +85,8 @@ def chosen_paths(tokens: np.ndarray, runs: int, levels: int, similarity: float,
     for _ in range(levels):
         nexts = []
         for at in range(0, len(paths), block):
-            drawn = mix(paths[at : at + block, None] ^ tokens[None, :])
+            # Tokens are hashes; a path is their random odd multiplier.
+            drawn = (paths[at : at + block, None] | np.uint64(1)) * tokens[None, :]
             rows, cols = np.nonzero(drawn < limit)
             nexts.append(mix(paths[at : at + block][rows] * STEP + tokens[cols]))
         paths = np.unique(np.concatenate(nexts)) if nexts else paths
@@ -106,10 +107,10 @@ def runs_for(recall: float, similarity: float, levels: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
-def sketched(docs: DataFrame, size: int, similarity: float, runs: int, levels: int) -> DataFrame:
-    """doc_id, copy (hash of the text), set (hash of the shingle set; null: none), n and the paths by length, p1, p2 and so on."""
+def sketched(docs: DataFrame, size: int, similarity: float, runs: int, first: int, levels: int) -> DataFrame:
+    """doc_id, copy (hash of the text), set (hash of the shingle set; null: none), n and the paths by length, from ``first``: p2, p3 and so on."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"p{k + 1}" for k in range(levels)]
+    names = [f"p{k}" for k in range(first, levels + 1)]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -120,7 +121,7 @@ def sketched(docs: DataFrame, size: int, similarity: float, runs: int, levels: i
                 s = shingles(raw or b"", hashes, size)
                 keys.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
                 ns.append(len(s))
-                for out, mine in zip(paths, chosen_paths(s, runs, levels, similarity) if len(s) else [np.empty(0, np.uint64)] * levels, strict=True):
+                for out, mine in zip(paths, chosen_paths(s, runs, levels, similarity)[first - 1 :] if len(s) else [np.empty(0, np.uint64)] * len(names), strict=True):
                     out.append(mine.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), *[pa.array(p, pa.list_(pa.int64())) for p in paths]], names=["doc_id", "copy", "set", "n", *names])
 
@@ -212,7 +213,7 @@ def bucket_groups(ends: DataFrame, total: int) -> DataFrame:
     return components(heavy_join(ends, hubs, ["path"], "rows", total).select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
 
-def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
+def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, first: int, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
     """node, doc_id, copy, weight, group, own (chunk) and pairs (of chunks) of each set that shares a bucket.
 
     ``sketch`` and ``classes`` are written tables.
@@ -221,7 +222,7 @@ def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, levels: int, buc
     mine = sketch.where(F.col("doc_id").isNotNull() & F.col("set").isNotNull())
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
     found = None
-    for level in range(1, levels + 1):
+    for level in range(first, levels + 1):
         ends = mine.select(F.col("set").alias("node"), F.explode(f"p{level}").alias("path"))
         total = mine.agg(F.coalesce(F.sum(F.size(f"p{level}")), F.lit(0))).first()[0]
         groups = bucket_groups(ends, int(total)).join(whose, "node")
@@ -265,16 +266,16 @@ def with_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(batches, rows.select(*kept, F.lit(b"").alias("tokens")).schema)
 
 
-def set_classes(docs: DataFrame, *, size: int, similarity: tuple[int, int], recall: float, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
+def set_classes(docs: DataFrame, *, size: int, similarity: tuple[int, int], recall: float, first: int, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
     """doc_id, copy, set_id, class_id, class_copy and n_links of every row of ``docs`` (doc_id, text)."""
     share = similarity[0] / similarity[1]
     # Without a doc_id or words nothing links.
-    sketch = written(sketched(docs, size, share, runs_for(recall, share, levels), levels), "sketch")
+    sketch = written(sketched(docs, size, share, runs_for(recall, share, levels), first, levels), "sketch")
     real = sketch.where(F.col("doc_id").isNotNull() & F.col("set").isNotNull())
     by_set = real.groupBy("set").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
     # From here a class is its set hash.
     classes = written(by_set.select("set", "rep.doc_id", "rep.copy", "weight", "n"), "classes")
-    dealt = groups_to_compare(sketch, classes, levels=levels, bucket=bucket, bucket_tokens=bucket_tokens)
+    dealt = groups_to_compare(sketch, classes, first=first, levels=levels, bucket=bucket, bucket_tokens=bucket_tokens)
     texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").join(dealt.hint("shuffle_hash"), ["doc_id", "copy"])
     rows = with_sets(texts, size).select("group", F.explode("pairs").alias("pair"), "own", "node", "weight", "tokens").select("group", "pair.a", "pair.b", "own", "node", "weight", "tokens")
     rows = rows.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "node")
@@ -293,7 +294,7 @@ def set_classes(docs: DataFrame, *, size: int, similarity: tuple[int, int], reca
     return linked_rows.unionByName(alone)
 
 
-OPTIONS = {"size": 5, "similarity": (4, 5), "recall": 0.9999, "levels": 3, "bucket": 256, "bucket_tokens": 1_000_000}
+OPTIONS = {"size": 5, "similarity": (4, 5), "recall": 0.9999, "first": 2, "levels": 3, "bucket": 256, "bucket_tokens": 1_000_000}
 
 
 def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
