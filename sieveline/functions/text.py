@@ -13,7 +13,11 @@ TITLE_STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with
 # Words of a licence that lets a text be processed privately.
 LICENSE_MARKERS = ("creativecommons.org/licenses/", "creativecommons.org/publicdomain/", "cc by", "cc-by", "cc0", "creative commons", "public domain")
 # Contact identifiers that can't be searched for.
-CONTACTS = (r"(?i)(?<![\w.+-])[\w.+-]+@[\w.-]+\.[a-z]{2,}(?![\w.-])", r"(?<!\d)(?:\+?86[- ]?)?1[3-9]\d{9}(?!\d)", r"(?<!\d)\d{17}[\dXx](?!\d)")
+CONTACTS = {
+    "email": r"(?i)(?<![\w.+-])[\w.+-]+@[\w.-]+\.[a-z]{2,}(?![\w.-])",
+    "mobile phone": r"(?<!\d)(?:\+?86[- ]?)?1[3-9]\d{9}(?!\d)",
+    "national id": r"(?<!\d)\d{17}[\dXx](?!\d)",
+}
 # Patterns of the parts of an article.
 SECTION_SIGNALS = (
     r"(?i)\b(?:introduction|background|literature review)\b",
@@ -113,7 +117,7 @@ def license_allows(license_: Column, pdf_url: Column) -> Column:
 
 def has_contact(text: Column) -> Column:
     found = F.lit(False)
-    for p in CONTACTS:
+    for p in CONTACTS.values():
         found = found | F.coalesce(text.rlike(p), F.lit(False))
     return found
 
@@ -208,19 +212,36 @@ def fragments(markdown: Column, limit: int = 3000) -> Column:
     return F.aggregate(parts, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
 
 
+#: Several citations in one bracket, and one citation repeated in brackets side by side.
+CLUSTER = r"\[((?:@[A-Za-z0-9_.:-]+)(?:;\s*@[A-Za-z0-9_.:-]+)+)\]"
+REPEATED = r"\[@([A-Za-z0-9_.:-]+)\](?:\s*\[@\1\])+"
+#: What a bare key reads as in prose.
+THIS_STUDY = "该研究"
+
+
 def cluster_unique(text: Column) -> Column:
-    """Citations of one bracket only once, and bracketed repeats side by side only once."""
-    return F.regexp_replace(F.regexp_replace(text, r"\[@([A-Za-z0-9_.:-]+)(?:;\s*@\1)+\]", "[@$1]"), r"(\[@[^\]]+\])(?:\s*\1)+", "$1")
+    """Citations of one bracket only once, in order, and bracketed repeats side by side only once."""
+    inside = F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(1))
+    shown = F.transform(inside, lambda c: F.concat(F.lit("["), F.array_join(F.array_distinct(F.transform(F.split(c, ";"), stripped)), "; "), F.lit("]")))
+    whole = F.array_join(F.transform(F.arrays_zip(F.split(text, CLUSTER, -1).alias("gap"), shown.alias("cluster")), lambda x: F.concat(x["gap"], F.coalesce(x["cluster"], F.lit("")))), "")
+    return F.regexp_replace(F.when(text.rlike(CLUSTER), whole).otherwise(text), REPEATED, "[@$1]")
 
 
 def rewritten_citations(text: Column, aliases: Column) -> Column:
-    """Evidence identifiers replaced by citation keys, longest first, then repeats dropped.
+    """Evidence identifiers replaced by citation keys, longest first; numbered cards of a key cut to it; bare keys reworded; repeats dropped.
 
     ``aliases`` is an array of structs (alias, key).
     """
-    longest = F.array_sort(aliases, lambda a, b: F.length(b["alias"]) - F.length(a["alias"]))
-    swapped = F.aggregate(longest, text, lambda t, a: F.replace(t, F.concat(F.lit("@"), a["alias"]), F.concat(F.lit("@"), a["key"])))
-    return cluster_unique(F.regexp_replace(swapped, r"@(ref_[0-9a-f]{10})_e\d+", "@$1"))
+    longest = lambda values: F.array_sort(values, lambda a, b: F.when(F.length(a) == F.length(b), F.when(a < b, -1).when(a > b, 1).otherwise(0)).otherwise(F.length(b) - F.length(a)))
+    by_length = F.array_sort(aliases, lambda a, b: F.length(b["alias"]) - F.length(a["alias"]))
+    swapped = F.aggregate(by_length, text, lambda t, a: F.replace(t, F.concat(F.lit("@"), a["alias"]), F.concat(F.lit("@"), a["key"])))
+
+    def plain(t: Column, key: Column) -> Column:
+        quoted = F.concat(F.lit("\\Q"), key, F.lit("\\E"))
+        cut = F.regexp_replace(t, F.concat(F.lit("(?U)(@"), quoted, F.lit(r")_e\d+\b")), F.lit("$1"))
+        return F.regexp_replace(cut, F.concat(F.lit("(?<![@A-Za-z0-9_.:-])"), quoted, F.lit("(?![A-Za-z0-9_.:-])")), F.lit(THIS_STUDY))
+
+    return cluster_unique(F.aggregate(longest(F.array_distinct(F.transform(aliases, lambda a: a["key"]))), swapped, plain))
 
 
 def unfinished(body: Column) -> Column:
