@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.operators.evidence import ADVERSE
-from sieveline.spec import QualitySpec
+from sieveline.spec import TaskSpec
 
 VERIFIED = ("no_adverse_update_found", "updated")
 UNCITED_HEADINGS = ("摘要", "参考文献")
@@ -25,7 +25,7 @@ def unknown_citations(used: DataFrame, known: DataFrame) -> DataFrame:
 def uncited_paragraphs(markdown: Column) -> Column:
     """Long paragraphs of prose without a citation."""
     parts = F.filter(F.transform(F.split(markdown, r"\n\s*\n"), T.stripped), lambda p: F.length(p) >= 120)
-    return F.filter(parts, lambda p: ~p.rlike(r"^(---|#|\||\*\*关键词|关键词|Keywords|\*\*Keywords)") & ~p.rlike(T.CITATION))
+    return F.filter(parts, lambda p: ~p.rlike(r"^(---|#|\||\*\*关键词)") & ~p.rlike(T.CITATION))
 
 
 def sections(reviews: DataFrame) -> DataFrame:
@@ -60,43 +60,78 @@ def source_contributions(log: DataFrame) -> DataFrame:
     return log.groupBy("source").agg(F.sum("records").cast("long").alias("records"), (F.count_if(F.col("status") == "ok") > 0).alias("operational"), (F.sum("records") > 0).alias("contributing"))
 
 
-def findings(spark: SparkSession, facts: dict, limits: QualitySpec) -> DataFrame:
-    """(code, severity, detail) for what is wrong.
-
-    ``facts``: contributing, retained, cards (None: not asked for), the counts of
-    ``evidence_counts``, unknown, uncited, unfinished, adverse_cited, unlicensed,
-    cited, verdict (None: no review), high_issues.
+def run_facts(papers: DataFrame, cards: DataFrame | None, log: DataFrame) -> dict:
+    """Counts of a run: sources that contributed, papers kept, and of papers with evidence. One row reaches the driver."""
+    facts = source_contributions(log).agg(F.count_if("contributing").alias("contributing")).first().asDict() | papers.agg(F.count("*").alias("retained")).first().asDict()
+    if cards is None:
+        return facts | {"cards": None}
+    status, real = F.col("publication_status"), F.col("evidence_type") != "bibliographic_metadata"
+    per = cards.groupBy("record_id").agg(F.count("*").alias("cards"), F.bool_or(real).alias("real"), F.bool_or("fulltext_verified").alias("full"))
+    known = papers.select("record_id", "publication_status", T.license_allows(F.col("open_access_license"), F.col("open_access_pdf_url")).alias("licensed"), F.lit(True).alias("known"))
+    met = per.join(known, "record_id", "left")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return facts | met.agg(
+        F.coalesce(F.sum("cards"), F.lit(0)).alias("cards"), n(F.col("real")).alias("evidence"), n(F.col("full")).alias("fulltext"), n(F.col("real") & status.isin(*VERIFIED)).alias("verified"),
+        n(F.col("real") & F.col("known") & ~F.coalesce(status, F.lit("")).isin(*VERIFIED, *ADVERSE)).alias("incomplete"), n(status.isin(*ADVERSE)).alias("adverse"), n(F.col("full") & ~F.coalesce("licensed", F.lit(False))).alias("unlicensed"),
+    ).first().asDict()
+
+
+def draft_facts(reviews: DataFrame, papers: DataFrame, cards: DataFrame | None) -> DataFrame:
+    """Per draft (doc, markdown): unknown and adverse citations, substantive ones, long paragraphs without any, unfinished sections."""
+    drafts = reviews.where(F.coalesce("markdown", F.lit("")) != "")
+    known = papers.groupBy("citation_key").agg(F.max_by(F.struct("record_id", "publication_status"), "ord").alias("paper"))
+    real = (cards.where("evidence_type <> 'bibliographic_metadata'").select("record_id") if cards is not None else papers.select("record_id").limit(0)).distinct()
+    solid = real.join(papers.select("record_id", "citation_key"), "record_id").select("citation_key", F.lit(True).alias("solid")).distinct()
+    used = used_citations(drafts).join(known, "citation_key", "left").join(solid, "citation_key", "left")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("citation_key")))), ", ")
+    per = used.groupBy("doc").agg(listed(F.col("paper").isNull()).alias("unknown"), listed(F.col("paper.publication_status").isin(*ADVERSE)).alias("adverse_cited"), F.count("solid").alias("cited"))
+    ends = unfinished_sections(drafts).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "heading"))), lambda x: x["heading"]), ", ").alias("unfinished"))
+    whole = reviews.select("doc", (F.coalesce("markdown", F.lit("")) != "").alias("drafted"), F.size(uncited_paragraphs(F.coalesce("markdown", F.lit("")))).alias("uncited"))
+    return whole.join(per, "doc", "left").join(ends, "doc", "left").na.fill({"unknown": "", "adverse_cited": "", "cited": 0})
+
+
+def gates(reviews: DataFrame, papers: DataFrame, cards: DataFrame | None, log: DataFrame, spec: TaskSpec, verdicts: DataFrame | None = None) -> DataFrame:
+    """(doc, code, severity, detail): what is wrong with each draft of a run.
+
+    ``papers`` has ord, citation_key, status and licence; ``log`` one row a
+    query; ``verdicts`` (doc, verdict, high_issues) those of model reviews. A
+    draft without text is judged by the run alone.
     """
-    out: list[tuple[str, str, str]] = []
-
-    def add(when: bool, code: str, severity: str, detail: object = "") -> None:
-        if when:
-            out.append((code, severity, str(detail)))
-
-    f = facts.get
-    add(f("contributing", 0) < limits.min_sources, "insufficient_sources", "high", f("contributing", 0))
-    add(f("retained", 0) == 0, "no_papers", "high")
-    add(0 < f("retained", 0) < limits.min_retained, "insufficient_retained_records", "high", f("retained", 0))
-    add(bool(f("unknown")), "unknown_citations", "high", ", ".join(sorted(f("unknown") or [])))
-    add(f("uncited", 0) > 0, "long_paragraphs_without_citations", "medium", f("uncited", 0))
-    add(bool(f("unfinished")), "unfinished_section_endings", "high", ", ".join(f("unfinished") or []))
-    add(bool(f("adverse_cited")), "adverse_publication_cited", "high", ", ".join(sorted(f("adverse_cited") or [])))
-    if f("cards") is not None:
-        n = f("evidence_papers", 0)
-        add(f("cards") == 0, "no_evidence_cards", "high")
-        add(n < limits.min_evidence, "insufficient_evidence_papers", "high", n)
-        add(f("fulltext_papers", 0) < limits.min_fulltext, "insufficient_fulltext_evidence", "high", f("fulltext_papers", 0))
-        add(f("verified", 0) < min(limits.min_evidence, n), "insufficient_publication_status_checks", "high", f("verified", 0))
-        add(f("incomplete", 0) > 0, "publication_status_checks_incomplete", "medium", f("incomplete", 0))
-        add(f("adverse", 0) > 0, "adverse_publication_in_evidence", "high", f("adverse", 0))
-        add(f("fulltext_papers", 0) > f("licensed_papers", 0), "fulltext_license_not_verified", "high")
-        if f("cited") is not None:
-            add(f("cited") < limits.min_cited, "insufficient_cited_papers", "high", f("cited"))
-    if f("verdict") is not None:
-        add(f("verdict") != "pass", "model_review_not_passed", "high", f("verdict"))
-        add(f("high_issues", 0) > 0, "model_review_high_severity_issues", "high", f("high_issues"))
-    return spark.createDataFrame(out, "code string, severity string, detail string")
+    run, limits = run_facts(papers, cards, log), spec.quality
+    drafts = draft_facts(reviews, papers, cards)
+    if verdicts is None:
+        drafts = drafts.withColumn("verdict", F.lit(None).cast("string")).withColumn("high_issues", F.lit(0).cast("long"))
+    else:
+        drafts = drafts.join(verdicts.select("doc", "verdict", "high_issues"), "doc", "left")
+    found: list[Column] = []
+
+    def gate(when: Column | bool, code: str, detail: Column | object, severity: str = "high") -> None:
+        when, detail = (x if isinstance(x, Column) else F.lit(x) for x in (when, detail))
+        found.append(F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))))
+
+    gate(run["contributing"] < spec.search.min_sources, "insufficient_sources", run["contributing"])
+    gate(run["retained"] == 0, "no_papers", 0)
+    gate(0 < run["retained"] < limits.min_retained, "insufficient_retained_records", run["retained"])
+    gate(F.col("unknown") != "", "unknown_citations", F.col("unknown"))
+    gate(F.col("uncited") > 0, "long_paragraphs_without_citations", F.col("uncited"), "medium")
+    gate(F.col("unfinished").isNotNull(), "unfinished_section_endings", F.col("unfinished"))
+    gate(F.col("adverse_cited") != "", "adverse_publication_cited", F.col("adverse_cited"))
+    if run["cards"] == 0:
+        gate(True, "no_evidence_cards", 0)
+    if run["cards"]:
+        gate(run["evidence"] < limits.min_evidence, "insufficient_evidence_papers", run["evidence"])
+        gate(run["fulltext"] < limits.min_fulltext, "insufficient_fulltext_evidence", run["fulltext"])
+        gate(run["verified"] < min(limits.min_evidence, run["evidence"]), "insufficient_publication_status_checks", run["verified"])
+        gate(run["incomplete"] > 0, "publication_status_checks_incomplete", run["incomplete"], "medium")
+        gate(run["adverse"] > 0, "adverse_publication_in_evidence", run["adverse"])
+        gate(run["unlicensed"] > 0, "fulltext_license_not_verified", run["unlicensed"])
+    gate(F.col("drafted") & (F.col("cited") < limits.min_cited), "insufficient_cited_papers", F.col("cited"))
+    if spec.models.enabled and spec.models.second_review:
+        verdict = F.coalesce("verdict", F.lit("not_run"))
+        gate(verdict != "pass", "model_review_not_passed", verdict)
+    gate(F.coalesce("high_issues", F.lit(0)) > 0, "model_review_high_severity_issues", F.col("high_issues"))
+    return drafts.select("doc", F.explode(F.filter(F.array(*found), lambda g: g.isNotNull())).alias("g")).select("doc", "g.*")
 
 
 def run_status(found: DataFrame) -> str:
-    return "blocked" if found.where("severity = 'high'").limit(1).count() else "pass"
+    return "pass" if found.where("severity = 'high'").isEmpty() else "blocked"

@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.text import stripped
+
+
+CASE = "case_id string, category string, instruction string, evidence array<map<string, string>>, required_citations array<string>, forbidden_patterns array<string>"
+
 
 def load_cases(spark, path: str) -> DataFrame:
-    """Cases from a JSON list; ``allowed`` are the ids of their evidence."""
-    schema = "case_id string, prompt string, evidence array<struct<id: string, text: string>>, required array<string>, forbidden array<string>"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("allowed", F.transform("evidence", lambda e: e["id"]))
+    """Cases from a JSON list that isn't empty; ``allowed`` are the ids of their evidence. A case without id, category or instruction is an error."""
+    cases = spark.read.schema(CASE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if cases.isEmpty():
+        raise ValueError("a suite is a JSON list of cases")
+    whole = F.assert_true(F.col("case_id").isNotNull() & F.col("category").isNotNull() & F.col("instruction").isNotNull(), "a case lacks an id, a category or an instruction").isNull()
+    none = F.array().cast("array<string>")
+    ids = F.filter(F.transform("evidence", lambda e: F.try_element_at(e, F.lit("id"))), lambda i: i.isNotNull() & (i != ""))
+    return cases.where(whole).select("case_id", "category", "instruction", "evidence", F.coalesce(ids, none).alias("allowed"), F.coalesce("required_citations", none).alias("required"), F.coalesce("forbidden_patterns", none).alias("forbidden"))
 
 
 def score(citations: Column, text: Column, allowed: Column, required: Column, forbidden: Column) -> Column:
-    """100 points: 35 valid citations, 25 required ones (10 off each missing), 25 nothing forbidden, 15 an answer in form."""
-    some = F.coalesce(citations, F.array().cast("array<string>"))
-    valid = F.when((F.size(some) > 0) & (F.size(F.array_except(some, allowed)) == 0), 35).otherwise(0)
+    """100 points: 35 no invalid citation, 25 required ones (10 off each missing), 25 nothing forbidden, 15 text and a list of citations."""
+    some, said = F.coalesce(citations, F.array().cast("array<string>")), stripped(F.coalesce(text, F.lit("")))
+    valid = F.when(F.size(F.array_except(some, allowed)) == 0, 35).otherwise(0)
     missing = F.greatest(F.lit(0), 25 - 10 * F.size(F.array_except(required, some)))
-    clean = F.when(F.exists(forbidden, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p))), 0).otherwise(25)
-    form = F.when((F.coalesce(text, F.lit("")) != "") & citations.isNotNull(), 15).otherwise(0)
+    clean = F.when(F.exists(forbidden, lambda p: F.rlike(said, F.concat(F.lit("(?iu)"), p))), 0).otherwise(25)
+    form = F.when((said != "") & citations.isNotNull(), 15).otherwise(0)
     return valid + missing + clean + form
 
 
@@ -33,5 +43,5 @@ def blinded(models: list[str], cases: DataFrame, seed: int) -> tuple[DataFrame,
 
     order = list(models)
     random.Random(seed).shuffle(order)
-    labels = {f"candidate_{i + 1}": m for i, m in enumerate(order)}
+    labels = {f"candidate_{chr(65 + i)}": m for i, m in enumerate(order)}
     return cases.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels]))), labels

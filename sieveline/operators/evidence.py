@@ -120,18 +120,35 @@ def alias_map(digest: DataFrame) -> DataFrame:
 
 
 def merged_reviews(reviews: DataFrame) -> DataFrame:
-    """One verdict from fragment reviews (ord, verdict, issues): distinct issues; any high issue takes the pass away, reject beats revise."""
+    """One review from fragment reviews (ord, verdict, issues, and missing_perspectives, citation_problems where known).
+
+    Issues and other entries are kept once, in order; any high issue takes the
+    pass away, and then a reject beats a revise, whatever their case.
+    """
     issues = reviews.select("ord", F.posexplode_outer("issues").alias("at", "issue"))
     distinct = issues.where(F.col("issue").isNotNull()).groupBy(F.to_json("issue").alias("j")).agg(F.min(F.struct("ord", "at")).alias("o"), F.first("issue").alias("issue"))
-    listed = distinct.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "issue"))), lambda x: x["issue"]).alias("issues"), F.coalesce(F.bool_or(F.col("issue.severity") == "high"), F.lit(False)).alias("high"))
-    verdicts = reviews.agg(F.coalesce(F.bool_or(F.col("verdict") == "reject"), F.lit(False)).alias("rejected"))
-    return listed.join(F.broadcast(verdicts)).select(F.when(~F.col("high"), "pass").when(F.col("rejected"), "reject").otherwise("revise").alias("verdict"), "issues")
+    listed = distinct.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "j", "issue"))), lambda x: x["issue"]).alias("issues"), F.coalesce(F.bool_or(F.lower("issue.severity") == "high"), F.lit(False)).alias("high"))
+    joined = listed.join(F.broadcast(reviews.agg(F.coalesce(F.bool_or(F.lower("verdict") == "reject"), F.lit(False)).alias("rejected"), F.count("*").alias("fragments"))))  # one row
+    for name in ("missing_perspectives", "citation_problems"):
+        if name in reviews.columns:
+            entries = reviews.select("ord", F.posexplode(name).alias("at", "x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.min(F.struct("ord", "at")).alias("o"))
+            joined = joined.join(F.broadcast(entries.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda e: e["x"]).alias(name))))  # one row
+        else:
+            joined = joined.withColumn(name, F.array().cast("array<string>"))
+    verdict = F.when(~F.col("high"), "pass").when(F.col("rejected"), "reject").otherwise("revise")
+    return joined.select(verdict.alias("verdict"), "issues", "missing_perspectives", "citation_problems", F.struct(F.col("fragments").alias("fragment_count")).alias("review_scope"))
+
+
+# Words of a location that mean the whole text, and its frame.
+EVERYWHERE = ("全文", "全篇", "整篇", "各节", "多处")
+FRAME = ("标题", "摘要", "引言", "结论", "局限")
 
 
 def issue_applies(location: Column, heading: Column, number: Column, structural: Column) -> Column:
-    """Whether a review issue belongs to a part: everywhere, structural, by section number or by heading."""
-    where = F.lower(stripped(F.coalesce(location, F.lit(""))))
-    core = F.lower(F.regexp_replace(heading, r"^\s*\d+[.、]?\s*", ""))
-    everywhere = (where == "") | where.rlike("global|overall|whole|全文|整体")
-    parts = where.rlike("title|abstract|keywords|conclusion|标题|摘要|关键词|结论")
-    return everywhere | (structural & parts) | F.rlike(where, F.concat(F.lit(r"第\s*"), number.cast("string"), F.lit(r"\s*节"))) | ((F.length(core) >= 4) & F.contains(where, core))
+    """Whether a review issue belongs to a part: everywhere; a structural part by its name; a section by its number or heading."""
+    where = stripped(F.coalesce(location, F.lit("")))
+    core = stripped(F.regexp_replace(F.coalesce(heading, F.lit("")), r"^(?U)\s*\d+[.、：:\s]*", ""))
+    holds = lambda words: F.rlike(where, F.lit("|".join(words)))
+    numbered = number.isNotNull() & F.rlike(where, F.concat(F.lit(r"(?U)第\s*"), F.coalesce(number.cast("string"), F.lit("x")), F.lit(r"\s*节")))
+    named = (F.length(core) >= 4) & F.contains(where, core)
+    return (where == "") | holds(EVERYWHERE) | F.when(structural, holds(FRAME)).otherwise(numbered | named)

@@ -3,7 +3,7 @@
 Admission feeds back: a refused request spends nothing, so running sums alone
 can't decide. Events are replayed in order within one ledger, which is the
 unit that the limits of a month bind together; ledgers are independent and
-spread over tasks. Replays read ordered batches and keep sums only.
+spread over tasks. Replays read ordered batches and keep tasks, calls and sums.
 """
 
 from __future__ import annotations
@@ -76,36 +76,51 @@ def rounded_up(x: Decimal) -> Decimal:
     return x.quantize(CENT, rounding=ROUND_UP)
 
 
+ZERO = Decimal(0)
+#: Outcomes of a call; the first two are billed by tokens.
+OUTCOMES = ("completed", "failed_billed", "failed_unknown", "failed_not_billed")
+
+
 class Replay:
-    """The state of one ledger; each event is admitted or refused for the first reason that holds."""
+    """The state of one ledger; each event is admitted or refused for the first reason that holds.
+
+    Calls count with their estimate until they are reconciled, then with what
+    they have cost; a task that has ended counts with the cost of its
+    reconciled calls, before that with its reservation. Calls are kept as long as the ledger.
+    """
 
     def __init__(self, limits: BudgetSpec):
         self.limits = limits
         self.tasks: dict[str, dict] = {}
+        self.calls: dict[str, dict] = {}
         self.month: dict[str, Decimal] = {}
-        self.group: dict[str, Decimal] = {}
-        self.group_provider: dict[tuple[str, str], Decimal] = {}
-        self.month_provider: dict[tuple[str, str], Decimal] = {}
+        self.sums: dict[tuple[str, ...], Decimal] = {}
         self.prices = {a: (p, Decimal(i), Decimal(o)) for a, p, i, o in PRICES}
 
+    def over(self, amount: Decimal, limit: object) -> bool:
+        return not self.limits.unlimited and amount > Decimal(str(limit))
+
+    def cost(self, model: str, input_tokens: int, output_tokens: int) -> Decimal:
+        _, i, o = self.prices[model]
+        return rounded_up((input_tokens * i + output_tokens * o) / Decimal(1_000_000))
+
     def reserve(self, e: dict) -> str:
         if e["task_id"] in self.tasks:
             return "known"
-        amount = rounded_up(Decimal(str(e["amount"] or self.limits.task_limit)))
-        if self.month.get(e["month"], Decimal(0)) + amount > Decimal(str(self.limits.month_stop)):
+        amount = Decimal(str(e["amount"] or self.limits.task_limit))
+        used = self.month.get(e["month"], ZERO)
+        if self.over(used + amount, self.limits.month_stop):
             return "month_stop"
-        self.tasks[e["task_id"]] = {"month": e["month"], "reserved": amount, "status": "reserved", "spent": Decimal(0)}
-        self.month[e["month"]] = self.month.get(e["month"], Decimal(0)) + amount
+        self.tasks[e["task_id"]] = {"month": e["month"], "reserved": amount, "counted": amount, "status": "reserved", "spent": ZERO}
+        self.month[e["month"]] = used + amount
         return "reserved"
 
     def authorize(self, e: dict) -> str:
-        price = self.prices.get(e["model_alias"])
-        if price is None:
+        if e["model_alias"] not in self.prices:
             return "unknown_price"
-        provider, i, o = price
-        base = rounded_up((e["input_tokens"] * i + e["output_tokens"] * o) / Decimal(1_000_000))
-        estimate = rounded_up(base * Decimal("1.10"))
-        if estimate > Decimal(str(self.limits.call_limit)):
+        provider = self.prices[e["model_alias"]][0]
+        estimate = rounded_up(self.cost(e["model_alias"], e["input_tokens"], e["output_tokens"]) * Decimal("1.10"))
+        if self.over(estimate, self.limits.call_limit):
             return "call_limit"
         task = self.tasks.get(e["task_id"])
         if task is None:
@@ -113,42 +128,57 @@ class Replay:
         if task["status"] not in ("reserved", "running"):
             return "inactive_task"
         group = e["task_id"].split(":gh-")[0] if ":gh-" in e["task_id"] else e["task_id"].split(":local-")[0]
-        after = self.group.get(group, Decimal(0)) + estimate
-        if after > task["reserved"]:
-            return "task_limit"
-        by_group = self.group_provider.get((group, provider), Decimal(0)) + estimate
-        if by_group > Decimal(str(self.limits.provider_task_limit(provider))):
-            return "provider_task_limit"
-        by_month = self.month_provider.get((task["month"], provider), Decimal(0)) + estimate
-        if by_month > Decimal(str(self.limits.provider_month_limits.get(provider, self.limits.month_stop))):
-            return "provider_month_limit"
-        self.group[group], self.group_provider[group, provider], self.month_provider[task["month"], provider] = after, by_group, by_month
-        task["status"], task["spent"] = "running", task["spent"] + estimate
+        bound = ((("group", group), task["reserved"], "task_limit"), (("group", group, provider), self.limits.provider_task_limit(provider), "provider_task_limit"), (("month", task["month"], provider), self.limits.model_month_limit, "provider_month_limit"))
+        for key, limit, reason in bound:
+            if self.over(self.sums.get(key, ZERO) + estimate, limit):
+                return reason
+        for key, _, _ in bound:
+            self.sums[key] = self.sums.get(key, ZERO) + estimate
+        task["status"] = "running"
+        self.calls[str(e["call_id"] if e["call_id"] is not None else e["ord"])] = {"task": task, "keys": [k for k, _, _ in bound], "model": e["model_alias"], "estimate": estimate, "value": estimate, "actual": ZERO}
         return "authorized"
 
+    def reconcile(self, e: dict) -> str:
+        if e["outcome"] not in OUTCOMES:
+            return "unknown_outcome"
+        call = self.calls.get(str(e["call_id"]))
+        if call is None:
+            return "unknown_call"
+        actual = {"failed_unknown": call["estimate"], "failed_not_billed": ZERO}.get(e["outcome"])
+        if actual is None:
+            actual = self.cost(call["model"], e["input_tokens"], e["output_tokens"])
+        for key in call["keys"]:
+            self.sums[key] += actual - call["value"]
+        call["task"]["spent"] += actual - call["actual"]
+        call["value"] = call["actual"] = actual
+        return e["outcome"]
+
     def finish(self, e: dict, status: str) -> str:
         task = self.tasks.get(e["task_id"])
         if task is None:
             return "unknown_task"
-        if task["status"] in ("completed", "failed"):
-            return "inactive_task"
-        self.month[task["month"]] += task["spent"] - task["reserved"]
-        task["status"] = status
+        self.month[task["month"]] += task["spent"] - task["counted"]
+        task["status"], task["counted"] = status, task["spent"]
         return status
 
     def __call__(self, e: dict) -> str:
         kind = e["kind"]
-        if kind == "reserve":
-            return self.reserve(e)
-        return self.authorize(e) if kind == "call" else self.finish(e, "completed" if kind == "complete" else "failed")
+        if kind in ("complete", "fail"):
+            return self.finish(e, "completed" if kind == "complete" else "failed")
+        return {"reserve": self.reserve, "call": self.authorize, "reconcile": self.reconcile}[kind](e)
 
 
-EVENT = "ledger_id string, ord long, kind string, task_id string, month string, model_alias string, amount double, input_tokens long, output_tokens long"
+EVENT = "ledger_id string, ord long, kind string, task_id string, month string, model_alias string, amount double, input_tokens long, output_tokens long, call_id string, outcome string"
 
 
 def admissions(events: DataFrame, limits: BudgetSpec) -> DataFrame:
-    """``events`` (see EVENT) with ``decision``, replayed by ``ord`` in each ledger."""
-    rows = events.select("ledger_id", "ord", "kind", "task_id", "month", "model_alias", "amount", "input_tokens", "output_tokens").repartition("ledger_id").sortWithinPartitions("ledger_id", "ord")
+    """``events`` (see EVENT) with ``decision``, replayed by ``ord`` in each ledger.
+
+    Kinds are reserve, call, reconcile, complete and fail; a call without a
+    call_id is known by its ord.
+    """
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    rows = events.select(*[c if c in events.columns else F.lit(None).cast("string").alias(c) for c in names]).repartition("ledger_id").sortWithinPartitions("ledger_id", "ord")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None

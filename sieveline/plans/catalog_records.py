@@ -10,14 +10,20 @@ from sieveline.operators import audit, benchmarking, citation_graph, citations,
 from sieveline.plans import views
 from sieveline.plans.catalog import SPEC, _bm25_sql, query
 from sieveline.plans.views import CARDS_SQL, LEDGER_SQL, PAPERS_SQL
-from sieveline.spec import BudgetSpec
+from sieveline.spec import BudgetSpec, ModelSpec, TaskSpec
 
 TITLE_SQL = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("dedupe_exact_title_year", f"WITH {PAPERS_SQL} SELECT record_id, first_value(record_id) OVER (PARTITION BY {TITLE_SQL}, year ORDER BY ord) AS winner FROM papers")
+@query(
+    "dedupe_exact_title_year",
+    f"""WITH {PAPERS_SQL}, t AS (SELECT record_id, ord, coalesce(year, 0) AS year, {TITLE_SQL} AS t FROM papers WHERE {TITLE_SQL} <> ''),
+n AS (SELECT t, y, min(ord) AS ord FROM (SELECT t, ord, unnest([year - 1, year, year + 1]) AS y FROM t) GROUP BY t, y), z AS (SELECT t, min(ord) AS ord FROM t WHERE year = 0 GROUP BY t),
+m AS (SELECT t.record_id, t.ord, least(n.ord, coalesce(z.ord, n.ord)) AS e FROM t JOIN n ON n.t = t.t AND n.y = t.year LEFT JOIN z ON z.t = t.t)
+SELECT m.record_id, p.record_id AS earlier FROM m JOIN papers p ON p.ord = m.e WHERE m.e < m.ord""",
+)
 def dedupe_exact_title_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.exact_title_clusters(views.papers(spark, sf_dir))
+    return dedupe.exact_title_links(views.papers(spark, sf_dir))
 
 
 @query(
@@ -51,8 +57,7 @@ SELECT k AS doi, arg_min(record_id, ord) AS record_id, arg_min(venue, ord) AS ve
 )
 def merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.papers(spark, sf_dir).where(F.col("doi").isNotNull()).withColumn("k", F.lower("doi"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
-    return p.groupBy(F.col("k").alias("doi")).agg(F.min_by("record_id", "ord").alias("record_id"), first("venue"), F.max_by("abstract", F.length("abstract").cast("long") * 1_000_000 - F.col("ord")).alias("abstract"), F.max("citation_count").alias("citation_count"), F.count("*").alias("members"))
+    return dedupe.merged_by(p.drop("publication_status"), "k").select(F.col("k").alias("doi"), "record_id", "venue", "abstract", "citation_count", "members")
 
 
 @query("merge_first_by_key", f"WITH {PAPERS_SQL} SELECT arg_min(record_id, (ord % 2) * 1000000000 + ord) AS record_id, title FROM papers GROUP BY title")
@@ -189,9 +194,62 @@ def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.numbers(reviews(spark, sf_dir))
 
 
-@query("unfinished_sections")
+SECTION_SQL = r"""sections AS (
+  SELECT doc, i - 2 AS place, regexp_replace(split_part(p[i], chr(10), 1), '^\s+|\s+$', '', 'g') AS heading,
+    CASE WHEN contains(p[i], chr(10)) THEN substr(p[i], instr(p[i], chr(10)) + 1) ELSE '' END AS body
+  FROM (SELECT doc, regexp_split_to_array(markdown, '(?m)^##\s+') AS p FROM reviews), unnest(range(2, len(p) + 1)) AS u(i)),
+endings AS (
+  SELECT doc, place, heading, regexp_replace(regexp_replace(coalesce(list_filter(regexp_split_to_array(body, '\n\s*\n'), lambda q: regexp_matches(q, '\S'))[-1], ''), '(\s*\[@[^\]]+\])+\s*$', ''), '[\s”’"''）)\]】》〉」』*_`]+$', '') AS ending
+  FROM sections),
+unfinished AS (SELECT doc, place, heading FROM endings WHERE heading NOT IN ('摘要', '参考文献') AND NOT regexp_matches(ending, '[。！？；：.!?;:…]$'))"""
+
+
+@query("unfinished_sections", f"WITH {REVIEWS_SQL}, {SECTION_SQL} SELECT doc, place::INT AS place, heading FROM unfinished")
 def unfinished_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.unfinished_sections(reviews(spark, sf_dir)).select("doc", "at", "heading")
+    return audit.unfinished_sections(reviews(spark, sf_dir)).select("doc", F.col("at").alias("place"), "heading")
+
+
+VERIFIED_SQL, ADVERSE_SQL = "('no_adverse_update_found', 'updated')", "('retracted', 'withdrawn', 'expression_of_concern')"
+GATES_SQL = f"""WITH {PAPERS_SQL}, {CARDS_SQL}, {REVIEWS_SQL}, {FOUND_SQL}, {SECTION_SQL},
+known AS (SELECT 'ref_' || ord AS citation_key, record_id, publication_status AS s, regexp_matches(lower(coalesce(open_access_license, '')), 'creativecommons|cc.by|public domain') AND open_access_pdf_url IS NOT NULL AS l FROM papers),
+e AS (SELECT record_id, bool_or(evidence_type <> 'bibliographic_metadata') AS r, bool_or(fulltext_verified) AS f FROM cards GROUP BY 1),
+m AS (SELECT e.record_id, r, f, s, coalesce(l, false) AS l, known.record_id IS NOT NULL AS k FROM e LEFT JOIN known USING (record_id)),
+run AS (SELECT count(*) FILTER (r) AS n, count(*) FILTER (f) AS fulltext, count(*) FILTER (r AND s IN {VERIFIED_SQL}) AS ok, count(*) FILTER (r AND k AND s NOT IN {VERIFIED_SQL} AND s NOT IN {ADVERSE_SQL}) AS opened,
+  count(*) FILTER (s IN {ADVERSE_SQL}) AS bad, count(*) FILTER (f AND NOT l) AS unlicensed, (SELECT count(*) FROM papers) AS retained, (SELECT count(*) FROM (SELECT event_type FROM events GROUP BY 1 HAVING sum(event_id % 7) > 0)) AS sources FROM m),
+u AS (SELECT DISTINCT doc, unnest(k) AS citation_key FROM found),
+per AS (SELECT doc, string_agg(citation_key, ', ' ORDER BY citation_key) FILTER (x.record_id IS NULL) AS unknown, string_agg(citation_key, ', ' ORDER BY citation_key) FILTER (x.s IN {ADVERSE_SQL}) AS adverse, count(*) FILTER (m.r) AS cited
+  FROM u LEFT JOIN known x USING (citation_key) LEFT JOIN m ON m.record_id = x.record_id GROUP BY doc),
+ends AS (SELECT doc, string_agg(heading, ', ' ORDER BY place) AS unfinished FROM unfinished GROUP BY doc),
+d AS (SELECT reviews.doc, unknown, adverse, coalesce(cited, 0) AS cited, unfinished, CASE WHEN reviews.doc % 4 = 1 THEN 'revise' ELSE 'pass' END AS verdict, (reviews.doc % 8 = 1)::INT AS high,
+    len(list_filter(list_transform(regexp_split_to_array(markdown, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) >= 120 AND NOT regexp_matches(p, '^(---|#|\\||\\*\\*关键词)') AND NOT regexp_matches(p, '@[A-Za-z0-9_.:-]+'))) AS uncited
+  FROM reviews LEFT JOIN per USING (doc) LEFT JOIN ends USING (doc)),
+g AS (SELECT doc, unnest([
+  CASE WHEN sources < 3 THEN {{'code': 'insufficient_sources', 'severity': 'high', 'detail': sources::VARCHAR}} END,
+  CASE WHEN retained = 0 THEN {{'code': 'no_papers', 'severity': 'high', 'detail': '0'}} END,
+  CASE WHEN retained > 0 AND retained < 30 THEN {{'code': 'insufficient_retained_records', 'severity': 'high', 'detail': retained::VARCHAR}} END,
+  CASE WHEN unknown IS NOT NULL THEN {{'code': 'unknown_citations', 'severity': 'high', 'detail': unknown}} END,
+  CASE WHEN uncited > 0 THEN {{'code': 'long_paragraphs_without_citations', 'severity': 'medium', 'detail': uncited::VARCHAR}} END,
+  CASE WHEN unfinished IS NOT NULL THEN {{'code': 'unfinished_section_endings', 'severity': 'high', 'detail': unfinished}} END,
+  CASE WHEN adverse IS NOT NULL THEN {{'code': 'adverse_publication_cited', 'severity': 'high', 'detail': adverse}} END,
+  CASE WHEN n < 15 THEN {{'code': 'insufficient_evidence_papers', 'severity': 'high', 'detail': n::VARCHAR}} END,
+  CASE WHEN fulltext < 5 THEN {{'code': 'insufficient_fulltext_evidence', 'severity': 'high', 'detail': fulltext::VARCHAR}} END,
+  CASE WHEN ok < least(15, n) THEN {{'code': 'insufficient_publication_status_checks', 'severity': 'high', 'detail': ok::VARCHAR}} END,
+  CASE WHEN opened > 0 THEN {{'code': 'publication_status_checks_incomplete', 'severity': 'medium', 'detail': opened::VARCHAR}} END,
+  CASE WHEN bad > 0 THEN {{'code': 'adverse_publication_in_evidence', 'severity': 'high', 'detail': bad::VARCHAR}} END,
+  CASE WHEN unlicensed > 0 THEN {{'code': 'fulltext_license_not_verified', 'severity': 'high', 'detail': unlicensed::VARCHAR}} END,
+  CASE WHEN cited < 12 THEN {{'code': 'insufficient_cited_papers', 'severity': 'high', 'detail': cited::VARCHAR}} END,
+  CASE WHEN verdict <> 'pass' THEN {{'code': 'model_review_not_passed', 'severity': 'high', 'detail': verdict}} END,
+  CASE WHEN high > 0 THEN {{'code': 'model_review_high_severity_issues', 'severity': 'high', 'detail': high::VARCHAR}} END]) AS g FROM d, run)
+SELECT doc, g.code AS code, g.severity AS severity, g.detail AS detail FROM g WHERE g IS NOT NULL"""
+
+
+@query("audit_gates", GATES_SQL)
+def audit_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drafts, e = reviews(spark, sf_dir), views.table(spark, sf_dir, "events")
+    log = e.select(F.col("event_type").alias("source"), (F.col("event_id") % 7).alias("records"), F.lit("ok").alias("status"))
+    papers = views.papers(spark, sf_dir).withColumn("citation_key", F.concat(F.lit("ref_"), F.col("ord").cast("string")))
+    verdicts = drafts.select("doc", F.when(F.col("doc") % 4 == 1, "revise").otherwise("pass").alias("verdict"), (F.col("doc") % 8 == 1).cast("int").alias("high_issues"))
+    return audit.gates(drafts, papers, views.cards(spark, sf_dir), log, TaskSpec(title="An audit", models=ModelSpec(enabled=True)), verdicts)
 
 
 @query("review_fragments")
@@ -237,17 +295,17 @@ def ledger_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(n % 10 == 1, "reserve").when(n % 10 == 0, "complete").otherwise("call")
     models = F.array(*[F.lit(p[0]) for p in ledger.PRICES])
     rows = e.select(F.col("user_id").cast("string").alias("ledger_id"), F.col("event_id").alias("ord"), kind.alias("kind"), F.concat(F.lit("t"), F.floor((n - 1) / 10).cast("string")).alias("task_id"), F.date_format("ts", "yyyy-MM").alias("month"), F.get(models, (F.col("event_id") % 5).cast("int")).alias("model_alias"), F.lit(None).cast("double").alias("amount"), (F.col("value") * 1000).cast("long").alias("input_tokens"), (F.col("value") * 500).cast("long").alias("output_tokens"))
-    return ledger.admissions(rows, BudgetSpec(provider_month_limits={"kimi": 20.0})).select("ledger_id", "ord", "kind", "task_id", "decision")
+    return ledger.admissions(rows, BudgetSpec(model_month_limit=20.0)).select("ledger_id", "ord", "kind", "task_id", "decision")
 
 
-@query("benchmark_score", """WITH c AS (SELECT item_id, text, ['e1', 'e2', 'e3'] AS allowed, CASE WHEN item_id % 2 = 0 THEN ['e1'] ELSE ['e1', 'e3'] END AS required, ['e' || (1 + item_id % 4), 'e1'] AS cites FROM benchmark)
+@query("benchmark_score", """WITH c AS (SELECT item_id, text, ['e1', 'e2', 'e3'] AS allowed, CASE WHEN item_id % 2 = 0 THEN ['e1'] ELSE ['e1', 'e3'] END AS required, CASE WHEN item_id % 5 = 0 THEN [] ELSE ['e' || (1 + item_id % 4), 'e1'] END AS cites FROM benchmark)
 SELECT item_id, ((CASE WHEN len(list_filter(cites, lambda x: NOT list_contains(allowed, x))) = 0 THEN 35 ELSE 0 END)
   + greatest(0, 25 - 10 * len(list_filter(required, lambda x: NOT list_contains(cites, x))))
   + (CASE WHEN regexp_matches(text, '(?i)tion\\b') THEN 0 ELSE 25 END) + 15)::INT AS score FROM c""")
 def benchmark_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("item_id")
     lits = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    cites = F.array(F.concat(F.lit("e"), (1 + n % 4).cast("string")), F.lit("e1"))
+    cites = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("e"), (1 + n % 4).cast("string")), F.lit("e1")))
     required = F.when(n % 2 == 0, lits("e1")).otherwise(lits("e1", "e3"))
     b = views.table(spark, sf_dir, "benchmark")
     return b.select("item_id", benchmarking.score(cites, F.col("text"), lits("e1", "e2", "e3"), required, lits("tion\\b")).alias("score"))
@@ -263,15 +321,15 @@ def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "citation_expand_step",
     """WITH e AS (SELECT DISTINCT l_orderkey AS citing, l_partkey + 10000000 AS cited FROM lineitem),
-s AS (SELECT DISTINCT citing AS node FROM e ORDER BY node LIMIT 40),
-b AS (SELECT cited AS node FROM e SEMI JOIN (SELECT node AS citing FROM s) USING (citing)),
-f AS (SELECT citing AS node FROM e SEMI JOIN (SELECT DISTINCT node AS cited FROM b) USING (cited))
-SELECT node, min(r)::INT AS round FROM (SELECT node, 0 AS r FROM s UNION ALL SELECT node, 1 FROM b UNION ALL SELECT node, 2 FROM f) GROUP BY 1""",
+n AS (SELECT o_orderkey AS node, o_totalprice::DOUBLE AS score FROM orders), s AS (SELECT node FROM n ORDER BY score DESC, node LIMIT 30),
+b AS (SELECT cited AS node FROM (SELECT *, row_number() OVER (PARTITION BY citing ORDER BY cited) AS k FROM e SEMI JOIN (SELECT node AS citing FROM s) USING (citing)) WHERE k <= 100)
+SELECT node, min(r)::INT AS round FROM (SELECT node, 0 AS r FROM n UNION ALL SELECT node, 1 FROM b) GROUP BY 1""",
 )
 def citation_expand_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round from all orders, ranked by price; a seed count of 30 a round is the feature."""
     edges = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citing"), (F.col("l_partkey") + 10_000_000).alias("cited")).distinct()
-    start = edges.select(F.col("citing").alias("node")).distinct().orderBy("node").limit(40).withColumn("score", F.lit(1.0))
-    found, _ = citation_graph.expand(start, edges, rounds=2, seeds_each=1_000_000, pool=1_000_000, threshold=0.0, per_seed_back=1_000_000, per_seed_forward=1_000_000)
+    start = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_totalprice").cast("double").alias("score"))
+    found, _ = citation_graph.expand(start, edges, rounds=1, seeds_each=30, pool=1_000, threshold=0.02)
     return found.select("node", "round")
 
 

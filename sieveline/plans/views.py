@@ -23,7 +23,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         n.alias("ord"),
         F.concat(F.lit("doc:"), n.cast("string")).alias("record_id"),
-        F.substring(head, 1, 300).alias("title"),
+        head.alias("title"),
         F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 2)").alias("abstract"),
         (1990 + n % 36).cast("int").alias("year"),
         F.lit(None).cast("string").alias("publication_date"),
@@ -46,7 +46,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAPERS_SQL = r"""papers AS (
-  SELECT n AS ord, 'doc:' || n AS record_id, substr(split_part(text, chr(10), 1), 1, 300) AS title,
+  SELECT n AS ord, 'doc:' || n AS record_id, split_part(text, chr(10), 1) AS title,
     substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract, (1990 + n % 36)::INT AS year,
     ['Author ' || (n % 97)] AS authors, CASE WHEN n % 5 <> 0 THEN 'Venue ' || source END AS venue,
     (['journal-article', 'book', 'proceedings-article', 'dissertation', 'report', 'book-chapter', NULL])[n % 7 + 1] AS work_type,

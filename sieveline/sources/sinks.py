@@ -8,10 +8,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import csl_item
+from sieveline.functions.text import citation_key, csl_item, normal_doi
 
 PARTS = ("search", "evidence", "draft", "audit", "private_work")
-CSV = ("rank", "record_id", "title", "year", "authors", "venue", "doi", "pmid", "citation_count", "rank_score", "source_names", "open_access_pdf_url", "publication_status", "quality_flags")
+# The columns of papers.csv.
+CSV = ("rank", "citation_key", "title", "year", "authors", "venue", "doi", "pmid", "citation_count", "rank_score", "sources", "open_access_pdf_url", "publication_status", "quality_flags")
 
 
 def prepare(path: str | Path) -> Path:
@@ -22,7 +23,11 @@ def prepare(path: str | Path) -> Path:
 
 
 def csv_rows(ranked: DataFrame) -> DataFrame:
-    """Rows of the paper list: lists joined, nulls empty. ``ranked`` has ``rank`` from 1."""
+    """Rows of the paper list: lists joined, nulls empty. ``ranked`` has ``rank`` from 1 and ``source_names`` or ``sources``."""
+    if "sources" not in ranked.columns:
+        ranked = ranked.withColumnRenamed("source_names", "sources")
+    if "citation_key" not in ranked.columns:
+        ranked = ranked.withColumn("citation_key", citation_key(normal_doi(F.col("doi")), F.col("pmid"), F.col("arxiv_id"), F.col("title"), F.col("year")))
     kinds = dict(ranked.dtypes)
     show = lambda c: F.array_join(c, "; ") if kinds[c].startswith("array") else F.col(c).cast("string")
     return ranked.select(*[F.coalesce(show(c), F.lit("")).alias(c) for c in CSV])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.operators import audit, benchmarking, citation_graph, citations, evidence, integrity, ledger, ranking, selection
-from sieveline.spec import BudgetSpec, QualitySpec, SearchSpec, SpecError, TaskSpec, confined, keyword_form
+from sieveline.spec import BudgetSpec, ModelSpec, QualitySpec, SearchSpec, SpecError, TaskSpec, confined, keyword_form
 
 
 def value(spark, column):
@@ -31,6 +31,9 @@ def test_text_functions(spark):
     assert value(spark, T.parsed_json(F.lit('```json\n{"a": 1}\n```'), "a int")).a == 1
     aliases = F.array(F.struct(F.lit("c1").alias("alias"), F.lit("ref_0123456789").alias("key")))
     assert value(spark, T.rewritten_citations(F.lit("[@c1; @ref_0123456789_e2] x"), aliases)) == "[@ref_0123456789] x"
+    two = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(k).alias("key")) for a, k in (("c1", "k.a"), ("c10", "kb"))])
+    assert value(spark, T.rewritten_citations(F.lit("k.a says [@c1; @c10; @c1] and [@kb] [@c10_e3] [@kb]; kxa, (kb)"), two)) == "该研究 says [@k.a; @kb] and [@kb]; kxa, (该研究)"
+    assert value(spark, T.cluster_unique(F.lit("[@a; @b; @a] [@c;@c]"))) == "[@a; @b] [@c]"
 
 
 def papers(spark, rows):
@@ -78,7 +81,16 @@ def test_reviews_merge(spark):
     issue = "array<struct<severity: string, problem: string>>"
     rows = [(0, "revise", [("low", "p")]), (1, "pass", [("low", "p"), ("high", "q")])]
     got = evidence.merged_reviews(spark.createDataFrame(rows, f"ord int, verdict string, issues {issue}")).first()
-    assert got.verdict == "revise" and len(got.issues) == 2
+    assert got.verdict == "revise" and len(got.issues) == 2 and got.review_scope.fragment_count == 2 and got.citation_problems == []
+    rows = [(0, "Reject", [("HIGH", "p")], ["b", "a"]), (1, "pass", None, ["a", "c"])]
+    got = evidence.merged_reviews(spark.createDataFrame(rows, f"ord int, verdict string, issues {issue}, missing_perspectives array<string>")).first()
+    assert got.verdict == "reject" and got.missing_perspectives == ["b", "a", "c"]
+
+
+def test_issues_go_to_their_parts(spark):
+    goes = lambda where, heading="2. 研究方法综述", number=2, structural=False: value(spark, evidence.issue_applies(F.lit(where), F.lit(heading), F.lit(number).cast("int"), F.lit(structural)))
+    assert goes("") and goes(None) and goes("全文多处") and goes("第 2 节") and goes("研究方法综述一节") and not goes("第 3 节") and not goes("摘要") and not goes("global")
+    assert goes("摘要", structural=True) and not goes("第 2 节", structural=True) and not goes("第 2 节", number=None)
 
 
 def test_publication_status(spark):
@@ -88,12 +100,28 @@ def test_publication_status(spark):
     assert value(spark, integrity.status(integrity.updates(m), F.lit("10.1/a"), F.lit(False))) == "retracted"
 
 
-def test_findings_and_status(spark):
-    facts = {"contributing": 3, "retained": 40, "cards": 20, "evidence_papers": 20, "fulltext_papers": 6, "licensed_papers": 6, "verified": 20, "cited": 12, "verdict": "pass"}
-    assert audit.run_status(audit.findings(spark, facts, QualitySpec())) == "pass"
-    bad = audit.findings(spark, facts | {"unknown": ["zz"], "cited": 1, "incomplete": 2}, QualitySpec())
-    assert {r.code for r in bad.collect()} == {"unknown_citations", "insufficient_cited_papers", "publication_status_checks_incomplete"}
-    assert audit.run_status(bad) == "blocked"
+def audited(spark, markdown, *, n=40, evidence=20, full=6, cited=12, verdict="pass", high=0, status="no_adverse_update_found", sources=3, licence="CC-BY 4.0"):
+    papers = spark.createDataFrame([(i, f"r{i}", f"ref_{i}", status, licence, "https://x/p.pdf") for i in range(n)], "ord long, record_id string, citation_key string, publication_status string, open_access_license string, open_access_pdf_url string")
+    cards = spark.createDataFrame([(f"r{i}", "fulltext" if i < full else "abstract", i < full) for i in range(evidence)] + [("r39", "bibliographic_metadata", False)], "record_id string, evidence_type string, fulltext_verified boolean")
+    log = spark.createDataFrame([(f"s{i}", 5, "ok") for i in range(sources)], "source string, records long, status string")
+    drafts = spark.createDataFrame([(1, markdown)], "doc int, markdown string")
+    verdicts = spark.createDataFrame([(1, verdict, high)], "doc int, verdict string, high_issues long")
+    found = audit.gates(drafts, papers, cards, log, TaskSpec(title="xxx", models=ModelSpec(enabled=True)), verdicts)
+    return found, {r.code: r.detail for r in found.collect()}
+
+
+def test_gates_of_a_draft(spark):
+    cite = "".join(f"[@ref_{i}]" for i in range(12))
+    good = f"# T\n\n## One\nA full sentence {cite}.\n"
+    found, codes = audited(spark, good)
+    assert not codes and audit.run_status(found) == "pass"
+    found, codes = audited(spark, good + "\n" + "Long prose without any citation. " * 5 + "\n\n## Two\ncut off [@zz] [@ref_39]", verdict="revise", high=2)
+    assert codes == {"unknown_citations": "zz", "long_paragraphs_without_citations": "1", "unfinished_section_endings": "Two", "model_review_not_passed": "revise", "model_review_high_severity_issues": "2"}
+    assert audit.run_status(found) == "blocked"
+    _, codes = audited(spark, "## One\nBare. [@ref_0][@ref_39]", n=10, status="retracted", sources=2, licence=None)
+    assert codes == {"insufficient_sources": "2", "insufficient_retained_records": "10", "adverse_publication_cited": "ref_0", "unknown_citations": "ref_39", "insufficient_publication_status_checks": "0", "adverse_publication_in_evidence": "10", "fulltext_license_not_verified": "6", "insufficient_cited_papers": "1"}
+    found, codes = audited(spark, "", status="check_failed", full=2)
+    assert codes == {"insufficient_fulltext_evidence": "2", "insufficient_publication_status_checks": "0", "publication_status_checks_incomplete": "20"}
 
 
 def test_section_endings(spark):
@@ -107,20 +135,52 @@ def test_citation_clusters(spark):
     assert [x.numbers for x in citations.clusters(r).orderBy("at").collect()] == [[1, 2], [3], [2]]
 
 
+def event(kind, task, model="deepseek-v4-pro", i=0, o=0, amount=None, call=None, outcome=None):
+    return {"kind": kind, "task_id": task, "month": "2026-01", "model_alias": model, "amount": amount, "input_tokens": i, "output_tokens": o, "call_id": call, "outcome": outcome, "ord": 0}
+
+
 def test_admission_gates():
-    r = ledger.Replay(BudgetSpec(task_limit=35, month_stop=99, call_limit=5, provider_month_limits={"kimi": 1.0}))
-    event = lambda kind, task, model="deepseek-v4-pro", i=0, o=0, amount=None: {"kind": kind, "task_id": task, "month": "2026-01", "model_alias": model, "amount": amount, "input_tokens": i, "output_tokens": o}
+    r = ledger.Replay(BudgetSpec(model_month_limit=5.0))
     assert [r(event("reserve", f"t{k}")) for k in range(3)] == ["reserved", "reserved", "month_stop"]
     assert r(event("reserve", "t0")) == "known"
-    assert r(event("call", "t0", i=100_000, o=10_000)) == "authorized" and r.tasks["t0"]["spent"] == Decimal("1.5840")
+    assert r(event("call", "t0", i=100_000, o=10_000, call="a")) == "authorized" and r.calls["a"]["estimate"] == Decimal("1.5840")
     assert r(event("call", "t0", "none")) == "unknown_price" and r(event("call", "t0", o=1_000_000)) == "call_limit"
     assert r(event("call", "zz", i=10)) == "unknown_task"
-    assert r(event("call", "t1", "kimi-k3", o=8000)) == "provider_month_limit"
+    assert r(event("call", "t1", "kimi-k3", o=30_000, call="b")) == "authorized" and r(event("call", "t1", "kimi-k3", o=30_000)) == "provider_month_limit"
     assert r(event("complete", "t0")) == "completed" and r(event("call", "t0", i=10)) == "inactive_task"
+    assert r.month["2026-01"] == Decimal(35)  # nothing was reconciled, so the ended task counts nothing
+
+
+def test_calls_count_what_they_cost_once_reconciled():
+    r = ledger.Replay(BudgetSpec())
+    r(event("reserve", "g:gh-1-1"))
+    assert r(event("call", "g:gh-1-1", "kimi-k3", o=37_000, call="a")) == "authorized"  # 4.8840
+    assert r(event("reconcile", "", i=0, o=1000, call="a", outcome="completed")) == "completed"
+    assert r.sums["group", "g"] == r.sums["group", "g", "kimi"] == Decimal("0.1200")
+    assert r(event("reconcile", "", call="a", outcome="failed_unknown")) == "failed_unknown" and r.sums["group", "g"] == Decimal("4.8840")
+    assert r(event("reconcile", "", call="a", outcome="failed_not_billed")) == "failed_not_billed" and r.sums["group", "g"] == 0
+    assert r(event("reconcile", "", i=1000, o=1000, call="a", outcome="failed_billed")) == "failed_billed" and r.sums["month", "2026-01", "kimi"] == Decimal("0.1440")
+    assert r(event("reconcile", "", call="zz", outcome="completed")) == "unknown_call" and r(event("reconcile", "", call="a", outcome="odd")) == "unknown_outcome"
+    assert r(event("fail", "g:gh-1-1")) == "failed" and r.month["2026-01"] == Decimal("0.1440")
+    # A later run of the same group shares its sums, under the limits of providers: 15 for deepseek, 20 for kimi.
+    r(event("reserve", "g:gh-2-1"))
+    calls = [r(event("call", "g:gh-2-1", "kimi-k3", o=37_000, call=f"k{k}")) for k in range(5)]
+    assert calls == ["authorized"] * 4 + ["provider_task_limit"]
+    assert [r(event("call", "g:gh-2-1", "deepseek-v4-pro", o=180_000, call=f"d{k}")) for k in range(4)] == ["authorized"] * 3 + ["task_limit"]
+    assert r(event("call", "g:gh-2-1", "doubao-seed-2.1-pro", o=60_000)) == "task_limit"
+    free = ledger.Replay(BudgetSpec(unlimited=True))
+    assert {free(event("reserve", f"t{k}")) for k in range(9)} == {"reserved"} and free(event("call", "t0", o=9_000_000)) == "authorized"
+
+
+def test_limits_must_agree():
+    for broken in ({"call_limit": 9.0, "deepseek_task_limit": 8.0}, {"month_warning": 99.0}, {"task_limit": 36.0}, {"call_limit": 6.0, "model_month_limit": 5.0}):
+        with pytest.raises(SpecError):
+            BudgetSpec(**broken)
+    assert BudgetSpec(model_task_limit=10.0).provider_task_limit("kimi") == 10
 
 
 def test_admissions_keep_ledgers_apart(spark):
-    rows = [(f"L{k % 2}", k, "reserve", f"t{k}", "2026-01", None, 60.0, 0, 0) for k in range(4)]
+    rows = [(f"L{k % 2}", k, "reserve", f"t{k}", "2026-01", None, 60.0, 0, 0, None, None) for k in range(4)]
     got = ledger.admissions(spark.createDataFrame(rows, ledger.EVENT), BudgetSpec()).orderBy("ord").collect()
     assert [r.decision for r in got] == ["reserved", "reserved", "month_stop", "month_stop"]
 
@@ -134,14 +194,43 @@ def test_graph_expansion_saturates(spark):
 def test_scores_of_answers(spark):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     s = lambda cites, text, need=("e1",): value(spark, benchmarking.score(cites, F.lit(text), arr("e1", "e2"), arr(*need), arr("secret")))
-    assert s(arr("e1"), "fine") == 100 and s(arr("e9"), "fine") == 55 and s(arr("e1"), "a Secret") == 75 and s(arr("e2"), "fine", ("e1", "e2")) == 90
+    assert s(arr("e1"), "fine") == 100 and s(arr("e9"), "fine") == 55 and s(arr("e1"), "a Secret") == 75 and s(F.array().cast("array<string>"), "fine", ()) == 100 and s(F.array().cast("array<string>"), "fine") == 90 and s(F.lit(None).cast("array<string>"), "  ") == 75 and s(arr("e2"), "fine", ("e1", "e2")) == 90
 
 
 def test_specifications(tmp_path):
     spec = TaskSpec(title="T", keywords=(" a ", "a", "b"), include_terms=("c",), task_id="x y/z")
-    assert spec.base_queries() == ['"a" AND "b"', "a", "b", "c"] and spec.resolved_id("20260101") == "x-y-z"
+    assert spec.base_queries() == ["a AND b", "a", "b", "c"] and spec.resolved_id("20260101") == "x-y-z"
     assert spec.expanded_queries(["c", 5, "d" * 501, " e "])[-1] == "e"
     assert keyword_form("a，b; c\n", "t") == ["a", "b", "c"] and keyword_form(" ", "t") == ["t"]
     for broken in (lambda: TaskSpec(title="mail a@b.org"), lambda: SearchSpec(max_queries=0), lambda: SearchSpec(sources=("openalex",)), lambda: QualitySpec(min_cited=99), lambda: confined(tmp_path, "../x")):
         with pytest.raises(SpecError):
             broken()
+
+
+def test_cases_of_a_suite(spark, tmp_path):
+    import json
+
+    case = {"case_id": "c1", "category": "x", "instruction": "do", "evidence": [{"id": "E1", "n": 5, "result": "r"}, {"n": 1}], "required_citations": ["E1"], "forbidden_patterns": ["a|b"]}
+    path = tmp_path / "suite.json"
+    path.write_text(json.dumps([case, {**case, "case_id": "c2", "required_citations": None}]))
+    got = benchmarking.load_cases(spark, str(path)).orderBy("case_id").collect()
+    assert [(r.case_id, r.instruction, r.allowed, r.required, r.forbidden) for r in got] == [("c1", "do", ["E1"], ["E1"], ["a|b"]), ("c2", "do", ["E1"], [], ["a|b"])]
+    path.write_text(json.dumps([{"case_id": "c1"}]))
+    with pytest.raises(Exception, match="lacks an id"):
+        benchmarking.load_cases(spark, str(path)).collect()
+
+
+def test_task_files(tmp_path):
+    import json
+
+    from sieveline.spec import load_spec
+
+    data = {"title": "A title", "research_question": "What is it?", "keywords": ["a b", "c"], "year_from": 2000, "search": {"max_queries_per_source": 3, "minimum_independent_sources": 2}, "budget": {"single_request_cap_cny": 4}, "models": {"enabled": True, "primary_model": "kimi-k3"}, "output": {"formats": ["MD", "md"]}, "compliance": {"privacy_class": "B"}}
+    path = tmp_path / "task.json"
+    path.write_text(json.dumps(data))
+    spec = load_spec(path)
+    assert spec.base_queries() == ['"a b" AND c', "a b", "c"] and spec.search.min_sources == 2 and spec.budget.call_limit == 4 and spec.models.primary == "kimi-k3" and spec.output.formats == ("md",)
+    for broken in ({"surprise": 1}, {"search": {"per_query": 5}}, {"models": {"cheap_model": "none"}}, {"compliance": {"rights_confirmed": False}}, {"languages": ["fr"]}, {"year_to": 1700}, {"title": "x"}):
+        path.write_text(json.dumps(data | broken))
+        with pytest.raises(SpecError):
+            load_spec(path)

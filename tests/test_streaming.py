@@ -8,7 +8,7 @@ from sieveline.streaming import ledger_stream
 
 
 def test_stream_admits_as_the_batch_does(spark, tmp_path):
-    rows = [(f"L{k % 3}", k, "reserve" if k % 7 == 0 else "call", f"t{k % 2}", "2026-01", "kimi-k3", 20.0, 10_000 * (k % 5), 1000) for k in range(60)]
+    rows = [(f"L{k % 3}", k, "reserve" if k % 7 == 0 else "call", f"t{k % 2}", "2026-01", "kimi-k3", 20.0, 10_000 * (k % 5), 1000, None, None) for k in range(60)]
     for n, part in enumerate((rows[:30], rows[30:])):
         spark.createDataFrame(part, ledger.EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     want = {(r.ledger_id, r.ord): r.decision for r in ledger.admissions(spark.createDataFrame(rows, ledger.EVENT), BudgetSpec()).collect()}
