@@ -148,21 +148,28 @@ def csl_item(p: dict[str, Column]) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fulltext_reason(text: Column, pages: Column, abstract: Column) -> Column:
     """Why a text isn't a substantive article, or ``substantive_fulltext``."""
     flat = lambda t: stripped(F.regexp_replace(t, r"(?U)\s+", " "))
-    body = flat(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\[Page\s+\d+\]\s*", " "))
-    n, a = F.length(body), F.length(flat(F.coalesce(abstract, F.lit(""))))
-    signals = F.lit(0)
-    for p in SECTION_SIGNALS:
-        signals = signals + body.rlike(p).cast("int")
-    return (
-        F.when(pages < 2, "single_page_document")
-        .when(n < 2000, "insufficient_extracted_text")
-        .when((a >= 200) & (n < F.greatest(F.lit(2000), F.floor(a * 1.75))), "document_is_not_substantially_longer_than_abstract")
-        .when((signals < 2) & ~((pages >= 4) & (n >= 6000)), "insufficient_fulltext_structure")
-        .otherwise("substantive_fulltext")
-    )
+    whole = flat(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\[Page\s+\d+\]\s*", " "))
+
+    def judged(body: Column, a: Column) -> Column:
+        signals = sum((body.rlike(p).cast("int") for p in SECTION_SIGNALS), F.lit(0))
+        n = F.length(body)
+        return (
+            F.when(n < 2000, "insufficient_extracted_text")
+            .when((a >= 200) & (n < F.greatest(F.lit(2000), F.floor(a * 1.75))), "document_is_not_substantially_longer_than_abstract")
+            .when(~((pages >= 4) & (n >= 6000)) & (signals < 2), "insufficient_fulltext_structure")
+            .otherwise("substantive_fulltext")
+        )
+
+    bound = let(whole, lambda body: let(F.length(flat(F.coalesce(abstract, F.lit("")))), lambda a: judged(body, a)))
+    return F.when(pages < 2, "single_page_document").otherwise(bound)
 
 
 def token_estimate(text: Column) -> Column:
