@@ -5,12 +5,13 @@ account numbers, social-security numbers and names after a title; of these, all
 further mentions of the parts in the same document without a title. Persons
 who have no title anywhere in a document are not detected. A part of a name has
 one role (first name or last) in a document. A mention is reduced to its
-entity (an address in lower case, the digits of a number, each part of a
-name), and each distinct entity gets one surrogate everywhere, so coreference
+entity (an address in lower case, the digits of a number, of a phone number without its
+country code, which stays, each part of a name), and each distinct entity gets one surrogate everywhere, so coreference
 holds across documents. A surrogate is drawn from a keyed hash and poured into
 the entity's form: letters stay letters of the same script and case, digits
 stay digits, card numbers keep their check-sum property, private addresses
-stay private, first names keep the gender that the title shows. Candidates
+stay private, first names keep the gender that the title shows, addresses their
+pattern of capitals. Letters of other scripts than Latin, Cyrillic and Greek are poured as Latin. Candidates
 that equal another candidate, an accepted surrogate or any entity found are
 rejected and drawn again, so distinct entities stay distinct; mailboxes need
 to differ only within their domain. Later rounds lengthen what can be
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, once
+from .common import checkpoint, let, once, written
 
 # Titles that show a gender.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
@@ -55,6 +56,9 @@ KINDS = {
 }
 ANY = f"({'|'.join(KINDS.values())})"
 
+# Country codes of one and of two digits; the others have three.
+COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
 #: Letters that pour into a form, by script.
 LETTERS = {"latin": "abcdefghijklmnoprstuvwyz", "cyrillic": "абвгдежзиклмнопрстуфхцчш", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 #: Syllables of names and their endings by gender, by script.
@@ -130,11 +134,10 @@ def entities(mention: Column, kind: Column, roles: Column) -> Column:
     one = lambda k, v: F.struct(k.alias("kind"), v.alias("entity"))
     named = F.transform(F.transform(parts_of(mention), key_of), lambda k: one(F.coalesce(F.try_element_at(roles, k), F.lit("last")), k))
     address = F.lower(mention)
-    lead = F.when(F.startswith(mention, F.lit("+")), F.lit("+")).otherwise(F.lit(""))
     return (
         F.when(kind == "name", named)
         .when(kind == "email", F.array(one(F.lit("mailbox"), address), one(F.lit("domain"), F.substring_index(address, "@", -1))))
-        .when(kind == "phone", F.array(one(kind, F.concat(lead, digits(mention)))))
+        .when(kind == "phone", F.array(one(kind, digits(F.regexp_replace(mention, f"^{COUNTRY}", "")))))
         .when(kind == "iban", F.array(one(kind, F.regexp_replace(mention, " ", ""))))
         .when(kind == "ip", F.array(one(kind, mention)))
         .otherwise(F.array(one(kind, digits(mention))))
@@ -182,11 +185,6 @@ def name_of_domain(entity: Column) -> Column:
     return F.regexp_replace(entity, "\\.[^.]*$", "")
 
 
-def lead_of(phone: Column) -> Column:
-    """What stays of a phone number: + and the digit after it."""
-    return F.when(F.startswith(phone, F.lit("+")), F.substring(phone, 1, 2)).otherwise(F.lit(""))
-
-
 def draw(key: str, attempt: Column) -> Column:
     """The candidate surrogate of (kind, entity) at an attempt."""
     kind, entity = F.col("kind"), F.col("entity")
@@ -204,7 +202,7 @@ def draw(key: str, attempt: Column) -> Column:
         ip = F.coalesce(if_full, private, F.concat_ws(".", (number(stream, F.lit(0), 89) + 11).cast("string"), octet(1), octet(2), octet(3)))
         domain = F.concat(poured(stream, F.concat(name_of_domain(entity), more)), F.lit("."), F.substring_index(entity, ".", -1))
         mailbox = poured(stream, F.concat(F.substring_index(entity, "@", 1), more))
-        phone = poured(stream, F.concat(F.when(F.startswith(entity, F.lit("+")), F.substring(entity, 3, 1000)).otherwise(entity), more))
+        phone = poured(stream, F.concat(entity, more))
         name = F.lit(None).cast("string")
         for script, syllables in SYLLABLES.items():
             listed = F.array(*[F.lit(s) for s in syllables.split()])
@@ -213,7 +211,7 @@ def draw(key: str, attempt: Column) -> Column:
             name = F.when(script_of(entity) == script, F.concat(body_of, end)).otherwise(name)
         return (
             F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "domain", domain).when(kind == "mailbox", mailbox)
-            .when(kind == "iban", rest(2)).when(kind == "phone", F.concat(lead_of(entity), phone)).when(kind == "ssn", poured(stream, entity))
+            .when(kind == "iban", rest(2)).when(kind == "phone", phone).when(kind == "ssn", poured(stream, entity))
             .otherwise(name)
         )
 
@@ -229,7 +227,7 @@ def form_of(kind: Column, entity: Column) -> Column:
     return (
         F.when(kind == "mailbox", form("", F.concat(shape(F.substring_index(entity, "@", 1)), F.lit(more))))
         .when(kind == "domain", form("", F.concat(shape(name_of_domain(entity)), F.lit(more)), F.concat(F.lit("."), F.substring_index(entity, ".", -1))))
-        .when(kind == "phone", form(lead_of(entity), F.concat(shape(F.expr("substring(entity, length(CASE WHEN startswith(entity, '+') THEN '++' ELSE '' END) + 1)")), F.lit(more))))
+        .when(kind == "phone", form("", F.concat(shape(entity), F.lit(more))))
         .when(kind == "ip", form(F.when(entity.rlike(r"^(10|192\.168)\."), "10.").otherwise(""), F.when(entity.rlike(r"^(10|192\.168)\."), "...").otherwise("....")))
         .when(kind == "iban", form(F.substring(entity, 1, 2), shape(F.substring(entity, 3, 1000))))
         .when(kind == "card", form(F.substring(entity, 1, 1), shape(F.expr("substring(entity, 2, length(entity) - 2)")), "", F.when(F.pmod(luhn_sum(entity), F.lit(10)) == 0, "valid").otherwise("invalid")))
@@ -332,21 +330,27 @@ def surrogates(found: DataFrame, key: str, *, attempts: int = 12) -> DataFrame:
 def in_form(mention: Column, kind: Column, made: Column) -> Column:
     """A mention's replacement in the form of the mention. ``made``: surrogates in order."""
 
-    def fill(values: Column) -> Column:
-        """The digits and letters of a value, one by one, in the places of the mention's; what is longer follows."""
-        chars = F.split(mention, "")
+    def fill(shape: Column, values: Column) -> Column:
+        """The digits and letters of a value, one by one, in the places of the shape's; what is longer follows."""
+        chars = F.split(shape, "")
         spot = r"[0-9A-Za-z]"
-        index = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
-        return F.concat(F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(spot), F.substring(values, index(i), F.lit(1))).otherwise(c)), ""), F.substring(values, F.length(F.regexp_replace(mention, "[^0-9A-Za-z]", "")) + 1, F.lit(1000)))
+        index = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+        return F.concat(F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(spot), F.substring(values, index(i), F.lit(1))).otherwise(c)), ""), F.substring(values, F.length(F.regexp_replace(shape, "[^0-9A-Za-z]", "")) + 1, F.lit(1000)))
+
+    def in_case(part: Column, value: Column) -> Column:
+        """Capitals where the part has them; what is longer is as the last letter."""
+        big = lambda i: F.substring(part, F.least(i + 1, F.length(part)), F.lit(1))
+        return F.when(F.lower(part) == part, value).otherwise(F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(F.lower(big(i)) != big(i), F.upper(c)).otherwise(c)), ""))
 
     def cased(part: Column, value: Column) -> Column:
         return F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(value)).otherwise(F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1000)))
 
     shown = F.transform(parts_of(mention), lambda p, i: F.concat(cased(p, F.get(made, i)), F.regexp_extract(p, "'[sS]?$", 0)))
     named = F.concat(F.regexp_extract(mention, f"^{TITLED}+", 0), F.array_join(shown, " "))
-    mail = F.concat_ws("@", F.get(made, 0), F.get(made, 1))
-    bare = F.regexp_replace(F.get(made, 0), "^\\+", "")
-    return F.when(kind == "name", named).when(kind == "email", F.when(F.upper(mention) == mention, F.upper(mail)).otherwise(mail)).when(kind == "ip", F.get(made, 0)).otherwise(fill(bare))
+    mail = F.concat_ws("@", in_case(F.substring_index(mention, "@", 1), F.get(made, 0)), in_case(F.substring_index(mention, "@", -1), F.get(made, 1)))
+    country = F.when(kind == "phone", F.regexp_extract(mention, f"^{COUNTRY}", 0)).otherwise(F.lit(""))
+    number_ = F.concat(country, fill(F.when(kind == "phone", F.regexp_replace(mention, f"^{COUNTRY}", "")).otherwise(mention), F.get(made, 0)))
+    return F.when(kind == "name", named).when(kind == "email", mail).when(kind == "ip", F.get(made, 0)).otherwise(number_)
 
 
 def replace_entities(docs: DataFrame, *, key: str, salts: int = 16) -> DataFrame:
@@ -357,12 +361,13 @@ def replace_entities(docs: DataFrame, *, key: str, salts: int = 16) -> DataFrame
     titled = titled.select("doc_id", "text", "m0", once(roles_of(F.col("m0"))).alias("roles"))
     hit = titled.select("doc_id", "text", "m0", "roles", once(pattern_of(F.col("roles"))).alias("any"))
     again = F.size("roles") > 0
-    hit = hit.select("doc_id", F.monotonically_increasing_id().alias("row"), "roles", F.when(again, F.regexp_extract_all("text", F.col("any"), F.lit(1))).otherwise(F.col("m0")).alias("m"), F.when(again, F.split("text", F.col("any"), -1)).otherwise(F.split("text", ANY, -1)).alias("gaps"))
+    # Texts with mentions are matched once; what follows reads the pieces.
+    hit = written(hit.select("doc_id", F.monotonically_increasing_id().alias("row"), "roles", "m0", F.when(again, F.regexp_extract_all("text", F.col("any"), F.lit(1))).otherwise(F.col("m0")).alias("m"), F.when(again, F.split("text", F.col("any"), -1)).otherwise(F.split("text", ANY, -1)).alias("gaps")), "mentions")
     # One row for each piece: a gap and the mention that ends it; the last gap has none.
     piece = hit.select("doc_id", "row", F.posexplode("gaps").alias("pos", "gap"), "m", "roles").select("doc_id", "row", "pos", "gap", "roles", F.get("m", F.col("pos")).alias("mention"))
     piece = piece.withColumn("kind", F.when(F.col("mention").isNotNull(), kind_of(F.col("mention"))))
     # Further mentions of names bring no entities of their own.
-    listed = titled.select(F.explode(F.array_distinct("m0")).alias("mention"), "roles")
+    listed = hit.select(F.explode(F.array_distinct("m0")).alias("mention"), "roles")
     found = listed.select(F.explode(entities(F.col("mention"), kind_of(F.col("mention")), F.col("roles"))).alias("e")).select("e.kind", "e.entity")
     table = surrogates(found, key)
     salted = table.select(F.col("kind").alias("__kind"), F.col("entity").alias("__entity"), "surrogate").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -27,8 +27,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+#: The Spark setting that holds the key of surrogates; a run that is to be kept apart from others sets its own.
+KEY = "spark.sieveline.surrogateKey"
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents"), key="corpus-surrogates-1")
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key=spark.conf.get(KEY, "corpus-surrogates-1"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -453,6 +453,25 @@ def test_surrogates_are_consistent(docs, none):
     assert pii.replace_entities(none, key="k1").count() == 0
 
 
+def test_numbers_and_addresses_keep_their_form(spark):
+    texts = ["+1 (017) 555-7713 or (017) 555-7713 or +49 30 1234567 or +49301234567", "Bob.Smith@Mail.example.com, bob.smith@mail.example.com, BOB.SMITH@MAIL.EXAMPLE.COM", "info@sub.x.org"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[2])], "doc_id long, text string")
+    found = pii.replace_entities(d, key="k").collect()
+    got = {r.doc_id: r.text for r in found}
+    one, same, two, flat = re.fullmatch(r"\+1 (\(\d{3}\) \d{3}-\d{4}) or (\(\d{3}\) \d{3}-\d{4}) or \+49 (\d\d \d{7}) or \+49(\d{9})", got[0]).groups()
+    assert one == same != "(017) 555-7713" and two.replace(" ", "") == flat != "301234567"
+    mixed, low, high = got[1].split(", ")
+    assert mixed.lower() == low and mixed.upper() == high and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{4}@[A-Z][a-z]{3}\.[a-z]{7}\.com", mixed)
+    assert len(found) == 4 and got[None] == got[2] != texts[2]
+
+
+def test_many_mailboxes_of_one_letter(spark):
+    """An address is told apart by its domain, so short mailboxes don't run out."""
+    d = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a@host"), "id", F.lit("x.com")).alias("text"))
+    got = pii.replace_entities(d, key="k")
+    assert got.select("text").distinct().count() == 10_000 and got.join(d.select("text"), "text").count() == 0
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.range(1000).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))
     with pytest.raises(RuntimeError):  # all 1000 forms are entities already
