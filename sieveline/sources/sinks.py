@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import citation_key, csl_item, normal_doi
+from sieveline.operators.ledger import month_used
+from sieveline.spec import BudgetSpec, TaskSpec
 
 PARTS = ("search", "evidence", "draft", "audit", "private_work")
 # The columns of papers.csv.
@@ -48,10 +51,51 @@ def write_references(papers: DataFrame, path: str) -> None:
     csl_references(papers).write.mode("overwrite").text(f"{path}/search/references.csl.json")
 
 
+# The columns of evidence_matrix.csv.
+MATRIX = ("evidence_id", "citation_key", "title", "year", "evidence_type", "study_design", "population", "claim", "result", "limitations", "locator", "confidence")
+
+
 def evidence_matrix(cards: DataFrame, papers: DataFrame) -> DataFrame:
-    """Cards with their paper's key, title and year; a card of an unknown paper is an error."""
-    met = cards.join(papers.select("record_id", "citation_key", "title", "year"), "record_id", "left")
-    return met.where(F.assert_true(F.col("citation_key").isNotNull(), "a card has no paper").isNull())
+    """Cards with their paper's key, title and year, lists joined and nulls empty; a card of an unknown paper is an error."""
+    known = papers.select("record_id", F.col("citation_key").alias("__key"), F.col("title").alias("__title"), F.col("year").alias("__year"))
+    met = cards.drop("citation_key", "title", "year").join(known, "record_id", "left")
+    met = met.where(F.assert_true(F.col("__key").isNotNull(), "a card has no paper").isNull())
+    from_paper = {"citation_key": "__key", "title": "__title", "year": "__year"}
+    kinds = dict(met.dtypes)
+
+    def shown(c: str) -> Column:
+        name = from_paper.get(c, c)
+        if name not in kinds:
+            return F.lit("").alias(c)
+        value = F.array_join(name, "; ") if kinds[name].startswith("array") else F.col(name).cast("string")
+        return F.coalesce(value, F.lit("")).alias(c)
+
+    return met.select(*[shown(c) for c in MATRIX])
+
+
+def write_evidence(cards: DataFrame, papers: DataFrame, path: str) -> None:
+    """Cards as JSON and as a matrix in CSV, by evidence id."""
+    cards.orderBy("evidence_id").write.mode("overwrite").json(f"{path}/evidence/evidence_cards.json")
+    rows = evidence_matrix(cards, papers).orderBy("evidence_id")
+    rows.withColumnRenamed("evidence_id", "\ufeffevidence_id").write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/evidence/evidence_matrix.csv")
+
+
+def content_hash(content: Column) -> Column:
+    """SHA-256 of a file's bytes, in hexadecimal digits."""
+    return F.sha2(content, 256)
+
+
+def write_provenance(path: str | Path, spec: TaskSpec, queries: list[str], *, day: str, execution_id: str, model_calls: bool) -> None:
+    """What a run was made with, for private audit."""
+    value = {"task_id": spec.resolved_id(day), "execution_id": execution_id, "model_calls_enabled": model_calls, "models": asdict(spec.models) if model_calls else None, "query_count": len(queries), "private_audit_only": True, "included_in_default_submission_package": False}
+    write_json(Path(path) / "private_work" / "private_provenance.json", value)
+
+
+def month_export(tasks: DataFrame, calls: DataFrame, month: str, limits: BudgetSpec) -> dict:
+    """A month's sums, limits and tasks in the order of their creation; ``tasks`` of one month are few."""
+    used = month_used(tasks.where(F.col("month") == month), calls).first()
+    mine = tasks.where(F.col("month") == month).orderBy("created_at", "task_id").collect()
+    return {"month": month, "used_or_reserved": str(used["used_cny"] if used else 0), "limits": asdict(limits), "tasks": [{k: str(v) for k, v in r.asDict().items()} for r in mine]}
 
 
 def search_report(ranked: DataFrame, contributions: DataFrame, *, top: int = 30) -> str:

@@ -234,3 +234,73 @@ def test_task_files(tmp_path):
         path.write_text(json.dumps(data | broken))
         with pytest.raises(SpecError):
             load_spec(path)
+
+
+def test_manuscripts(spark):
+    from sieveline.operators import manuscript
+
+    heads = lambda *x: F.array(*[F.lit(h) for h in x])
+    assert value(spark, manuscript.limitations_index(heads("1. 引言", "2. 方法的局限", "3. 局限与展望", "4. 结论"))) == 2
+    assert value(spark, manuscript.limitations_index(heads("1. 引言", "2. 方法的局限"))) == 1 and value(spark, manuscript.limitations_index(heads("a"))) is None
+    got = value(spark, manuscript.part_lengths(heads("1 引言", "2 A", "3 B", "4 局限", "5 结论"), F.lit(8000)))
+    assert (got.main, got.frame, got.each) == ([1, 2], 2400, 2600)
+    rows = [(' A "b" ', "ab", [" k1 ", "", "k2"], "in", [("2 M", "body m"), ("4 N", "body n"), ("5", "")], "end", "lim", "3 局限"), (None, None, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "title string, abstract string, keywords array<string>, introduction string, sections array<struct<heading: string, body: string>>, conclusion string, limitations string, limitations_heading string")
+    one, two = [r.m for r in d.select(manuscript.markdown({c: F.col(c) for c in d.columns}).alias("m")).collect()]
+    assert one.split("\n---\n")[0].endswith('title: "A \'b\'"\nlang: "zh-CN"\nreference-section-title: "参考文献"\nlink-citations: true')
+    assert [x for x in one.split("\n") if x.startswith("##")] == ["## 摘要", "## 引言", "## 2 M", "## 3 局限", "## 4 N", "## 结论"] and "**关键词：** k1；k2" in one and one.endswith("## 结论\n\nend\n")
+    assert 'title: "文献综述"' in two and "## 局限" not in two
+
+
+def test_answers_and_calls(spark):
+    import json
+
+    from sieveline.operators import model_calls
+
+    chat = lambda text, reason="stop", **usage: json.dumps({"choices": [{"finish_reason": reason, "message": {"content": text}}], "usage": usage})
+    other = json.dumps({"status": "completed", "output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "output_text", "text": "a"}, {"type": "output_text", "text": " "}, {"type": "output_text", "text": "b"}]}], "usage": {"input_tokens": 4}})
+    read = lambda style, payload: tuple(value(spark, model_calls.extracted(F.lit(style), F.lit(payload), F.lit(7), F.lit(9))))
+    assert read("chat_completions", chat("x", prompt_tokens=3)) == ("x", 3, 9, None) and read("responses", other) == ("a\nb", 4, 9, None)
+    assert read("chat_completions", chat("x", "length"))[3] == "stopped early: length" and read("chat_completions", "{}")[3] == "no choice"
+    assert read("responses", '{"status": "failed"}')[3] == "not complete: failed" and read("responses", "{}")[3] == "no output text" and read("responses", "no")[3] is not None
+
+    def send(r):
+        if r["prompt"] == "free":
+            raise model_calls.NotBilled("429")
+        if r["prompt"] == "bad":
+            raise ValueError("x")
+        return json.dumps({"choices": [{"message": {"content": r["prompt"]}}]})
+
+    rows = [("L", i, "t", "kimi-k3", "chat_completions", p, 10, o) for i, (p, o) in enumerate([("a", 100), ("bad", 100), ("free", 100), ("big", 1_000_000)])]
+    got = model_calls.settled(model_calls.sent(spark.createDataFrame(rows, model_calls.REQUEST), send, BudgetSpec(), "2026-01")).orderBy("ord").collect()
+    assert [(r.decision, r.content, r.outcome) for r in got] == [("authorized", "a", "completed"), ("authorized", None, "failed_unknown"), ("authorized", None, "failed_not_billed"), ("call_limit", None, None)]
+    assert got[1].error == "ValueError: x" and got[0].used_output == 100
+
+
+def test_seeds_and_exports(spark, tmp_path):
+    import json
+
+    from sieveline.sources import seed, sinks
+
+    (tmp_path / "seed.json").write_text(json.dumps({"cards": [{"evidence_id": "e1", "record_id": "r1", "claim": "c", "limitations": ["a", "b"]}], "papers": [{"record_id": "r1", "title": "T", "year": 2020}], "log": [1, {"a": 1}], "writing_checkpoints": {"x": 1}}))
+    got = seed.read_seed(spark, tmp_path, "seed.json")
+    assert got["cards"].count() == 1 and got["papers"].first().title == "T" and got["log"] == [{"a": 1}] and got["writing_checkpoints"] == {"x": 1} and got["digest"] == []
+    assert seed.read_seed(spark, tmp_path, None)["cards"].count() == 0
+    for broken in ([], {"cards": {"a": 1}}, {"writing_checkpoints": [1]}):
+        (tmp_path / "bad.json").write_text(json.dumps(broken))
+        with pytest.raises(SpecError):
+            seed.read_seed(spark, tmp_path, "bad.json")
+    for name in ("../x.json", "none.json"):
+        with pytest.raises(SpecError):
+            seed.read_seed(spark, tmp_path, name)
+    matrix = sinks.evidence_matrix(got["cards"], got["papers"].withColumn("citation_key", F.lit("k"))).first()
+    assert tuple(matrix.asDict()) == sinks.MATRIX and (matrix.citation_key, matrix.year, matrix.limitations, matrix.locator) == ("k", "2020", "a; b", "")
+    keyed = spark.createDataFrame([("a",), ("b",)], "canonical_key string")
+    assert [r.canonical_key for r in seed.without_seeded(keyed, keyed.where("canonical_key = 'a'")).collect()] == ["b"]
+    sinks.prepare(tmp_path)
+    sinks.write_provenance(tmp_path, TaskSpec(title="T", task_id="t"), ["q"], day="2026-01-01", execution_id="x", model_calls=False)
+    assert json.loads((tmp_path / "private_work" / "private_provenance.json").read_text())["query_count"] == 1
+    tasks = spark.createDataFrame([("t1", "2026-01", "running", 1), ("t2", "2026-02", "running", 2)], "task_id string, month string, status string, created_at int").withColumn("reserved_cny", F.lit(35).cast("decimal(18,4)"))
+    calls = spark.createDataFrame([], "task_id string, actual_cny decimal(18,4)")
+    month = sinks.month_export(tasks, calls, "2026-01", BudgetSpec())
+    assert month["used_or_reserved"] == "35.0000" and [t["task_id"] for t in month["tasks"]] == ["t1"]
