@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import tokenizer_path
-from .token_count import ODD_SPACE, byte_symbols
+from .token_count import ODD_SPACE, byte_symbols, count_tokens
 
 #: Documents encoded at once.
 GROUP = 200
@@ -274,3 +275,19 @@ def pack(
             yield flush()
 
     return docs.select(*columns).mapInArrow(batches, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def pack_answers(conversations: DataFrame, *, max_loss: int = 1024, **options) -> DataFrame:
+    """Pieces of each assistant turn after the turn before it, as ``pack`` gives them; doc_id is conv_id:turn.
+
+    The tokens of the turn before bear no loss, so tokens, segments and
+    loss-bearing tokens are three different limits. Of several turns of one
+    number each is an answer to the least text before it; null texts are empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    answers = conversations.where("role = 'assistant'").select("conv_id", "turn", text.alias("answer"))
+    asked = conversations.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min(text).alias("prompt"))
+    met = answers.join(asked, ["conv_id", "turn"], "left").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.concat(F.coalesce("prompt", F.lit("")), F.lit("\n")).alias("prompt"), "answer")
+    counted = count_tokens(met.select(F.struct("doc_id", "answer", "prompt").alias("doc_id"), F.col("prompt").alias("text")))
+    items = counted.select("doc_id.doc_id", F.concat("doc_id.prompt", "doc_id.answer").alias("text"), F.col("n_tokens").alias("first"))
+    return pack(items, loss_from="first", max_loss=max_loss, **options)

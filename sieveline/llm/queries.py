@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, jaccard_join, language_model, line_dedup, pii, quality_classifier, quality_rules, secret_scan
-from .packing import pack
+from .packing import pack, pack_answers
 from .token_count import count_tokens
 
 
@@ -59,6 +59,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of ``op10`` where only answers bear loss."""
+    return pack_answers(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_count": op1_token_count,
     "op2_decontaminate": op2_decontaminate,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
+    "instruction_packing": instruction_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

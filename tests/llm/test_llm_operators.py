@@ -129,6 +129,26 @@ def test_packing_holds_all_limits():
     assert all(len(parts) <= 5 and sum(n for _, n in parts) <= 64 for parts in sequences.values())
 
 
+def test_answers_alone_bear_loss(spark):
+    lib, rng = library(), random.Random(9)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", words(rng.choice([5, 60, 300]))) for c in range(120) for t in range(4)] + [(500, 1, "assistant", None), (501, 0, "user", "x")]
+    pieces = packing.pack_answers(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").coalesce(2), max_loss=256, capacity=512, max_segments=4).collect()
+    said = {(c, t): x or "" for c, t, _, x in turns}
+    sequences, lengths = defaultdict(list), {}
+    for p in pieces:
+        c, t = map(int, p.doc_id.split(":"))
+        prompt = f"{said.get((c, t - 1), '')}\n"
+        first = len(lib.encode(prompt, add_special_tokens=False).ids)
+        lengths[p.doc_id] = lengths.get(p.doc_id, 0) + p.length
+        assert p.doc_tokens == len(lib.encode(prompt + said[c, t], add_special_tokens=False).ids) + 1
+        sequences[p.sequence_id].append((p.length, max(0, p.start + p.length - max(first, p.start))))
+    assert len(lengths) == 241 and all(n == next(p.doc_tokens for p in pieces if p.doc_id == i) for i, n in lengths.items())
+    totals = [(sum(n for n, _ in x), sum(m for _, m in x), len(x)) for x in sequences.values()]
+    assert all(n <= 512 and m <= 256 and k <= 4 for n, m, k in totals)
+    assert any(m == 256 and n < 512 for n, m, _ in totals)  # the limit on loss binds by itself
+
+
 def brute_leaks(items, window=10, texts=TEXTS):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
