@@ -1,7 +1,11 @@
-"""Connected components of an edge table, by alternating star steps."""
+"""Connected components of an edge table (u, v: long), by alternating star steps where they are many."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +19,43 @@ def _settled(edges: DataFrame) -> bool:
     return per.where("out > 1 OR (out > 0 AND least = 0)").isEmpty()
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges, sorted, and the least node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(p.column("u").to_numpy(), p.column("v").to_numpy()) for p in parts]
+        if held:
+            nodes, roots = least_of(*(np.concatenate(side) for side in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(batches, "node long, root long")
+
+
+def components(edges: DataFrame, *, rounds: int = 60, few: int = 1_000_000) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); the root is the least node of its component.
 
-    Each round joins every larger neighbour to the least one (large star),
+    Up to ``few`` edges, counted first, go to one task (about 100 bytes each
+    there); more are joined in rounds. Each round joins every larger neighbour to the least one (large star),
     then every smaller neighbour (small star). Minima are combined before
     they are shuffled, the number of edges doesn't grow, and the edges of a
     node with very many neighbours meet their minimum in several tasks.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.count() <= few:
+        return _in_one_task(edges)
     for _ in range(rounds):
         if _settled(edges):
             break

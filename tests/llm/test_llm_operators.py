@@ -327,6 +327,28 @@ def test_jaccard_join_equals_brute_force(spark, docs, none, chunk):
     assert jaccard_join.jaccard_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_random_graphs(spark, few):
+    from sieveline.llm.graph import components
+
+    rng = random.Random(12)
+    edges = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(90)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: root(x) for x in linked}
+    assert components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
+
+
 def test_one_of_each_class_stays(docs):
     kept = [r.doc_id for r in jaccard_join.one_of_each(docs).collect()]
     assert {15}.issubset(kept) and 16 not in kept and kept.count(7) == 2 and None in kept
