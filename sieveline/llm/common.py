@@ -64,15 +64,21 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     return dealt.join(many, [*on, "__salt"], how).drop("__salt")
 
 
-def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key and in ``weight`` the key's rows of ``left``, ``total`` in all.
+def heavy_keys(sizes: DataFrame, key: str, weight: str, total: int) -> list[int]:
+    """The keys (long) with more than a thousandth of all ``total`` rows by ``weight``: fewer than 1000."""
+    return sorted(r[0] for r in sizes.where(F.col(weight) > total / 1000).select(key).collect())
 
-    A key with more than a thousandth of all rows would make one long task;
-    there are fewer than 1000 of those, and they are broadcast.
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, heavy: list[int]) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key.
+
+    A key of very many rows would make one long task; the rows of the
+    ``heavy`` ones stay where they are, and their side of ``right`` is broadcast.
     """
-    heavy = F.col(weight) > total / 1000
-    hot, cold = F.broadcast(right.where(heavy).drop(weight)), right.where(~heavy).drop(weight)
-    return left.join(hot, on).unionByName(left.join(F.broadcast(right.where(heavy).select(*on)), on, "left_anti").join(cold, on))
+    if not heavy:
+        return left.join(right, key)
+    hot = F.col(key).isin(heavy)
+    return left.where(hot).join(F.broadcast(right.where(hot)), key).unionByName(left.where(~hot).join(right.where(~hot), key))
 
 
 def let(value: Column, body) -> Column:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_join, rowed, unrowed, written
+from .common import heavy_join, heavy_keys, rowed, salted_join, unrowed, written
 from .graph import components
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -209,8 +209,10 @@ def compare_groups(rows: DataFrame, size: int, similarity: tuple[int, int]) -> D
 
 def bucket_groups(ends: DataFrame, total: int) -> DataFrame:
     """(node, root): the groups of sets that buckets join, from ``ends`` (node, path), ``total`` rows."""
-    hubs = ends.groupBy("path").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("rows")).where("hub <> far").drop("far")
-    return components(heavy_join(ends, hubs, ["path"], "rows", total).select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    shared = ends.groupBy("path").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("rows")).where("hub <> far")
+    hubs = written(shared.select("path", "hub", "rows"), "hubs")
+    met = heavy_join(ends, hubs.drop("rows"), "path", heavy_keys(hubs, "path", "rows", total))
+    return components(met.select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
 
 def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, first: int, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
@@ -225,10 +227,10 @@ def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, first: int, leve
     for level in range(first, levels + 1):
         ends = mine.select(F.col("set").alias("node"), F.explode(f"p{level}").alias("path"))
         total = mine.agg(F.coalesce(F.sum(F.size(f"p{level}")), F.lit(0))).first()[0]
-        groups = bucket_groups(ends, int(total)).join(whose, "node")
+        groups = written(bucket_groups(ends, int(total)).join(whose, "node"), f"groups{level}")
         parts = F.ceil(F.greatest(F.count("*") / bucket, F.sum("n") / bucket_tokens)).cast("int")
-        sizes = groups.groupBy("root").agg(parts.alias("chunks"), F.count("*").alias("sets"))
-        dealt = written(heavy_join(groups, sizes.withColumn("rows", F.col("sets")), ["root"], "rows", int(total)), f"groups{level}")
+        sizes = groups.groupBy("root").agg(parts.alias("chunks"))
+        dealt = written(salted_join(groups, sizes, ["root"], ["node"]), f"dealt{level}")
         small = dealt.where("chunks = 1").select("node", "doc_id", "copy", "weight", F.xxhash64(F.lit(level), "root").alias("group"), F.lit(0).alias("own"), one.alias("pairs"))
         found = small if found is None else found.unionByName(small)
         large = dealt.where("chunks > 1")
@@ -239,8 +241,8 @@ def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, first: int, leve
         mine = written(mine.select("doc_id", "copy", "set", *[f"p{k}" for k in range(min(level + 1, levels), levels + 1)]), f"sketch{level}")
     leads = mine.select(F.col("set").alias("node"), F.array_min(f"p{levels}").alias("lead"))
     led = large.join(leads, "node")
-    many = led.groupBy("root", "lead").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"), F.count("*").alias("rows"))
-    led = heavy_join(led, many, ["root", "lead"], "rows", int(total))
+    many = led.groupBy("root", "lead").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
+    led = salted_join(led, many, ["root", "lead"], ["node"])
     own = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))), F.col("chunks")).cast("int")
     chunked = written(led.select("node", "doc_id", "copy", "weight", "root", own.alias("own")), "chunks")
     # Pairs of chunks that share a path; a set's own chunk is compared with itself too.
@@ -283,13 +285,12 @@ def set_classes(docs: DataFrame, *, size: int, similarity: tuple[int, int], reca
     totals = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = roots.join(classes.select(F.col("set").alias("node"), F.struct("doc_id", "copy").alias("rep")), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("rows"))
-    n_sets = classes.count()
-    found = heavy_join(named, least, ["root"], "rows", n_sets).join(totals, "node").select(F.col("node").alias("set"), "least", "links")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    found = salted_join(named, least, ["root"], ["node"]).join(totals, "node").select(F.col("node").alias("set"), "least", "links")
     own = F.struct("doc_id", "copy")
-    labels = classes.join(found, "set", "left").select("set", F.col("doc_id").alias("set_id"), F.coalesce("least", own).alias("least"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "weight")
+    labels = classes.join(found, "set", "left").select("set", F.col("doc_id").alias("set_id"), F.coalesce("least", own).alias("least"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     rows = real.select("doc_id", "copy", "set")
-    linked_rows = heavy_join(rows, labels, ["set"], "weight", sketch.count()).select("doc_id", "copy", "set_id", F.col("least.doc_id").alias("class_id"), F.col("least.copy").alias("class_copy"), "n_links")
+    linked_rows = heavy_join(rows, labels, "set", heavy_keys(classes, "set", "weight", sketch.count())).select("doc_id", "copy", "set_id", F.col("least.doc_id").alias("class_id"), F.col("least.copy").alias("class_copy"), "n_links")
     alone = sketch.where(F.col("doc_id").isNull() | F.col("set").isNull()).select("doc_id", "copy", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.col("copy").alias("class_copy"), F.lit(0).cast("long").alias("n_links"))
     return linked_rows.unionByName(alone)
 
