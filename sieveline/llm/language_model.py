@@ -365,7 +365,7 @@ class Automaton:
         return total
 
 
-def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (300.0, 100.0), block_tokens: int = 1_000_000, fan: int = 1 << FAN_BITS) -> DataFrame:
+def score_corpus(docs: DataFrame, *, weights: tuple[float, ...] = (1000.0, 10.0), block_tokens: int = 1_000_000, fan: int = 1 << FAN_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
     ``weights`` holds K for bigrams, trigrams and so on; their number sets the
