@@ -295,7 +295,7 @@ def set_classes(docs: DataFrame, *, size: int, similarity: tuple[int, int], reca
     return linked_rows.unionByName(alone)
 
 
-OPTIONS = {"size": 5, "similarity": (4, 5), "recall": 0.9999, "first": 2, "levels": 3, "bucket": 256, "bucket_tokens": 1_000_000}
+OPTIONS = {"size": 5, "similarity": (4, 5), "recall": 0.9999, "first": 2, "levels": 3, "bucket": 1024, "bucket_tokens": 1_000_000}
 
 
 def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
