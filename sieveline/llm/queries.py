@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_model, line_dedup, pii, quality_classifier, quality_rules, secret_scan
+from . import decontaminate, filter_audit, jaccard_join, language_model, line_dedup, pii, quality_classifier, quality_rules, secret_scan, source_divergence, token_store
 from .packing import pack, pack_answers
 from .token_count import count_tokens
 
@@ -59,6 +59,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packing of ``op10`` where only answers bear loss."""
     return pack_answers(table(spark, sf_dir, "conversations"))
@@ -75,10 +87,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_ids": op12_token_ids,
+    "op13_source_divergence": op13_source_divergence,
     "instruction_packing": instruction_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.REPORT_SQL,
     "op3_quality_rules": quality_rules.rules_sql(),
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
+    "op13_source_divergence": source_divergence.DIVERGENCE_SQL,
 }
