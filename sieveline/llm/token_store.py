@@ -67,7 +67,7 @@ class ChunkEncoder:
     white space, go to the library whole.
     """
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,27 +79,41 @@ class ChunkEncoder:
     def width(self) -> int:
         return 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Add chunks, encoded in one go with a special string between them."""
+        if not self.marks:
+            self.chunks.update((c, self.whole(c)) for c in new)
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([self.marks[0].join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(self.marks[0])) * 4
+        raw = ids.tobytes()
+        self.chunks.update(zip(new, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.chunks) > self.bound:
             self.chunks.clear()
         get = self.chunks.get
-        cut: list[list[str]] = []
-        new: dict[str, None] = {}
+        cut, found, new = [], [], {}
         for text in texts:
             if not text:
-                cut.append([])
-            elif INNER_SPACE.search(text) or any(m in text for m in self.marks):
-                cut.append([text])
+                chunks, ids = [], []
+            elif INNER_SPACE.search(text) or "\0" in text or any(m in text for m in self.marks):
+                chunks, ids = [text], [self.whole(text)]
             else:
-                cut.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text])
-            new.update((c, None) for c in cut[-1] if get(c) is None)
+                chunks = text.replace(" ", "\0 ").split("\0")
+                ids = list(map(get, chunks))
+                if None in ids:
+                    new.update(dict.fromkeys(c for c, x in zip(chunks, ids, strict=True) if x is None))
+            cut.append(chunks)
+            found.append(ids)
         if new:
-            self.chunks.update(zip(new, self.whole(list(new)), strict=True))
-        known = self.chunks.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in cut]
+            self.learn(list(new))
+            known = self.chunks.__getitem__
+            found = [list(map(known, chunks)) if None in ids else ids for chunks, ids in zip(cut, found, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
