@@ -1,7 +1,7 @@
 """Papers from the JSON answers of bibliographic services.
 
 ``raw`` frames have (rank, item): the place of an item in its query's answer
-and the item as JSON. Each parser returns the columns of ``FIELDS``.
+and the item as JSON. Each parser returns the columns of ``FIELDS``, after those to be ``kept``.
 """
 
 from __future__ import annotations
@@ -56,17 +56,17 @@ def crossref_date(item: Column) -> Column:
     return F.coalesce(one("published"), one("published-print"), one("published-online"))
 
 
-def finished(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    made = rows.select(*[columns.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in FIELDS.items()])
+def finished(rows: DataFrame, columns: dict[str, Column], kept: tuple[str, ...]) -> DataFrame:
+    made = rows.select(*kept, *[columns.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in FIELDS.items()])
     return made.where(F.col("title").isNotNull() & F.col("record_id").isNotNull())
 
 
 def common(name: str, source_id: Column) -> dict[str, Column]:
-    return {"source_names": F.array(F.lit(name)), "source_ids": F.create_map(F.lit(name), source_id), "source_relevance": 1.0 / (1.0 + F.col("rank"))}
+    return {"source_names": F.array(F.lit(name)), "source_ids": F.create_map(F.lit(name), source_id), "source_relevance": 1.0 / (1.0 + F.col("__rank"))}
 
 
-def crossref(raw: DataFrame) -> DataFrame:
-    rows = raw.select("rank", F.from_json("item", CROSSREF).alias("i")).withColumn("d", crossref_date(F.col("i"))).withColumn("t", first_text(F.col("i.title")))
+def crossref(raw: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    rows = raw.select(*kept, F.col("rank").alias("__rank"), F.from_json("item", CROSSREF).alias("i")).withColumn("d", crossref_date(F.col("i"))).withColumn("t", first_text(F.col("i.title")))
     i = F.col("i")
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
     own = F.coalesce(text(i["DOI"]), slug)
@@ -76,11 +76,11 @@ def crossref(raw: DataFrame) -> DataFrame:
         "record_id": F.concat(F.lit("crossref:"), own), "title": F.col("t"), "abstract": text(plain(text(i["abstract"]))), "year": F.col("d.year"), "publication_date": F.col("d.date"),
         "authors": F.coalesce(F.filter(names, lambda n: n != ""), F.array()), "venue": first_text(i["container-title"]), "work_type": text(i["type"]), "doi": normal_doi(i["DOI"]),
         "citation_count": safe_int(i["is-referenced-by-count"]), "landing_page_url": text(i["URL"]), "open_access_pdf_url": F.get(pdf, 0), "open_access_license": text(F.get(i["license"], 0)["URL"]), "topics": F.array(),
-    })
+    }, kept)
 
 
-def semantic_scholar(raw: DataFrame) -> DataFrame:
-    rows = raw.select("rank", F.from_json("item", SEMANTIC_SCHOLAR).alias("i"))
+def semantic_scholar(raw: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    rows = raw.select(*kept, F.col("rank").alias("__rank"), F.from_json("item", SEMANTIC_SCHOLAR).alias("i"))
     i = F.col("i")
     own = text(i["paperId"])
     return finished(rows, common("semantic_scholar", own) | {
@@ -88,11 +88,11 @@ def semantic_scholar(raw: DataFrame) -> DataFrame:
         "authors": F.coalesce(F.filter(F.transform(i["authors"], lambda a: text(a["name"])), lambda n: n.isNotNull()), F.array()), "venue": text(i["venue"]), "work_type": first_text(i["publicationTypes"]), "doi": normal_doi(i["externalIds"]["DOI"]),
         "pmid": text(i["externalIds"]["PubMed"]), "arxiv_id": text(i["externalIds"]["ArXiv"]), "citation_count": safe_int(i["citationCount"]), "influential_citation_count": safe_int(i["influentialCitationCount"]), "landing_page_url": text(i["url"]),
         "open_access_pdf_url": text(i["openAccessPdf"]["url"]), "topics": F.coalesce(F.filter(i["fieldsOfStudy"], lambda f: f != ""), F.array()),
-    })
+    }, kept)
 
 
-def europe_pmc(raw: DataFrame) -> DataFrame:
-    rows = raw.select("rank", F.from_json("item", EUROPE_PMC).alias("i"))
+def europe_pmc(raw: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    rows = raw.select(*kept, F.col("rank").alias("__rank"), F.from_json("item", EUROPE_PMC).alias("i"))
     i = F.col("i")
     own, archive = text(i["id"]), F.coalesce(i["source"], F.lit("MED"))
     low = lambda x: F.lower(F.coalesce(x, F.lit("")))
@@ -101,11 +101,11 @@ def europe_pmc(raw: DataFrame) -> DataFrame:
         "record_id": F.concat(F.lit("europe_pmc:"), archive, F.lit(":"), own), "title": text(i["title"]), "abstract": text(i["abstractText"]), "year": F.nullif(safe_int(i["pubYear"]), F.lit(0)), "publication_date": text(i["firstPublicationDate"]),
         "authors": F.coalesce(F.filter(F.transform(i["authorList"]["author"], lambda a: text(a["fullName"])), lambda n: n.isNotNull()), F.array()), "venue": text(i["journalTitle"]), "work_type": text(i["pubType"]), "doi": normal_doi(i["doi"]), "pmid": text(i["pmid"]), "pmcid": text(i["pmcid"]),
         "citation_count": safe_int(i["citedByCount"]), "landing_page_url": F.concat(F.lit("https://europepmc.org/article/"), archive, F.lit("/"), own), "open_access_pdf_url": F.get(pdf, 0), "open_access_license": text(i["license"]), "topics": F.coalesce(i["meshHeadingList"]["meshHeading"], F.array()),
-    })
+    }, kept)
 
 
-def openalex(raw: DataFrame) -> DataFrame:
-    rows = raw.select("rank", F.from_json("item", OPENALEX).alias("i"))
+def openalex(raw: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    rows = raw.select(*kept, F.col("rank").alias("__rank"), F.from_json("item", OPENALEX).alias("i"))
     i = F.col("i")
     own = text(i["id"])
     last = lambda u: F.element_at(F.split(u, "/"), -1)
@@ -113,7 +113,7 @@ def openalex(raw: DataFrame) -> DataFrame:
         "record_id": F.concat(F.lit("openalex:"), last(own)), "title": text(i["title"]), "abstract": text(decoded_index(i["abstract_inverted_index"])), "year": F.nullif(safe_int(i["publication_year"]), F.lit(0)), "publication_date": text(i["publication_date"]),
         "authors": F.coalesce(F.filter(F.transform(i["authorships"], lambda a: text(a["author"]["display_name"])), lambda n: n.isNotNull()), F.array()), "work_type": text(i["type"]), "doi": normal_doi(i["doi"]), "citation_count": safe_int(i["cited_by_count"]), "landing_page_url": own, "open_access_pdf_url": text(i["open_access"]["oa_url"]),
         "topics": F.coalesce(F.slice(F.transform(i["topics"], lambda t: t["display_name"]), 1, 10), F.array()), "referenced_work_ids": F.coalesce(F.transform(i["referenced_works"], last), F.array()),
-    })
+    }, kept)
 
 
 PARSERS = {"crossref": crossref, "semantic_scholar": semantic_scholar, "europe_pmc": europe_pmc, "openalex": openalex}

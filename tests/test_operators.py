@@ -277,6 +277,69 @@ def test_answers_and_calls(spark):
     assert got[1].error == "ValueError: x" and got[0].used_output == 100
 
 
+def test_requests_are_sent_once(spark, tmp_path):
+    import json
+    import os
+    import uuid
+
+    from sieveline.operators import model_calls
+
+    sends, log = tmp_path / "sends", str(tmp_path / "log")
+    sends.mkdir()
+
+    def send(r):
+        (sends / f"{r['ord']}-{uuid.uuid4().hex}").touch()
+        if r["prompt"] == "fatal":
+            os._exit(1)  # the worker is lost while a request is in flight
+        return json.dumps({"choices": [{"message": {"content": r["prompt"]}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}})
+
+    rows = [("L", i, "t", "kimi-k3", "chat_completions", p, 10, 100) for i, p in enumerate(["a", "b", "fatal", "c", "d"])]
+    requests = spark.createDataFrame(rows, model_calls.REQUEST)
+    with pytest.raises(Exception, match="exited unexpectedly|crashed"):
+        model_calls.sent(requests, send, BudgetSpec(), "2026-01", log=log, patience=0.5)
+    got = model_calls.sent(requests, send, BudgetSpec(), "2026-01", log=log, patience=0.5)
+    assert got.count() == 5 and [r.answer is None for r in got.orderBy("ord").collect()] == [False, False, True, False, False]
+    assert got.where("failure LIKE 'Interrupted%'").first().ord == 2
+    again = model_calls.sent(requests, send, BudgetSpec(), "2026-01", log=log)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+    assert sorted(int(p.name.split("-")[0]) for p in sends.iterdir()) == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="mounted"):
+        model_calls.sent(requests, send, BudgetSpec(), "2026-01", log="s3://bucket/log")
+
+
+def test_answers_count_before_the_next_request(spark):
+    import json
+
+    from sieveline.operators import ledger, model_calls
+
+    # Twelve estimates of over 4 don't fit the task's 35, the costs that answers tell do.
+    _, _, output_price = next((p, i, float(o)) for a, p, i, o in ledger.PRICES if a == "kimi-k3")
+    most = int(4 / 1.1 / output_price * 1_000_000)
+    requests = spark.createDataFrame([("L", i, "t", "kimi-k3", "chat_completions", "x", 10, most) for i in range(12)], model_calls.REQUEST)
+    told = lambda r: json.dumps({"choices": [{"message": {"content": "x"}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}})
+    counts = [model_calls.sent(requests, answer, BudgetSpec(), "2026-01").where("decision = 'authorized'").count() for answer in (told, lambda r: "{}")]
+    assert counts == [12, 8]
+
+
+def test_two_tasks_have_one_effect(tmp_path):
+    import threading
+
+    from sieveline.operators.effects import EffectLog
+
+    done, got = [], []
+
+    def effect():
+        done.append(1)
+        return {"n": len(done)}
+
+    runs = [threading.Thread(target=lambda: got.append(EffectLog(str(tmp_path), pause=0.01).once("k", effect, {"n": 0}))) for _ in range(8)]
+    for t in runs:
+        t.start()
+    for t in runs:
+        t.join()
+    assert done == [1] and got == [{"n": 1}] * 8
+
+
 def test_seeds_and_exports(spark, tmp_path):
     import json
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.sources import records, services, sinks
+from sieveline.sources import records, scan, services, sinks
 
 CROSSREF = {"title": [" ", "A <i>title</i>"], "DOI": "10.1/ABC", "author": [{"given": "Ann", "family": "Lee"}, {"family": ""}], "abstract": "<p>Fish &amp; chips\n are</p>", "link": [{"content-type": "text/html", "URL": "h"}, {"content-type": "application/PDF", "URL": "https://x/p.pdf"}], "license": [{"URL": "https://creativecommons.org/licenses/by/4.0/"}], "container-title": ["V"], "type": "book", "is-referenced-by-count": 7, "published-print": {"date-parts": [[2020, 5]]}}
 S2 = {"title": "T", "paperId": "p1", "externalIds": {"DOI": "10.1/X", "ArXiv": "1"}, "authors": [{"name": "A"}, {"name": ""}], "year": 0, "citationCount": "3", "fieldsOfStudy": ["Bio"], "openAccessPdf": {"url": "u", "status": "GOLD"}}
@@ -33,24 +34,64 @@ def test_parsers(spark):
     assert parsed(spark, "crossref", {"title": ["No Id: here!"]})[0].record_id == "crossref:no-id-here"
 
 
-def test_search_isolates_failures(spark):
+def test_search_isolates_failures_and_asks_once(spark, tmp_path):
     def fetch(url, params):
-        if params["query"] == "bad":
+        (tmp_path / uuid.uuid4().hex).touch()
+        if "bad" in (params.get("query"), params.get("query.bibliographic")):
             raise services.ServiceError(500)
         if "crossref" in url:
-            return {"message": {"items": [CROSSREF] * 3}}
-        return {"data": [S2] * 2, "token": "t" if "token" not in params else None}
+            return {"message": {"items": [CROSSREF, {"title": []}, CROSSREF, CROSSREF]}}
+        return {"data": [{"title": "no id"}, S2, S2], "token": "t" if "token" not in params else None}
 
-    papers, log = services.search(spark, ("crossref", "semantic_scholar"), ["good", "bad"], fetch, limit=3)
-    assert papers.groupBy("__source").count().orderBy("__source").collect() == [(0, 3), (1, 3)]
-    assert {(r.source, r.query, r.status, r.records) for r in log.collect()} == {("crossref", "good", "ok", 3), ("crossref", "bad", "failed: ServiceError", 0), ("semantic_scholar", "good", "ok", 3), ("semantic_scholar", "bad", "failed: ServiceError", 0)}
+    papers, log = scan.search(spark, ["crossref", "semantic_scholar"], ["good", "bad"], fetch=fetch, limit=3)
+    assert [(r.source_names[0], r.source_relevance) for r in papers.orderBy("ord").collect()] == [("crossref", 1.0), ("crossref", 1 / 3), ("crossref", 1 / 4), ("semantic_scholar", 1 / 2), ("semantic_scholar", 1 / 3), ("semantic_scholar", 1 / 4)]
+    assert [tuple(r) for r in log.select("source", "query", "status", "records").collect()] == [("crossref", "good", "ok", 3), ("crossref", "bad", "failed", 0), ("semantic_scholar", "good", "ok", 3), ("semantic_scholar", "bad", "failed", 0)]
+    assert log.where("error = 'ServiceError: status 500'").count() == 2
+    # One request a query and one page more, whatever was read afterwards.
+    assert len(list(tmp_path.iterdir())) == 5
+
+
+def test_filters_reach_the_services(spark, tmp_path):
+    dated = lambda y: CROSSREF | {"DOI": f"10.1/{y}", "published-print": {"date-parts": [[y]]}}
+
+    def fetch(url, params):
+        (tmp_path / uuid.uuid4().hex).write_text(json.dumps(params))
+        return {"message": {"items": [dated(1999), dated(2004), {"title": "undated"}]}}
+
+    spark.conf.set(scan.PUSHDOWN, "true")
+    try:
+        rows = scan.scan(spark, ["crossref", "openalex"], ["a", "b", "c"], fetch=fetch, columns=["title"]).where("year >= 2001 AND year < 2010 AND query IN ('a', 'c') AND source = 'crossref'")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Filter" not in plan.replace("RuntimeFilters", ""), plan
+        assert sorted((r.query, r.year, r.rank) for r in rows.collect()) == [("a", 2004, 1), ("c", 2004, 1)]
+    finally:
+        spark.conf.unset(scan.PUSHDOWN)
+    asked = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert sorted(a["query.bibliographic"] for a in asked) == ["a", "c"]
+    assert {a["filter"] for a in asked} == {"from-pub-date:2001-01-01,until-pub-date:2009-12-31"} and {a["select"] for a in asked} == {"DOI,title,published,published-online,published-print"}
+    plain = scan.scan(spark, ["crossref"], ["a"], fetch=fetch).where("year >= 2001")
+    assert [r.year for r in plain.collect()] == [2004]
+
+
+def test_recordings_answer_instead_of_services(spark, tmp_path):
+    key = services.request_key(services.CROSSREF_URL, services.crossref_request("q", 10, (None, None)))
+    path = str(tmp_path / "recordings")
+    spark.createDataFrame([(key, json.dumps({"message": {"items": [CROSSREF]}}))], "request string, answer string").write.parquet(path)
+    answer = services.recorded_fetch(path)
+    assert answer(services.CROSSREF_URL, services.crossref_request("q", 10, (None, None)))["message"]["items"] == [CROSSREF]
+    with pytest.raises(services.ServiceError):
+        answer(services.CROSSREF_URL, services.crossref_request("other", 10, (None, None)))
 
 
 def test_cursor_stops_on_a_repeat():
-    pages = [{"resultList": {"result": [{}, {}]}, "nextCursorMark": "a"}, {"resultList": {"result": [{}, {}]}, "nextCursorMark": "a"}]
-    assert len(list(services.europe_pmc_pages(lambda u, p: pages.pop(0), "q", 2000, (None, None)))) == 2
+    one = {"title": "T", "id": "1"}
+    pages = [{"resultList": {"result": [one] * 1000}, "nextCursorMark": "a"}, {"resultList": {"result": [one] * 1000}, "nextCursorMark": "a"}]
+    assert len(services.records_of(lambda u, p: pages.pop(0), "europe_pmc", "q", 5000, (None, None))) == 2000
+    asked = []
+    services.records_of(lambda u, p: asked.append(p) or {}, "europe_pmc", "q", 5000, (2000, None))
+    assert asked[0]["query"] == "(q) AND FIRST_PDATE:[2000-01-01 TO 2100-12-31]" and asked[0]["pageSize"] == 1000
     with pytest.raises(services.ServiceError):
-        list(services.openalex_pages(None, "q", 1, (None, None)))
+        services.records_of(None, "openalex", "q", 1, (None, None))
 
 
 def test_retries_pause_as_asked():
