@@ -12,30 +12,39 @@ from sieveline.plans.catalog import SPEC, _bm25_sql, query
 from sieveline.plans.views import CARDS_SQL, LEDGER_SQL, PAPERS_SQL
 from sieveline.spec import BudgetSpec, ModelSpec, TaskSpec
 
-TITLE_SQL = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
+TITLE_SQL = "trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g'))"
+#: Papers of which some have no year, and some titles other accents than their copies.
+UNEVEN_SQL = PAPERS_SQL + """, uneven AS (
+  SELECT ord, record_id, CASE WHEN ord % 13 = 5 THEN replace(replace(title, 'e', 'é'), 'o', 'Ö') ELSE title END AS title, CASE WHEN ord % 11 <> 3 THEN year END AS year FROM papers)"""
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.papers(spark, sf_dir).select("ord", "record_id", "title", "year")
+    title = F.when(F.col("ord") % 13 == 5, F.replace(F.replace("title", F.lit("e"), F.lit("é")), F.lit("o"), F.lit("Ö"))).otherwise(F.col("title"))
+    return p.select("ord", "record_id", title.alias("title"), F.when(F.col("ord") % 11 != 3, F.col("year")).alias("year"))
 
 
 @query(
     "dedupe_exact_title_year",
-    f"""WITH {PAPERS_SQL}, t AS (SELECT record_id, ord, coalesce(year, 0) AS year, {TITLE_SQL} AS t FROM papers WHERE {TITLE_SQL} <> ''),
+    f"""WITH {UNEVEN_SQL}, t AS (SELECT record_id, ord, coalesce(year, 0) AS year, {TITLE_SQL} AS t FROM uneven WHERE {TITLE_SQL} <> ''),
 n AS (SELECT t, y, min(ord) AS ord FROM (SELECT t, ord, unnest([year - 1, year, year + 1]) AS y FROM t) GROUP BY t, y), z AS (SELECT t, min(ord) AS ord FROM t WHERE year = 0 GROUP BY t),
 m AS (SELECT t.record_id, t.ord, least(n.ord, coalesce(z.ord, n.ord)) AS e FROM t JOIN n ON n.t = t.t AND n.y = t.year LEFT JOIN z ON z.t = t.t)
 SELECT m.record_id, p.record_id AS earlier FROM m JOIN papers p ON p.ord = m.e WHERE m.e < m.ord""",
 )
 def dedupe_exact_title_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.exact_title_links(views.papers(spark, sf_dir))
+    return dedupe.exact_title_links(uneven(spark, sf_dir))
 
 
 @query(
     "dedupe_prefix_levenshtein_pairs",
-    f"""WITH {PAPERS_SQL}, t AS (
-  SELECT {TITLE_SQL} AS t, year, min(ord) AS ord, arg_min(record_id, ord) AS record_id FROM papers WHERE length({TITLE_SQL}) >= 24 GROUP BY 1, 2)
+    f"""WITH {UNEVEN_SQL}, t AS (
+  SELECT {TITLE_SQL} AS t, year, min(ord) AS ord, arg_min(record_id, ord) AS record_id FROM uneven WHERE length({TITLE_SQL}) >= 24 GROUP BY 1, 2)
 SELECT a.record_id AS left_id, b.record_id AS right_id, levenshtein(a.t, b.t)::INT AS distance FROM t a JOIN t b
-  ON substr(a.t, 1, 18) = substr(b.t, 1, 18) AND a.ord < b.ord AND abs(a.year - b.year) <= 1
+  ON substr(a.t, 1, 18) = substr(b.t, 1, 18) AND a.ord < b.ord AND coalesce(abs(a.year - b.year), 0) <= 1
 WHERE levenshtein(a.t, b.t) <= floor(0.04 * (length(a.t) + length(b.t)) + 1e-9)""",
 )
 def dedupe_prefix_levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.prefix_pairs(views.papers(spark, sf_dir))
+    return dedupe.prefix_pairs(uneven(spark, sf_dir))
 
 
 @query("dedupe_fuzzy_greedy")
