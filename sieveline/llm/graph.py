@@ -1,4 +1,4 @@
-"""Connected components of an edge table (u, v: long), by alternating star steps where they are many."""
+"""Connected components of an edge table (u, v: long): contraction inside tasks, then alternating star steps."""
 
 from __future__ import annotations
 
@@ -34,28 +34,43 @@ def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = label[label]
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame, *, held: int = 500_000) -> DataFrame:
+    """Edges with the same components, fewer: each task joins what it has, up to ``held`` edges at a time, and returns one edge for each node that isn't a root there."""
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(p.column("u").to_numpy(), p.column("v").to_numpy()) for p in parts]
-        if held:
-            nodes, roots = least_of(*(np.concatenate(side) for side in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+        us, vs, size = [], [], 0
+
+        def joined() -> pa.RecordBatch:
+            nodes, roots = least_of(np.concatenate(us), np.concatenate(vs))
+            inner = nodes != roots
+            us.clear()
+            vs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(roots[inner])], names=["u", "v"])
+
+        for part in parts:
+            us.append(part.column("u").to_numpy())
+            vs.append(part.column("v").to_numpy())
+            size += part.num_rows
+            if size >= held:
+                yield joined()
+                size = 0
+        if us:
+            yield joined()
 
-    return edges.coalesce(1).mapInArrow(batches, "node long, root long")
+    return edges.mapInArrow(batches, "u long, v long")
 
 
-def components(edges: DataFrame, *, rounds: int = 60, few: int = 1_000_000) -> DataFrame:
+def components(edges: DataFrame, *, rounds: int = 60, held: int = 500_000) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); the root is the least node of its component.
 
-    Up to ``few`` edges, counted first, go to one task (about 100 bytes each
-    there); more are joined in rounds. Each round joins every larger neighbour to the least one (large star),
+    However many edges there are, tasks first contract theirs, which leaves at most an edge
+    for each node and task. Rounds then join every larger neighbour to the least one (large star),
     then every smaller neighbour (small star). Minima are combined before
     they are shuffled, the number of edges doesn't grow, and the edges of a
     node with very many neighbours meet their minimum in several tasks.
     """
-    edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if edges.count() <= few:
-        return _in_one_task(edges)
+    pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = checkpoint(contracted(pairs, held=held).distinct())
     for _ in range(rounds):
         if _settled(edges):
             break

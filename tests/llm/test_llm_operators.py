@@ -327,8 +327,8 @@ def test_jaccard_join_equals_brute_force(spark, docs, none, chunk):
     assert jaccard_join.jaccard_classes(none).count() == 0
 
 
-@pytest.mark.parametrize("few", [0, 1_000_000])
-def test_components_of_random_graphs(spark, few):
+@pytest.mark.parametrize("held", [5, 500_000])
+def test_components_of_random_graphs(spark, held):
     from sieveline.llm.graph import components
 
     rng = random.Random(12)
@@ -343,10 +343,20 @@ def test_components_of_random_graphs(spark, few):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), held=held).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
-    assert components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), held=held).count() == 0
+
+
+def test_any_number_of_item_blocks_has_one_worker(docs, spark):
+    items = spark.createDataFrame([(i, f"{P1.split()[i]} {' '.join(P1.split()[i + 1 : i + 12])}") for i in range(0, 40, 4)], "item_id long, text string")
+    one, many = (decontaminate.find_leaks(docs, items, block_words=n) for n in (100_000, 10))
+    assert len(decontaminate.item_blocks(items, 10)) >= 12
+    for frame in (one, many):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    spans = lambda df: sorted((repr(r.doc_id), r.n_words, r.spans, sorted(r.item_ids)) for r in df.collect())
+    assert spans(one) == spans(many) and any(x[2] for x in spans(one))
 
 
 def test_one_of_each_class_stays(docs):
