@@ -11,7 +11,8 @@ depends on the number of windows and not on the length of words.
 The items are the small side, but nothing relies on that: they are dealt into
 blocks by hash, so that a block has ``block_words`` words in expectation (about
 1.5 KB of automaton a word), with one automaton and one scan each; the spans of the blocks are
-merged row by row. Only a block at a time is sent from the driver.
+merged row by row. Only a block at a time is sent from the driver, and between
+blocks the rows are written, so a task has one worker and one automaton at any number of blocks.
 
 Results: null and empty texts have no words and no hits; items without words
 have no windows; equal windows of several items count for each; repeated
@@ -29,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rowed, unrowed
+from .common import drop_table, rowed, unrowed, write_table
 
 #: Bytes of UTF-8 to normal form: letters and digits stay, in lower case, as do bytes outside ASCII; others part words.
 NORMAL = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -174,12 +175,22 @@ def add_block(rows: DataFrame, shared: Broadcast, window: int, with_offsets: boo
 
 
 def scanned(docs: DataFrame, items: DataFrame, *, window: int, block_words: int, with_offsets: bool = False, keep_text: bool = False) -> DataFrame:
-    """n_words, spans, item_ids and places of each row, and the row itself: ``row`` has its columns but the text. No shuffle, one pass a block."""
+    """n_words, spans, item_ids and places of each row, and the row itself: ``row`` has its columns but the text. No shuffle, one pass a block, all but the last one at the call."""
     found = docs.select(rowed(docs), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(TWO).alias("spans"), F.array().cast("array<string>").alias("item_ids"), F.array().cast(TWO).alias("places"))
     blocks = item_blocks(items, block_words)
+    spark, before = docs.sparkSession, None
     for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])  # a block
-        found = add_block(found, shared, window, with_offsets, keep_text or k < len(blocks) - 1)
+        last = k == len(blocks) - 1
+        shared = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])  # a block
+        found = add_block(found, shared, window, with_offsets, keep_text or not last)
+        if last:
+            return found
+        # Chained passes would run in one stage, each with a worker and an automaton of its own.
+        path, schema = write_table(found, "leaks"), found.schema
+        shared.destroy()
+        if before is not None:
+            drop_table(spark, before)
+        before, found = path, spark.read.schema(schema).parquet(path)
     return found
 
 
