@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
-from sieveline.operators import audit, benchmarking, citation_graph, citations, dedupe, evidence, integrity, ledger, ranking, selection
+from sieveline.operators import audit, benchmarking, citation_expansion, citation_graph, citations, dedupe, evidence, integrity, ledger, ranking, selection
 from sieveline.plans import views
 from sieveline.plans.catalog import SPEC, _bm25_sql, query
 from sieveline.plans.views import CARDS_SQL, LEDGER_SQL, PAPERS_SQL
-from sieveline.spec import BudgetSpec, ModelSpec, TaskSpec
+from sieveline.spec import BudgetSpec, ModelSpec, SearchSpec, TaskSpec
 
 TITLE_SQL = "trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g'))"
 #: Papers of which some have no year, and some titles other accents than their copies.
@@ -342,6 +342,49 @@ def citation_expand_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("node", "round")
 
 
+def _round_sql(n: int, budget: int, seeds: int) -> str:
+    """Round ``n`` of the expansion below: current papers c, expanded seeds x, to the next ones."""
+    m = n - 1
+    return f"""
+s{n} AS (SELECT node, refs, row_number() OVER (ORDER BY score DESC, node) AS s FROM c{m} ANTI JOIN x{m} USING (node) ORDER BY score DESC, node LIMIT {seeds}),
+x{n} AS (SELECT node FROM x{m} UNION ALL SELECT node FROM s{n}),
+r{n} AS (SELECT {budget} - count(*) + (SELECT count(*) FROM c0) AS rest FROM c{m}),
+i{n} AS (SELECT ref, min(s * 1000 + k) AS place FROM (SELECT s, unnest(refs) AS ref, generate_subscripts(refs, 1) AS k FROM s{n}) WHERE k <= 100 GROUP BY ref),
+b{n} AS (SELECT w.node FROM w JOIN i{n} ON w.node = ref ORDER BY place LIMIT (SELECT least(CASE WHEN rest // 2 > 0 THEN rest // 2 ELSE rest END, (SELECT count(*) FROM i{n}), 500) FROM r{n})),
+a{n} AS (SELECT s, f.node FROM (SELECT s.s, w.node, row_number() OVER (PARTITION BY s.node ORDER BY w.node) AS k FROM s{n} s JOIN e ON e.cited = s.node JOIN w ON w.node = e.citing) f, r{n}
+  WHERE k <= least(50, greatest(10, rest // (SELECT count(*) FROM s{n})))),
+o{n} AS (SELECT s, coalesce(sum(count(*)) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (SELECT count(*) FROM b{n}) AS before FROM a{n} GROUP BY s),
+f{n} AS (SELECT node FROM a{n} JOIN o{n} USING (s), r{n} WHERE before < rest),
+c{n} AS (SELECT w.* FROM w SEMI JOIN (SELECT node FROM c{m} UNION SELECT node FROM b{n} UNION SELECT node FROM f{n}) USING (node))"""
+
+
+#: Seeds of a round, budget and rounds of the query below.
+EXPANSION = {"citation_seeds": 30, "max_expansion": 900, "citation_rounds": 2, "max_candidates": 20_000, "saturation_ratio": 1e-9}
+
+
+@query(
+    "citation_budget",
+    f"""WITH e AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem),
+w AS (SELECT o_orderkey AS node, o_totalprice::DOUBLE AS score, coalesce(refs, []) AS refs, o_orderstatus FROM orders LEFT JOIN (SELECT citing AS o_orderkey, list(cited ORDER BY cited) AS refs FROM e GROUP BY 1) USING (o_orderkey)),
+c0 AS (SELECT node, score, refs, o_orderstatus FROM w WHERE o_orderstatus = 'P'), x0 AS (SELECT NULL::BIGINT AS node WHERE false),
+{_round_sql(1, EXPANSION["max_expansion"], EXPANSION["citation_seeds"])},{_round_sql(2, EXPANSION["max_expansion"], EXPANSION["citation_seeds"])}
+SELECT node, rank FROM (SELECT node, row_number() OVER (ORDER BY score DESC, node) AS rank FROM c2) WHERE rank <= 20000""",
+)
+def citation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as works that cite parts' numbers as orders: pending ones are expanded for two rounds under one budget."""
+    lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("cited")).distinct()
+    refs = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list("cited")), lambda x: F.concat(F.lit("W"), x.cast("string"))).alias("refs"))
+    o = views.table(spark, sf_dir, "orders").join(refs, "o_orderkey", "left")
+    address = F.concat(F.lit("https://openalex.org/W"), F.col("o_orderkey").cast("string"))
+    works = o.select(F.col("o_orderkey").cast("long").alias("ord"), F.col("o_orderkey").alias("node"), F.col("o_totalprice").cast("double").alias("score"), "o_orderstatus", F.create_map(F.lit("openalex"), address).alias("source_ids"), F.coalesce("refs", F.array().cast("array<string>")).alias("referenced_work_ids"))
+    order = [F.desc("score"), F.asc("node")]
+    ranked = lambda df: citation_expansion.reordered(df, order, EXPANSION["max_candidates"])
+    once = lambda df: df.groupBy("node").agg(F.min_by(F.struct(*[c for c in df.columns if c != "node"]), "ord").alias("r")).select("node", *[f"r.{c}" for c in df.columns if c != "node"]).select(*df.columns)
+    start = ranked(works.where("o_orderstatus = 'P'"))
+    found, _ = citation_expansion.expand(start, works, SearchSpec(**EXPANSION), merge=once, rank=ranked, key=lambda df: df["node"])
+    return found.select("node", F.col("ord").alias("rank"))
+
+
 @query(
     "publication_updates",
     f"""WITH {PAPERS_SQL} SELECT record_id, CASE WHEN doi IS NULL THEN 'identifier_unavailable' WHEN ord % 4 = 3 THEN 'check_failed' WHEN ord % 4 = 0 THEN 'retracted' WHEN ord % 4 = 1 THEN 'updated' ELSE 'no_adverse_update_found' END AS publication_status FROM papers""",

@@ -191,6 +191,45 @@ def test_graph_expansion_saturates(spark):
     assert sorted(r.node for r in found.collect()) == [1, 2, 3, 4] and len(log) == 4 and log[-1]["ratio"] == 0
 
 
+def test_expansion_deals_one_budget(spark):
+    """Two rounds against a loop over lists, the budget binding in both."""
+    import random
+
+    from sieveline.operators import citation_expansion
+
+    rng = random.Random(4)
+    works = [(i, f"https://openalex.org/W{i}", [f"W{rng.randint(0, 260)}" for _ in range(rng.randint(0, 6))], rng.random()) for i in range(240)]
+    start, limits = works[:12], SearchSpec(citation_seeds=4, max_expansion=25, citation_rounds=2, saturation_ratio=1e-9, max_candidates=100, screening_pool=50)
+    by_id = {f"W{w[0]}": w for w in works}
+    ranked = lambda ws: sorted({w[0]: w for w in ws}.values(), key=lambda w: (-w[3], w[0]))[:100]
+    current, done, added, log = ranked(start), set(), 0, []
+    for _ in range(2):
+        seeds = [w for w in current if w[1] not in done][:4]
+        done |= {w[1] for w in seeds}
+        rest = 25 - added
+        ids = list(dict.fromkeys(r for w in seeds for r in w[2][:100]))
+        back = [by_id[i] for i in ids if i in by_id][: min(rest // 2 or rest, len(ids), 500)]
+        ahead = []
+        for w in seeds:
+            if len(ahead) + len(back) >= rest:
+                break
+            ahead += [x for x in works if f"W{w[0]}" in x[2]][: min(50, max(10, rest // 4))]
+        before, keys = len(current), {w[0] for w in current}
+        merged = {w[0]: w for w in [*current, *back, *ahead]}
+        added += len(merged) - before
+        current = ranked(merged.values())
+        log.append((len(back), len(ahead), len(merged) - before, sum(w[0] not in keys for w in current[:50])))
+    schema = "ord long, address string, referenced_work_ids array<string>, score double"
+    frame = lambda ws: spark.createDataFrame(ws, schema).select("ord", F.col("ord").alias("node"), F.create_map(F.lit("openalex"), "address").alias("source_ids"), "referenced_work_ids", "score")
+    order = [F.desc("score"), F.asc("node")]
+    rank = lambda df: citation_expansion.reordered(df, order, 100)
+    found, told = citation_expansion.expand(rank(frame(start)), frame(works), limits, merge=lambda df: df.dropDuplicates(["node"]), rank=rank, key=lambda df: df["node"])
+    assert [r.node for r in found.orderBy("ord").collect()] == [w[0] for w in current]
+    assert [(r["backward_records"], r["forward_records"], r["new_unique_records"], r["new_relevant_records_in_screening_pool"]) for r in told["rounds"]] == log and told["records_added"] == added
+    assert citation_expansion.share(1, 3, 9) == citation_expansion.Share(1, 10, 1) and citation_expansion.share(5000, 30, 2000).backward == 500
+    assert citation_expansion.expand(frame(start), frame(works), SearchSpec(), merge=None, rank=None, key=None)[1]["status"] == "skipped"
+
+
 def test_scores_of_answers(spark):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     s = lambda cites, text, need=("e1",): value(spark, benchmarking.score(cites, F.lit(text), arr("e1", "e2"), arr(*need), arr("secret")))
