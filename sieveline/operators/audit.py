@@ -135,3 +135,48 @@ def gates(reviews: DataFrame, papers: DataFrame, cards: DataFrame | None, log: D
 
 def run_status(found: DataFrame) -> str:
     return "pass" if found.where("severity = 'high'").isEmpty() else "blocked"
+
+
+def quality_report(reviews: DataFrame, papers: DataFrame, cards: DataFrame | None, log: DataFrame, spec: TaskSpec, *, task_id: str, raw: int, deduplicated: int, verdicts: DataFrame | None = None, review_mode: str = "not_run") -> dict:
+    """The report of one run and its draft (one row of ``reviews``): counts, findings and status."""
+    found = gates(reviews, papers, cards, log, spec, verdicts)
+    findings = [{"code": r["code"], "severity": r["severity"], "message": r["detail"]} for r in found.select("code", "severity", "detail").collect()]  # 17 at most
+    sources = source_contributions(log).orderBy("source").collect()  # one row a source
+    names = lambda flag: [r["source"] for r in sources if r[flag]]
+    none = {"evidence_papers": 0, "metadata_papers": 0, "fulltext_papers": 0, "licensed_papers": 0, "verified": 0}
+    counts = evidence_counts(cards, papers).first().asDict() if cards is not None else none
+    totals = cards.agg(F.count("*").alias("cards"), F.count_if("fulltext_verified").alias("full")).first() if cards is not None else {"cards": 0, "full": 0}
+    statuses = {r["publication_status"]: r["n"] for r in status_histogram(cards, papers).orderBy("publication_status").collect()} if cards is not None else {}
+    facts = draft_facts(reviews, papers, cards).first()
+    drafts = reviews.where(F.coalesce("markdown", F.lit("")) != "")
+    paragraphs = drafts.select(F.explode(uncited_paragraphs(F.col("markdown")))).toDF("p").collect()  # of one draft
+    verdict = verdicts.first()["verdict"] if verdicts is not None and not verdicts.isEmpty() else "not_run"
+    listed = lambda text: [x for x in (text or "").split(", ") if x]
+    return {
+        "status": "pass" if all(f["severity"] != "high" for f in findings) else "blocked",
+        "task_id": task_id,
+        "operational_sources": names("operational"),
+        "contributing_sources": names("contributing"),
+        "successful_sources": names("operational"),
+        "raw_records": raw,
+        "deduplicated_records": deduplicated,
+        "retained_records": papers.count(),
+        "evidence_cards": totals["cards"],
+        "evidence_papers": counts["evidence_papers"],
+        "bibliographic_metadata_papers": counts["metadata_papers"],
+        "fulltext_verified_papers": counts["fulltext_papers"],
+        "fulltext_verified_cards": totals["full"],
+        "fulltext_license_verified_papers": counts["licensed_papers"],
+        "publication_status_counts": statuses,
+        "publication_status_checked_papers": counts["verified"],
+        "citations_used": used_citations(drafts).select("citation_key").distinct().count(),
+        "substantive_citations_used": facts["cited"] if facts else 0,
+        "unknown_citations": listed(facts["unknown"] if facts else ""),
+        "uncited_long_paragraphs": [r["p"] for r in paragraphs],
+        "unfinished_sections": listed(facts["unfinished"] if facts else ""),
+        "model_review_mode": review_mode,
+        "model_review_verdict": verdict,
+        "findings": findings,
+        "human_review_required": True,
+        "review_type_claim": "narrative review; not a systematic review",
+    }
