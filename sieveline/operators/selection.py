@@ -6,12 +6,11 @@ source), so groups are spread and only a single group is sequential.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.dedupe import normal_title
-from sieveline.functions.text import TITLE_STOPWORDS
+from sieveline.functions import text as T
+from sieveline.operators.components import written
 
 
 def tier(primary: Column, scope: Column) -> Column:
@@ -44,45 +43,57 @@ def checked_count(n: int, target: int) -> int:
     return min(n, max(2 * target, 100))
 
 
-def same_work(a: str, b: str) -> bool:
-    x, y = (set(normal_title(t).split()) - set(TITLE_STOPWORDS) for t in (a, b))
-    return bool(x and y) and len(x & y) / min(len(x), len(y)) >= 0.8
+#: Flag of the works below.
+FOUNDATIONAL = "foundational_priority"
+#: Most places for them.
+RESERVE = 8
+
+
+def telling_words(title: Column) -> Column:
+    """The distinct words of a title that tell works apart."""
+    words = F.filter(F.split(T.normal_title(F.coalesce(title, F.lit(""))), " "), lambda w: w != "")
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in T.TITLE_STOPWORDS]))
 
 
-def foundational(papers: DataFrame, target: int, *, shortlist: int = 200) -> DataFrame:
-    """A few places for older works of high impact: at most eight, near-duplicates passed over.
+def foundational(papers: DataFrame, target: int) -> DataFrame:
+    """A few places for older works of high impact, with their flag and ``place``: at most eight, near-duplicates passed over.
 
-    Scores and shortlists are native; the greedy choice among at most
-    ``shortlist`` rows a tier runs on the driver. It fails rather than choose
-    from a shortlist that ran out.
+    Each round takes the best work left, by an aggregate over all candidates,
+    and then those that share four fifths of the shorter title's telling words
+    with it are left out: one row a round reaches the driver, and no candidate is cut off
+    beforehand. Most places go to works that the main scope fits, a quarter (one at least) to
+    others if there are any, and what is left to the best of both.
     """
-    reserve = min(8, max(2, target // 10), target)
+    reserve = min(RESERVE, max(2, target // 10), target)
     b = F.col("rank_breakdown")
     fit = papers.where(F.col("year").isNotNull() & (F.col("citation_count") > 0) & ~F.coalesce(F.col("publication_status"), F.lit("")).isin("retracted", "withdrawn") & (F.coalesce(b["scope_match"], F.lit(1.0)) > 0))
-    low, high = fit.agg(F.min("year"), F.max("year")).first()
-    if low is None:
-        return papers.limit(0)
+    ends = fit.agg(F.min("year").alias("low"), F.max("year").alias("high"), F.count_if(F.coalesce(b["primary_scope_match"], F.lit(1.0)) <= 0).alias("others")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
     score = F.log1p(F.col("citation_count").cast("double")) + 0.75 * (high - F.col("year")) / max(high - low, 1) + 0.75 * (F.length(F.coalesce("abstract", F.lit(""))) >= 200).cast("int") + 0.5 * F.coalesce(b["scope_match"], F.lit(0.0)) + 0.25 * F.coalesce(b["relevance"], F.lit(0.0))
-    scored = fit.select("record_id", "ord", "title", score.alias("score"), (F.coalesce(b["primary_scope_match"], F.lit(1.0)) > 0).alias("primary"))
-    best = lambda df: [r.asDict() for r in df.orderBy(F.desc("score"), "ord").limit(shortlist).collect()]
-    first, second = best(scored.where("primary")), best(scored.where("NOT primary"))
-    either = sorted([*first, *second], key=lambda r: (-r["score"], r["ord"]))
-    chosen: list[dict] = []
-
-    def take(rows: list[dict], limit: int) -> None:
-        for r in rows:
-            if len(chosen) >= limit:
+    left = written(fit.select("record_id", "ord", telling_words(F.col("title")).alias("words"), score.alias("score"), (F.coalesce(b["primary_scope_match"], F.lit(1.0)) > 0).alias("primary")), "candidates")
+    chosen: list[str] = []
+
+    def take(tier: Column, limit: int) -> None:
+        nonlocal left
+        while len(chosen) < limit:
+            best = left.where(tier).agg(F.max_by(F.struct("record_id", "words"), F.struct("score", -F.col("ord"))).alias("b")).first()["b"]
+            if best is None:
                 return
-            if all(r["record_id"] != c["record_id"] and not same_work(r["title"], c["title"]) for c in chosen):
-                chosen.append(r)
-        if len(rows) >= shortlist and len(chosen) < limit:
-            raise ValueError("the shortlist ran out; raise it")
-
-    take(first, reserve - min(len(second), max(1, reserve // 4)))
-    take(second, reserve)
-    take(either, reserve)
-    order = papers.sparkSession.createDataFrame([(r["record_id"], i) for i, r in enumerate(chosen)], "record_id string, place int")
-    return papers.join(F.broadcast(order), "record_id").orderBy("place")  # eight rows
+            chosen.append(best["record_id"])
+            words = F.array(*[F.lit(w) for w in best["words"]]).cast("array<string>")
+            shared = F.size(F.array_intersect("words", words)) / F.least(F.size("words"), F.lit(len(best["words"])))
+            left = left.where((F.col("record_id") != best["record_id"]) & ~((F.size("words") > 0) & F.lit(bool(best["words"])) & (F.coalesce(shared, F.lit(0.0)) >= 0.8)))
+
+    take(F.col("primary"), reserve - min(ends["others"], max(1, reserve // 4)))
+    take(~F.col("primary"), reserve)
+    take(F.lit(True), reserve)
+    if not chosen:
+        return papers.withColumn("place", F.lit(0)).limit(0)
+    # At most eight places, as literals.
+    place = F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("record_id"))
+    own = F.coalesce("quality_flags", F.array().cast("array<string>")) if "quality_flags" in papers.columns else F.array().cast("array<string>")
+    found = papers.where(F.col("record_id").isin(chosen)).withColumn("place", (place - 1).cast("int")).withColumn("quality_flags", F.array_union(own, F.array(F.lit(FOUNDATIONAL))))
+    return found.orderBy("place")
 
 
 def evidence_order(papers: DataFrame, foundational_ids: DataFrame, fulltext: DataFrame, key: Column, target: int) -> DataFrame:

@@ -230,6 +230,34 @@ def test_expansion_deals_one_budget(spark):
     assert citation_expansion.expand(frame(start), frame(works), SearchSpec(), merge=None, rank=None, key=None)[1]["status"] == "skipped"
 
 
+def test_foundational_works_equal_a_greedy_loop(spark):
+    import math
+    import random
+
+    from sieveline.operators.dedupe import normal_title
+
+    rng = random.Random(11)
+    words = ["Theory", "of", "deep", "water", "Métal", "growth", "and", "light", "soil", "漢字"]
+    schema = "record_id string, ord long, title string, abstract string, year int, citation_count long, publication_status string, rank_breakdown struct<scope_match: double, primary_scope_match: double, relevance: double>, quality_flags array<string>"
+    for target, n in ((80, 300), (30, 60), (10, 3), (200, 0)):
+        rows = [(f"r{i}", i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))), "x" * rng.choice([0, 250]), rng.choice([None, *range(1950, 2020)]), rng.choice([0, 1, 5, 5, 900]), rng.choice(["unchecked", "retracted", None]), (rng.choice([0.0, 0.5, 1.0]), rng.choice([0.0, 1.0]), rng.choice([0.0, 0.25])), rng.choice([None, ["a"]])) for i in range(n)]
+        fit = [r for r in rows if r[4] is not None and r[5] > 0 and r[6] != "retracted" and r[7][0] > 0]
+        reserve = min(8, max(2, target // 10), target)
+        low, high = min((r[4] for r in fit), default=0), max((r[4] for r in fit), default=0)
+        score = lambda r: math.log1p(r[5]) + 0.75 * (high - r[4]) / max(high - low, 1) + 0.75 * (len(r[3]) >= 200) + 0.5 * r[7][0] + 0.25 * r[7][2]  # noqa: B023, E731
+        telling = lambda r: set(normal_title(r[2]).split()) - set(T.TITLE_STOPWORDS)
+        same = lambda x, y: x[0] == y[0] or bool(telling(x) and telling(y)) and len(telling(x) & telling(y)) / min(len(telling(x)), len(telling(y))) >= 0.8
+        chosen = []
+        second = [r for r in fit if r[7][1] <= 0]
+        for some, limit in (([r for r in fit if r[7][1] > 0], reserve - min(len(second), max(1, reserve // 4))), (second, reserve), (fit, reserve)):
+            for r in sorted(some, key=lambda r: (-score(r), r[1])):
+                if len(chosen) < limit and not any(same(r, c) for c in chosen):
+                    chosen.append(r)
+        got = selection.foundational(spark.createDataFrame(rows, schema).repartition(3), target).collect()
+        assert [(g.record_id, g.place) for g in got] == [(c[0], k) for k, c in enumerate(chosen)]
+        assert all(selection.FOUNDATIONAL in g.quality_flags for g in got)
+
+
 def test_scores_of_answers(spark):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     s = lambda cites, text, need=("e1",): value(spark, benchmarking.score(cites, F.lit(text), arr("e1", "e2"), arr(*need), arr("secret")))
