@@ -34,7 +34,7 @@ def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = label[label]
 
 
-def contracted(edges: DataFrame, *, held: int = 500_000) -> DataFrame:
+def contracted(edges: DataFrame, *, held: int) -> DataFrame:
     """Edges with the same components, fewer: each task joins what it has, up to ``held`` edges at a time, and returns one edge for each node that isn't a root there."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,17 +60,18 @@ def contracted(edges: DataFrame, *, held: int = 500_000) -> DataFrame:
     return edges.mapInArrow(batches, "u long, v long")
 
 
-def components(edges: DataFrame, *, rounds: int = 60, held: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, *, rounds: int = 60, held: int = 100_000) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); the root is the least node of its component.
 
-    However many edges there are, tasks first contract theirs, which leaves at most an edge
-    for each node and task. Rounds then join every larger neighbour to the least one (large star),
+    Edges are first contracted in chunks of ``held``, a task each, which leaves at most an edge
+    for each node and chunk. Rounds then join every larger neighbour to the least one (large star),
     then every smaller neighbour (small star). Minima are combined before
     they are shuffled, the number of edges doesn't grow, and the edges of a
     node with very many neighbours meet their minimum in several tasks.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = checkpoint(contracted(pairs, held=held).distinct())
+    edges = checkpoint(pairs)
+    edges = checkpoint(contracted(edges.coalesce(1 + edges.count() // held), held=held).distinct())
     for _ in range(rounds):
         if _settled(edges):
             break
