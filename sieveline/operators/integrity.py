@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.paced import lookups
+
 # Update types that are adverse, and the status they give.
 ADVERSE_TERMS = {"retraction": "retracted", "withdrawal": "withdrawn", "expression-of-concern": "expression_of_concern"}
 # Relations that are updates, in order.
@@ -47,3 +51,12 @@ def checked(papers: DataFrame, answers: DataFrame) -> DataFrame:
 
 def unresolved(papers: DataFrame) -> DataFrame:
     return papers.where((F.coalesce("doi", F.lit("")) != "") & F.col("publication_status").isin("unchecked", "check_failed"))
+
+
+def refreshed(papers: DataFrame, fetch: Callable[[str], str], **pace) -> DataFrame:
+    """``papers``, those whose status is unresolved looked up at one rate (see ``paced.lookups``); ``fetch`` gives a DOI's message as JSON."""
+    open_ = unresolved(papers)
+    got = lookups(open_.select(F.col("doi").alias("key")), fetch, **pace)
+    now = checked(open_, got.select(F.col("key").alias("doi"), F.col("answer").alias("message")))
+    rest = papers.join(open_.select("record_id").distinct(), "record_id", "left_anti")
+    return rest.unionByName(now, allowMissingColumns=True)

@@ -135,7 +135,7 @@ class Replay:
         for key, _, _ in bound:
             self.sums[key] = self.sums.get(key, ZERO) + estimate
         task["status"] = "running"
-        self.calls[str(e["call_id"] if e["call_id"] is not None else e["ord"])] = {"task": task, "keys": [k for k, _, _ in bound], "model": e["model_alias"], "estimate": estimate, "value": estimate, "actual": ZERO}
+        self.calls[str(e["call_id"] if e["call_id"] is not None else e["ord"])] = {"task": e["task_id"], "keys": [k for k, _, _ in bound], "model": e["model_alias"], "estimate": estimate, "value": estimate, "actual": ZERO}
         return "authorized"
 
     def reconcile(self, e: dict) -> str:
@@ -149,7 +149,7 @@ class Replay:
             actual = self.cost(call["model"], e["input_tokens"], e["output_tokens"])
         for key in call["keys"]:
             self.sums[key] += actual - call["value"]
-        call["task"]["spent"] += actual - call["actual"]
+        self.tasks[call["task"]]["spent"] += actual - call["actual"]
         call["value"] = call["actual"] = actual
         return e["outcome"]
 

@@ -258,6 +258,49 @@ def test_foundational_works_equal_a_greedy_loop(spark):
         assert all(selection.FOUNDATIONAL in g.quality_flags for g in got)
 
 
+def test_tasks_share_one_rate(spark, tmp_path):
+    import time
+    import uuid
+
+    from sieveline.operators import integrity, paced
+
+    def fetch(doi):
+        (tmp_path / f"{time.time():.4f}-{uuid.uuid4().hex}").touch()
+        if doi == "10.1/gone":
+            raise paced.LookupFailed(404)
+        if doi == "10.1/busy":
+            raise paced.LookupFailed(429, 0.0)
+        if doi == "10.1/odd":
+            raise ValueError("x")
+        return "{}"
+
+    dois = ["10.1/gone", "10.1/busy", "10.1/odd", *(f"10.1/{i}" for i in range(12))]
+    frame = spark.createDataFrame([(f"r{i}", d, "unchecked", None) for i, d in enumerate([*dois, "10.1/0", None])] + [("done", "10.1/x", "updated", ["a"])], "record_id string, doi string, publication_status string, quality_flags array<string>")
+    got = integrity.refreshed(frame, fetch, tasks=3, interval=0.05, attempts=3)
+    status = {r.record_id: r.publication_status for r in got.collect()}
+    assert got.count() == len(dois) + 3 and status["done"] == "updated" and status["r0"] == status["r1"] == status["r2"] == "check_failed" and status["r3"] == "no_adverse_update_found"
+    times = sorted(float(p.name.split("-")[0]) for p in tmp_path.iterdir())
+    assert len(times) == len(dois) + 2  # three attempts for the busy one, none again for later actions
+    assert times[-1] - times[0] >= 0.05 * (len(times) - 3) * 0.9
+    errors = {r.key: r.error for r in paced.lookups(spark.createDataFrame([("10.1/gone",), ("10.1/odd",)], "key string"), fetch, interval=0.0).collect()}
+    assert errors == {"10.1/gone": "LookupFailed: status 404", "10.1/odd": "ValueError: x"}
+
+
+def test_slots_are_dealt_in_turn():
+    from sieveline.operators import paced
+
+    now, starts = [0.0], []
+    def sleep(s):
+        now[0] += s
+    slots = paced.Slots(1, 3, 0.1, clock=lambda: now[0], sleep=sleep)
+    for busy in (0.0, 0.0, 0.7, 0.0):
+        slots.wait()
+        starts.append(round(now[0], 6))
+        now[0] += busy
+    assert starts == [0.1, 0.4, 0.7, 1.6]  # 1.3 and 1.0 were over, 1.4 is no slot of this task
+    assert paced.pause(paced.LookupFailed(429, 99), 0) == 5.0 and paced.pause(paced.LookupFailed(500), 2) == 2.0
+
+
 def test_scores_of_answers(spark):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     s = lambda cites, text, need=("e1",): value(spark, benchmarking.score(cites, F.lit(text), arr("e1", "e2"), arr(*need), arr("secret")))
