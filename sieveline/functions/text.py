@@ -206,9 +206,9 @@ def parsed_json(content: Column, schema: str) -> Column:
 
 
 def fragments(markdown: Column, limit: int = 3000) -> Column:
-    """Paragraphs packed greedily into fragments of ``limit`` characters at most, where a paragraph allows it."""
+    """Paragraphs packed greedily into fragments of ``limit`` characters at most, where a paragraph allows it; a blank text is one fragment."""
     blank = F.lit("")
-    parts = F.filter(F.transform(F.split(markdown, r"\n\s*\n"), stripped), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(markdown, r"\n{2,}"), stripped), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), blank.alias("open"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -216,7 +216,7 @@ def fragments(markdown: Column, limit: int = 3000) -> Column:
         fits = (acc["open"] == "") | (F.length(joined) <= limit)
         return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), p.alias("open")))
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    return F.aggregate(parts, start, step, lambda a: F.when(a["open"] == "", F.array(markdown)).otherwise(F.concat(a["done"], F.array(a["open"]))))
 
 
 #: Several citations in one bracket, and one citation repeated in brackets side by side.

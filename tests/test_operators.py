@@ -26,6 +26,7 @@ def test_text_functions(spark):
     assert value(spark, T.price(F.lit(1000), F.lit(1000), F.lit("6.5"), F.lit("27"))) == Decimal("0.0335")
     assert value(spark, T.group_id(F.lit("t:gh-1-1"))) == "t"
     assert value(spark, T.fragments(F.lit("aaa\n\nbbb\n\ncccc"), 8)) == ["aaa\n\nbbb", "cccc"]
+    assert value(spark, T.fragments(F.lit(" a \n \n b\n\n\n c"), 4)) == ["a \n \n b", "c"] and value(spark, T.fragments(F.lit(" \n\n "), 4)) == [" \n\n "]
     assert value(spark, T.decoded_index(F.create_map(F.lit("b"), F.array(F.lit(1)), F.lit("a"), F.array(F.lit(0), F.lit(2))))) == "a b a"
     assert value(spark, T.unfinished(F.lit("Done. [@ref_1]"))) is False and value(spark, T.unfinished(F.lit("First.\n\nnot done [@x]"))) is True
     assert value(spark, T.parsed_json(F.lit('```json\n{"a": 1}\n```'), "a int")).a == 1
@@ -301,6 +302,25 @@ def test_slots_are_dealt_in_turn():
     assert paced.pause(paced.LookupFailed(429, 99), 0) == 5.0 and paced.pause(paced.LookupFailed(500), 2) == 2.0
 
 
+def test_contract_and_docx_requirements(tmp_path):
+    import zipfile
+
+    from sieveline.spec import requirements_text, spec_from
+
+    spec = spec_from({"title": "A title", "keywords": ["a b", "c"], "task_id": "t 1", "user_requirements": "u", "search": {"target_fulltexts": 20}, "budget": {"task_reservation_cny": 20}})
+    got = spec.contract("20260101")
+    assert len(got) == 20 and (got["task_id"], got["target_fulltexts"], got["budget"]["task_reservation_cny"], got["quality"]["minimum_cited_papers"], got["models"]["allow_second_model_review"]) == ("t-1", 20, 20, 12, True)
+    assert got["base_queries"] == ['"a b" AND c', "a b", "c"] and got["requires_human_confirmation"] is True
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "<w:p><w:r><w:t>First </w:t></w:r><w:r><w:t>line here</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "r.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    assert requirements_text(tmp_path, "r.docx", " in ") == "in\n\nFirst line here\n\na\tb"
+    (tmp_path / "x.docx").write_text("no archive of any kind")
+    with pytest.raises(SpecError):
+        requirements_text(tmp_path, "x.docx")
+
+
 def test_scores_of_answers(spark):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     s = lambda cites, text, need=("e1",): value(spark, benchmarking.score(cites, F.lit(text), arr("e1", "e2"), arr(*need), arr("secret")))
