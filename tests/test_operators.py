@@ -442,13 +442,13 @@ def test_answers_count_before_the_next_request(spark):
 
     from sieveline.operators import ledger, model_calls
 
-    # Twelve estimates of over 4 don't fit the task's 35, the costs that answers tell do.
+    # Of twelve estimates of over 4 four fit the provider's 20 a task; the costs that answers tell all do.
     _, _, output_price = next((p, i, float(o)) for a, p, i, o in ledger.PRICES if a == "kimi-k3")
     most = int(4 / 1.1 / output_price * 1_000_000)
     requests = spark.createDataFrame([("L", i, "t", "kimi-k3", "chat_completions", "x", 10, most) for i in range(12)], model_calls.REQUEST)
     told = lambda r: json.dumps({"choices": [{"message": {"content": "x"}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}})
     counts = [model_calls.sent(requests, answer, BudgetSpec(), "2026-01").where("decision = 'authorized'").count() for answer in (told, lambda r: "{}")]
-    assert counts == [12, 8]
+    assert counts == [12, 4]
 
 
 def test_two_tasks_have_one_effect(tmp_path):
