@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import ordered_unique, stripped
+from sieveline.operators.components import written
 
 ADVERSE = ("retracted", "withdrawn", "expression_of_concern")
 PAYLOAD = "struct<cards: array<struct<claim: string, result: string, study_design: string, population: string, limitations: array<string>, locator: string, confidence: string>>>"
@@ -73,12 +74,16 @@ def batches(cards: DataFrame, *, size: int = 8) -> DataFrame:
     return ranked.select(F.floor(F.col("number") / size + 1).cast("int").alias("batch_number"), "citation_key", F.transform("items", lambda x: x["evidence_id"]).alias("evidence_ids"), "ord")
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``number`` from 0 in the order of a distinct column, without gathering the rows in one task."""
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``number`` from 0 in the order of columns that are distinct together, without gathering the rows in one task.
+
+    The ranges are written: another execution may draw or join them otherwise, and
+    their counts would be those of other ranges.
+    """
     from pyspark.sql import Window
 
-    spread = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    within = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
+    spread = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    within = written(spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1), "ranges")
     sizes = {r["__part"]: r["n"] for r in within.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a partition
     before, total = {}, 0
     for part in sorted(sizes):
