@@ -22,6 +22,15 @@ def load_cases(spark, path: str) -> DataFrame:
     return cases.where(whole).select("case_id", "category", "instruction", "evidence", F.coalesce(ids, none).alias("allowed"), F.coalesce("required_citations", none).alias("required"), F.coalesce("forbidden_patterns", none).alias("forbidden"))
 
 
+#: A word boundary of which only ASCII letters, digits and _ are words, as RE2 and DuckDB have it.
+ASCII_BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_boundaries(pattern: Column) -> Column:
+    r"""``pattern`` with each ``\b`` outside escapes as an ASCII one; Java's follows Unicode letters or not by its version."""
+    return F.regexp_replace(pattern, r"(?<!\\)((?:\\\\)*)\\b", "$1" + ASCII_BOUNDARY)
+
+
 def score(citations: Column, text: Column, allowed: Column, required: Column, forbidden: Column) -> Column:
     """100 points: 35 no invalid citation, 25 required ones (10 off each missing), 25 nothing forbidden, 15 text and a list of citations."""
     some, said = F.coalesce(citations, F.array().cast("array<string>")), stripped(F.coalesce(text, F.lit("")))
