@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that don't tell works apart.
@@ -183,10 +184,37 @@ def price(input_tokens: Column, output_tokens: Column, input_price: Column, outp
     return F.ceil(total / F.lit(1_000_000).cast("decimal(10,0)"), F.lit(4)).cast("decimal(18,4)")
 
 
+def inverted_index(texts: DataFrame) -> DataFrame:
+    """(doc_id, index) of each row of ``texts`` (doc_id, text): a map of word to its positions; null has none.
+
+    A text is a row, so its index is made where the row is and no word is shuffled.
+    """
+    import pyarrow as pa
+
+    kind = pa.map_(pa.string(), pa.list_(pa.int32()))
+
+    def indexed(text: str | None) -> list[tuple[str, list[int]]] | None:
+        if text is None:
+            return None
+        found: dict[str, list[int]] = {}
+        for at, word in enumerate(w for w in text.replace("\n", " ").split(" ") if w):
+            found.setdefault(word, []).append(at)
+        return list(found.items())
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for first in range(0, whole.num_rows, 100):
+                part = whole.slice(first, 100)
+                made = pa.array([indexed(t) for t in part.column("text").to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), made], names=["doc_id", "index"])
+
+    return texts.mapInArrow(batches, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, index map<string,array<int>>")
+
+
 def decoded_index(index: Column) -> Column:
     """A text from a map of word to its positions."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda at: F.struct(at.alias("at"), e["key"].alias("word")))))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda p: p["word"]), " ")
+    return F.array_join(F.transform(F.sort_array(pairs), lambda p: p["word"]), " ")
 
 
 def group_id(task_id: Column) -> Column:
