@@ -41,6 +41,8 @@ from .common import salted_join, written
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE, SMOOTH = 1_000_000_000, 5
 BLOCK = 1 << 20
+#: Bytes of text that a shard of the first pass stands for, and kept counts in one of the second: a fraction of a shard's memory.
+SHARD_BYTES, SHARD_ROWS = 16 << 20, 500_000
 
 
 def terms_of(raw: bytes) -> Iterator[list[bytes]]:
@@ -102,13 +104,13 @@ def shard_database() -> Iterator:
         con.close()
 
 
-def shards(spark) -> int:
-    """How many shards: as many as Spark's shuffles have partitions, which a cluster sets by its data."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shards(spark, size: int, most: int) -> int:
+    """How many shards hold ``size`` with ``most`` in each: they grow with the data, and are as many as Spark's shuffles have partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
 
 
-def kept_terms(counts: DataFrame, *, least_docs: int, block_rows: int = 1_000_000) -> DataFrame:
-    """(lang, term, source, n) of the terms that ``least_docs`` documents of the language hold; source null: the language."""
+def kept_terms(counts: DataFrame, *, least_docs: int, block_rows: int = 1_000_000, parts: int | None = None) -> DataFrame:
+    """(lang, term, source, n) of the terms that ``least_docs`` documents of the language hold; source null: the language. ``parts`` shards, by default as many as shuffles have partitions."""
     sums = "SELECT lang, term, source, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM {} GROUP BY lang, term, source"
     # Sums of all sources stand beside those of each one.
     kept = """
@@ -130,14 +132,15 @@ def kept_terms(counts: DataFrame, *, least_docs: int, block_rows: int = 1_000_00
                     con.execute(f"CREATE TABLE less AS {sums.format('summed')}")
                     con.execute("DROP TABLE summed")
                     con.execute("ALTER TABLE less RENAME TO summed")
-                    size = con.execute("SELECT count(*) FROM summed").fetchone()[0]
+                    # Read to its end: a result left open forbids the next block.
+                    size = con.execute("SELECT count(*) FROM summed").fetchall()[0][0]
                     most = 2 * size + block_rows
             con.execute(f"CREATE TABLE less AS {sums.format('summed')}")
             con.execute("DROP TABLE summed")
             con.execute("ALTER TABLE less RENAME TO summed")
             yield from con.execute(kept, [least_docs]).to_arrow_reader(50_000)
 
-    dealt = counts.repartition(shards(counts.sparkSession), "lang", "term")
+    dealt = counts.repartition(parts or shards(counts.sparkSession, 0, 1), "lang", "term")
     return dealt.mapInArrow(batches, "lang string, term string, source string, n long")
 
 
@@ -168,9 +171,8 @@ QUALIFY row_number() OVER (PARTITION BY x.lang, x.source ORDER BY x.p - y.p DESC
 """
 
 
-def shard_sums(kept: DataFrame, totals: DataFrame, *, top: int) -> DataFrame:
-    """(lang, source, part, item, value): each shard's partial sums of pairs (source < item) and best terms."""
-    n = shards(kept.sparkSession)
+def shard_sums(kept: DataFrame, totals: DataFrame, n: int, *, top: int) -> DataFrame:
+    """(lang, source, part, item, value): each of ``n`` shards' partial sums of pairs (source < item) and best terms."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shard_database() as con:
@@ -190,13 +192,16 @@ def shard_sums(kept: DataFrame, totals: DataFrame, *, top: int) -> DataFrame:
     return own.unionByName(beside).repartitionById(n, "shard").mapInArrow(batches, "lang string, source string, part string, item string, value long")
 
 
-def source_divergence(docs: DataFrame, *, least_docs: int = 30, top: int = 50) -> DataFrame:
+def source_divergence(docs: DataFrame, *, least_docs: int = 30, top: int = 50, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """lang, source, part, item, value and rank for every group (lang, source) of ``docs`` (text, lang, source).
 
     Part ``pair`` has each other source of the language with its distance,
     part ``term`` the ``top`` terms that the group has more of than its language.
+    A shard stands for ``shard_bytes`` of text, then for ``shard_rows`` kept counts.
     """
-    kept = written(kept_terms(term_counts(docs), least_docs=least_docs), "terms")
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    kept = written(kept_terms(term_counts(docs), least_docs=least_docs, parts=shards(spark, size, shard_bytes)), "terms")
     named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
     groups = written(named, "groups")
     by_source = kept.where("source IS NOT NULL").groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -204,7 +209,7 @@ def source_divergence(docs: DataFrame, *, least_docs: int = 30, top: int = 50) -
     langs = groups.select("lang").distinct().join(by_lang, "lang", "left").select("lang", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
     sized = groups.join(by_source, ["lang", "source"], "left").join(langs.select("lang", "kept"), "lang").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "kept")
     totals = written(sized.unionByName(langs.select("lang", F.lit(None).cast("string").alias("source"), "total", "kept")), "totals")
-    partial = written(shard_sums(kept, totals, top=top), "shards")
+    partial = written(shard_sums(kept, totals, shards(spark, kept.count(), shard_rows), top=top), "shards")
     # All pairs of sources of a language: the result's own rows.
     base = (F.lit(1) + F.expr(f"{SCALE * SMOOTH}L div greatest(total + {SMOOTH} * kept, 1)")).alias("b")
     sides = totals.where("source IS NOT NULL").select("lang", "source", "kept", base)
