@@ -215,6 +215,14 @@ def bucket_groups(ends: DataFrame, total: int) -> DataFrame:
     return components(met.select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
 
+def chunks_on_paths(sets: DataFrame, chunked: DataFrame) -> DataFrame:
+    """(path, root, own): the paths that lead to each chunk, from ``sets`` (node, paths) and ``chunked`` (node, root, own).
+
+    A set meets its chunk as one row, and its paths are unfolded after that.
+    """
+    return sets.join(chunked.select("node", "root", "own"), "node").select("root", "own", F.explode("paths").alias("path")).distinct()
+
+
 def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, first: int, levels: int, bucket: int, bucket_tokens: int) -> DataFrame:
     """node, doc_id, copy, weight, group, own (chunk) and pairs (of chunks) of each set that shares a bucket.
 
@@ -246,7 +254,7 @@ def groups_to_compare(sketch: DataFrame, classes: DataFrame, *, first: int, leve
     own = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))), F.col("chunks")).cast("int")
     chunked = written(led.select("node", "doc_id", "copy", "weight", "root", own.alias("own")), "chunks")
     # Pairs of chunks that share a path; a set's own chunk is compared with itself too.
-    meet = mine.select(F.col("set").alias("node"), F.explode(f"p{levels}").alias("path")).join(chunked.select("node", "root", "own"), "node").select("path", "root", "own").distinct()
+    meet = chunks_on_paths(mine.select(F.col("set").alias("node"), F.col(f"p{levels}").alias("paths")), chunked)
     chunks = meet.groupBy("root", "path").agg(F.collect_set("own").alias("c")).where(F.size("c") > 1).select("root", F.array_sort("c").alias("c")).distinct()
     pairs = chunks.select("root", "c", F.explode("c").alias("a")).select("root", "a", F.explode("c").alias("b")).where("a < b").distinct()
     sides = pairs.select("root", F.col("a").alias("own"), "a", "b").unionByName(pairs.select("root", F.col("b").alias("own"), "a", "b")).unionByName(chunked.select("root", "own", F.col("own").alias("a"), F.col("own").alias("b")).distinct())
