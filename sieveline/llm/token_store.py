@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from array import array
@@ -38,7 +39,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -47,15 +48,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from .common import shared_dir, tokenizer_path
+from .token_count import byte_symbols
 
 MAGIC = b"SVLIDS1\n"
 HEADER = len(MAGIC) + 32 + 1
 #: Identifiers of a training piece of the dictionary.
 PIECE = 1024
-#: Documents encoded at once.
-GROUP = 200
+#: Bytes of text encoded at once.
+BLOCK = 4 << 20
 #: A space between other white space; there the pattern of byte-level vocabularies may reach across it.
-INNER_SPACE = regex.compile(r"\s \s")
+INNER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+NO_SPACE = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: A Latin word, with the space before it. Byte-level vocabularies cut between its letters and a mark that isn't an apostrophe or a line end (before them, a single one).
+LETTER, MARK = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", "[!-&(-/:-@\\[-`{-~]"
+WORD = re.compile(f" ?{LETTER}+")
 
 
 class ChunkEncoder:
@@ -63,7 +69,8 @@ class ChunkEncoder:
 
     A byte-level vocabulary's pattern takes a space with the word behind it,
     so texts are cut before spaces and the identifiers of a chunk are kept, up to
-    ``bound`` chunks. Texts with special strings, or with a space inside other
+    ``bound`` chunks. Latin words end at marks and line ends, too, and new ones are
+    encoded by the library's merges alone. Texts with special strings, or with a space inside other
     white space, go to the library whole.
     """
 
@@ -74,6 +81,11 @@ class ChunkEncoder:
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bound = bound
         self.chunks: dict[str, bytes] = {}
+        self.merge, self.bytes = self.tokenizer.model.tokenize, byte_symbols()
+        # Words end at marks where this pattern cuts texts that nothing has changed.
+        spec = json.loads(self.tokenizer.to_str())
+        cutter = spec["pre_tokenizer"] or {}
+        self.cuts_simply = spec["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
 
     @property
     def width(self) -> int:
@@ -82,6 +94,19 @@ class ChunkEncoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def learn_all(self, new: list[str]) -> None:
+        """Add chunks: words by the library's merges alone, as the pattern doesn't cut them, others by all of its steps."""
+        rest, chunks, merge, space = [], self.chunks, self.merge, self.bytes[32]
+        chunks[""] = b""
+        for chunk in filter(None, new):
+            if not self.cuts_simply or not WORD.fullmatch(chunk):
+                rest.append(chunk)
+                continue
+            symbols = chunk.replace(" ", space) if chunk.isascii() else "".join(map(self.bytes.__getitem__, chunk.encode()))
+            chunks[chunk] = array("I", [t.id for t in merge(symbols)]).tobytes()
+        if rest:
+            self.learn(rest)
+
     def learn(self, new: list[str]) -> None:
         """Add chunks, encoded in one go with a special string between them."""
         if not self.marks:
@@ -92,28 +117,50 @@ class ChunkEncoder:
         raw = ids.tobytes()
         self.chunks.update(zip(new, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Distinct chunks of all texts are looked up once; identifiers are gathered from theirs."""
         if len(self.chunks) > self.bound:
             self.chunks.clear()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, INNER_SPACE)
+        for mark in ["\0", *self.marks]:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        # Texts that go to the library whole, and null ones, have no words here.
+        odd = pc.fill_null(odd, False)
+        words = pc.replace_substring(pc.if_else(pc.or_(odd, pc.is_null(texts)), "", texts), " ", "\0 ")
+        if self.cuts_simply:
+            words = pc.replace_substring_regex(words, f"({LETTER})({MARK}|\n)", "\\1\0\\2")
+            words = pc.replace_substring_regex(words, f"({MARK}|{NO_SPACE}\n)({LETTER})", "\\1\0\\2")
+        words = pc.split_pattern(words, "\0")
+        flat, bounds = words.flatten(), words.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        coded = flat.dictionary_encode()
+        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         get = self.chunks.get
-        cut, found, new = [], [], {}
-        for text in texts:
-            if not text:
-                chunks, ids = [], []
-            elif INNER_SPACE.search(text) or "\0" in text or any(m in text for m in self.marks):
-                chunks, ids = [text], [self.whole(text)]
-            else:
-                chunks = text.replace(" ", "\0 ").split("\0")
-                ids = list(map(get, chunks))
-                if None in ids:
-                    new.update(dict.fromkeys(c for c, x in zip(chunks, ids, strict=True) if x is None))
-            cut.append(chunks)
-            found.append(ids)
-        if new:
-            self.learn(list(new))
-            known = self.chunks.__getitem__
-            found = [list(map(known, chunks)) if None in ids else ids for chunks, ids in zip(cut, found, strict=True)]
-        return [b"".join(ids) for ids in found]
+        known = list(map(get, chunks))
+        if None in known:
+            self.learn_all([c for c, x in zip(chunks, known, strict=True) if x is None])
+            known = list(map(get, chunks))
+        lengths = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
+        n = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        at = np.repeat(starts[codes] - ends[:-1].astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        raw, cuts = np.frombuffer(b"".join(known), "<u4")[at].tobytes(), (4 * ends[bounds]).tolist()
+        found = [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            found[i] = self.whole(texts[int(i)].as_py())
+        return found
+
+
+def blocks(batch: pa.RecordBatch, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch (with a column text) in slices of about ``most`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if j > i:
+            yield batch.slice(i, j - i)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -219,9 +266,8 @@ class StoreWriter(DataSourceArrowWriter):
         partition = TaskContext.get().partitionId()
         files, done = None, []
         for batch in iterator:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+            for part in blocks(batch):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
                     if files is None:
                         files = ShardFiles(store, folder, partition, header)
                     files.add(doc, compress(serialised(ids + end, encode.width)), len(ids) // 4 + 1)
@@ -403,8 +449,8 @@ def sampled_pieces(docs: DataFrame, vocabulary: str, pieces: int) -> list[bytes]
         encode = chunk_encoder(vocabulary)
         step = PIECE * 4
         for batch in rows:
-            for at in range(0, batch.num_rows, GROUP):
-                cut = [serialised(x[i : i + step], encode.width) for x in encode(batch.column("text").slice(at, GROUP).to_pylist()) for i in range(0, len(x), step)]
+            for part in blocks(batch):
+                cut = [serialised(x[i : i + step], encode.width) for x in encode(part.column("text")) for i in range(0, len(x), step)]
                 yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], names=["piece"])
 
     found = chosen.mapInArrow(batches, "piece binary").orderBy(F.xxhash64("piece"), "piece").limit(pieces)

@@ -127,6 +127,19 @@ def test_chunks_give_the_identifiers_of_whole_texts():
     assert encode([None, ""]) == [b"", b""]
 
 
+def test_words_with_marks_are_encoded_by_their_pieces(monkeypatch):
+    lib, encode = library(), token_store.ChunkEncoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["Über the ciónñta###\nOf. x'll it's a,b 4.0.\nOf <|endoftext|> c", "the the,\nthe! été.", "", "a  b \n c", ",[^漢^ \n\nÀ]\n\nb\n c"] * 3
+    learned = []
+    learn = encode.learn
+    monkeypatch.setattr(encode, "learn", lambda new: learned.extend(new) or learn(new))
+    got = encode(texts[1:3])
+    assert not any(c.isalpha() for x in learned for c in x)  # only marks need a pass of the whole library
+    assert got == [encode.whole("the the,\nthe! été."), b""]
+    for t, raw in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_store_gives_back_every_document_in_order(spark, docs, none, tmp_path):
     lib = library()
     want = sorted(((i, stored(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in TEXTS), key=lambda x: (x[0] is not None, x))
