@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_path
-from .token_count import ODD_SPACE, byte_symbols, count_tokens
+from .token_count import ODD_SPACE, byte_symbols
 
 #: Documents encoded at once.
 GROUP = 200
@@ -232,16 +232,20 @@ def pack(
     max_segments: int = 64,
     max_loss: int | None = None,
     loss_from: str | None = None,
+    loss_after: str | None = None,
     open_sequences: int = 24,
 ) -> DataFrame:
     """Pieces of every document of ``docs`` (doc_id, text), dealt to sequences.
 
     ``loss_from`` names a column with the position of a document's first
-    loss-bearing token (null: 0), as for prompts that bear no loss;
+    loss-bearing token (null: 0), as for prompts that bear no loss; ``loss_after``
+    names one with the prompt itself, whose identifiers are counted by the same worker's encoder;
     ``max_loss`` limits such tokens of a sequence (default: its capacity).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "text", *([loss_from] if loss_from else [])]
+    if loss_from and loss_after:
+        raise ValueError("the first loss-bearing token is given by loss_from or loss_after")
+    columns = ["doc_id", "text", *[c for c in (loss_from, loss_after) if c]]
     most = capacity if max_loss is None else max_loss
     if min(capacity, max_segments, most) < 1:
         raise ValueError("limits must be positive")
@@ -264,7 +268,9 @@ def pack(
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
                 ids = encode(part.column(1).to_pylist())
-                firsts = part.column(2).to_pylist() if loss_from else [0] * len(ids)
+                firsts = part.column(2).to_pylist() if loss_from or loss_after else [0] * len(ids)
+                if loss_after:
+                    firsts = [len(x) // 4 for x in encode(firsts)]
                 for doc, x, first in zip(part.column(0).to_pylist(), ids, firsts, strict=True):
                     x += end
                     packer.add((doc, 0, x, len(x) // 4, first or 0))
@@ -288,6 +294,4 @@ def pack_answers(conversations: DataFrame, *, max_loss: int = 1024, **options) -
     answers = conversations.where("role = 'assistant'").select("conv_id", "turn", text.alias("answer"))
     asked = conversations.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min(text).alias("prompt"))
     met = answers.join(asked, ["conv_id", "turn"], "left").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.concat(F.coalesce("prompt", F.lit("")), F.lit("\n")).alias("prompt"), "answer")
-    counted = count_tokens(met.select(F.struct("doc_id", "answer", "prompt").alias("doc_id"), F.col("prompt").alias("text")))
-    items = counted.select("doc_id.doc_id", F.concat("doc_id.prompt", "doc_id.answer").alias("text"), F.col("n_tokens").alias("first"))
-    return pack(items, loss_from="first", max_loss=max_loss, **options)
+    return pack(met.select("doc_id", F.concat("prompt", "answer").alias("text"), "prompt"), loss_after="prompt", max_loss=max_loss, **options)
