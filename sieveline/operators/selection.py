@@ -67,19 +67,31 @@ def foundational(papers: DataFrame, target: int) -> DataFrame:
     reserve = min(RESERVE, max(2, target // 10), target)
     b = F.col("rank_breakdown")
     fit = papers.where(F.col("year").isNotNull() & (F.col("citation_count") > 0) & ~F.coalesce(F.col("publication_status"), F.lit("")).isin("retracted", "withdrawn") & (F.coalesce(b["scope_match"], F.lit(1.0)) > 0))
-    ends = fit.agg(F.min("year").alias("low"), F.max("year").alias("high"), F.count_if(F.coalesce(b["primary_scope_match"], F.lit(1.0)) <= 0).alias("others")).first()
+    parts = fit.select(
+        "record_id", "ord", "year", "citation_count",
+        telling_words(F.col("title")).alias("words"),
+        (F.length(F.coalesce("abstract", F.lit(""))) >= 200).cast("int").alias("told"),
+        F.coalesce(b["scope_match"], F.lit(0.0)).alias("scope"),
+        F.coalesce(b["relevance"], F.lit(0.0)).alias("relevance"),
+        (F.coalesce(b["primary_scope_match"], F.lit(1.0)) > 0).alias("primary"),
+    )
+    # Papers and texts are read once here: years and rounds need only what is written.
+    left = written(parts, "candidates")
+    ends = left.agg(F.min("year").alias("low"), F.max("year").alias("high"), F.count_if(~F.col("primary")).alias("others")).first()
     low, high = ends["low"] or 0, ends["high"] or 0
-    score = F.log1p(F.col("citation_count").cast("double")) + 0.75 * (high - F.col("year")) / max(high - low, 1) + 0.75 * (F.length(F.coalesce("abstract", F.lit(""))) >= 200).cast("int") + 0.5 * F.coalesce(b["scope_match"], F.lit(0.0)) + 0.25 * F.coalesce(b["relevance"], F.lit(0.0))
-    left = written(fit.select("record_id", "ord", telling_words(F.col("title")).alias("words"), score.alias("score"), (F.coalesce(b["primary_scope_match"], F.lit(1.0)) > 0).alias("primary")), "candidates")
+    score = F.log1p(F.col("citation_count").cast("double")) + 0.75 * (high - F.col("year")) / max(high - low, 1) + 0.75 * F.col("told") + 0.5 * F.col("scope") + 0.25 * F.col("relevance")
+    left = left.select("record_id", "ord", "words", score.alias("score"), "primary")
     chosen: list[str] = []
+    ords: list[int] = []
 
     def take(tier: Column, limit: int) -> None:
         nonlocal left
         while len(chosen) < limit:
-            best = left.where(tier).agg(F.max_by(F.struct("record_id", "words"), F.struct("score", -F.col("ord"))).alias("b")).first()["b"]
+            best = left.where(tier).agg(F.max_by(F.struct("record_id", "ord", "words"), F.struct("score", -F.col("ord"))).alias("b")).first()["b"]
             if best is None:
                 return
             chosen.append(best["record_id"])
+            ords.append(best["ord"])
             words = F.array(*[F.lit(w) for w in best["words"]]).cast("array<string>")
             shared = F.size(F.array_intersect("words", words)) / F.least(F.size("words"), F.lit(len(best["words"])))
             left = left.where((F.col("record_id") != best["record_id"]) & ~((F.size("words") > 0) & F.lit(bool(best["words"])) & (F.coalesce(shared, F.lit(0.0)) >= 0.8)))
@@ -89,10 +101,10 @@ def foundational(papers: DataFrame, target: int) -> DataFrame:
     take(F.lit(True), reserve)
     if not chosen:
         return papers.withColumn("place", F.lit(0)).limit(0)
-    # At most eight places, as literals.
+    # At most eight places, as literals; ord is what scores are joined by, so both sides are cut down before the join.
     place = F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("record_id"))
     own = F.coalesce("quality_flags", F.array().cast("array<string>")) if "quality_flags" in papers.columns else F.array().cast("array<string>")
-    found = papers.where(F.col("record_id").isin(chosen)).withColumn("place", (place - 1).cast("int")).withColumn("quality_flags", F.array_union(own, F.array(F.lit(FOUNDATIONAL))))
+    found = papers.where(F.col("ord").isin(ords) & F.col("record_id").isin(chosen)).withColumn("place", (place - 1).cast("int")).withColumn("quality_flags", F.array_union(own, F.array(F.lit(FOUNDATIONAL))))
     return found.orderBy("place")
 
 
