@@ -77,12 +77,12 @@ def forward(works: DataFrame, seeds: list[str], limits: Share, taken: int) -> Da
     return works.join(F.broadcast(kept), works["ord"] == kept["__at"]).drop("__at")
 
 
-def expand(papers: DataFrame, works: DataFrame, limits: SearchSpec, *, merge: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame], key: Callable[[DataFrame], Column]) -> tuple[DataFrame, dict]:
+def expand(papers: DataFrame, works: DataFrame, limits: SearchSpec, *, merge: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame], key: Callable[[DataFrame], Column], until_saturated: bool = True) -> tuple[DataFrame, dict]:
     """``papers`` (with ``ord``, their rank) expanded, and what happened.
 
     ``merge`` makes records one by their order ``ord``; ``rank`` orders the
     merged ones: it returns at most ``limits.max_candidates``, with ``ord`` anew; ``key`` is the key by which a
-    paper is known. ``works`` has the columns of ``papers``.
+    paper is known. ``works`` has the columns of ``papers``. Without ``until_saturated`` all rounds are made, saturated or not.
     """
     if limits.citation_seeds == 0 or limits.max_expansion == 0:
         return papers, {"status": "skipped", "saturation_reached": False, "rounds": []}
@@ -117,8 +117,8 @@ def expand(papers: DataFrame, works: DataFrame, limits: SearchSpec, *, merge: Ca
         fresh = pool.select(key(pool).alias("__key")).join(known, "__key", "left_anti").count()
         ratio = fresh / max(min(before, limits.screening_pool), 1)
         log.append({"round": n, "status": "ok", "seed_count": len(seeds), "backward_records": n_back, "forward_records": ahead.count(), "new_unique_records": new, "new_relevant_records_in_screening_pool": fresh, "new_relevant_ratio": round(ratio, 6)})
-        if ratio < limits.saturation_ratio:
-            saturated = True
+        saturated = ratio < limits.saturation_ratio
+        if saturated and until_saturated:
             break
     return current, {"status": "ok", "records_added": added, "saturation_reached": saturated, "rounds": log}
 
